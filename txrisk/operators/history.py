@@ -43,6 +43,25 @@ def epoch_micros(ts) -> Column:
             + (sec * 1_000_000).cast("long"))
 
 
+MONEY = "decimal(18,2)"
+
+
+def money_sum(c: Column, w=None) -> Column:
+    """Exact sum of a 2-decimal money column (DECIMAL accumulation, double result).
+
+    Float sums depend on summation order (partitioning); an exact sum makes
+    every engine and every partitioning produce the same double.
+    """
+    s = F.sum(c.cast(MONEY))
+    return (s.over(w) if w is not None else s).cast("double")
+
+
+def money_avg(c: Column, w=None) -> Column:
+    n = F.count(c)
+    n = n.over(w) if w is not None else n
+    return money_sum(c, w) / n
+
+
 # ---------------------------------------------------------------------------
 # time-range frames
 # ---------------------------------------------------------------------------
@@ -62,13 +81,16 @@ def range_window(df: DataFrame, key: str, ts: str, window_us: int,
     t = epoch_micros(ts)
     home = df.select("*", t.alias("__t"), F.floor(t / F.lit(bucket_us)).alias("__b"),
                      F.lit(True).alias("__home"))
-    narrow = home.select(key, "__t", *values,
-                         (F.col("__b") + F.explode(F.sequence(F.lit(1), F.lit(halo))))
-                         .alias("__b"), F.lit(False).alias("__home"))
+    narrow = (home.select(key, "__t", *values, "__b",
+                          F.explode(F.sequence(F.lit(1), F.lit(halo))).alias("__j"))
+              .select(key, "__t", *values, (F.col("__b") + F.col("__j")).alias("__b"),
+                      F.lit(False).alias("__home")))
     both = home.unionByName(narrow, allowMissingColumns=True)
     w = Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(-window_us, 0)
-    fn = {"count": F.count, "sum": F.sum, "avg": F.avg, "stddev": F.stddev_samp}
-    out = both.select("*", *[fn[f](F.col(v)).over(w).alias(name)
+    fn = {"count": F.count, "sum": lambda c: money_sum(c, w), "avg": lambda c: money_avg(c, w),
+          "stddev": F.stddev_samp}
+    out = both.select("*", *[(fn[f](F.col(v)) if f in ("sum", "avg") else fn[f](F.col(v)).over(w))
+                             .alias(name)
                              for name, (f, v) in aggs.items()])
     keep = carry if carry is not None else df.columns
     return out.filter(F.col("__home")).select(*keep, *aggs.keys())
@@ -131,8 +153,9 @@ def prior_mean_ratio(df: DataFrame, key: str = "customer_id", ts: str = "ts",
     Mean of strictly earlier rows; no earlier row -> own amount; mean 0 -> ratio null -> 1.0.
     """
     s = prior_sums(df, key, ts, tiebreak,
-                   {"__pn": F.lit(1).cast("long"), "__ps": F.col(amount).cast("double")})
-    mean = F.when(F.col("__pn") > 0, F.col("__ps") / F.col("__pn")).otherwise(F.col(amount))
+                   {"__pn": F.lit(1).cast("long"), "__ps": F.col(amount).cast(MONEY)})
+    mean = F.when(F.col("__pn") > 0, F.col("__ps").cast("double") / F.col("__pn")) \
+        .otherwise(F.col(amount))
     s = s.select(*df.columns, mean.alias("customer_mean_amount_prior"))
     ratio = F.col(amount) / F.nullif(F.col("customer_mean_amount_prior"), F.lit(0.0))
     return s.select("*", F.coalesce(ratio, F.lit(1.0)).alias("amount_vs_mean_ratio_safe"))
@@ -168,15 +191,16 @@ def history_features(df: DataFrame, key: str = "customer_id", ts: str = "ts",
                      channel: str = "channel", location: str = "location",
                      online_channels: list[str] = ("view", "click", "signup")) -> DataFrame:
     """Leak-safe lifetime measures: statistics of strictly earlier rows only."""
-    x = F.col(amount).cast("double")
+    x = F.col(amount).cast(MONEY)
     s = prior_sums(df, key, ts, tiebreak, {
         "__n": F.lit(1).cast("long"), "__s": x, "__q": x * x,
         "__on": F.col(channel).isin(list(online_channels)).cast("long")})
     n = F.col("__n")
-    var = (F.col("__q") - F.col("__s") * F.col("__s") / n) / (n - 1)
+    sm, sq = F.col("__s").cast("double"), F.col("__q").cast("double")
+    var = (sq - sm * sm / n) / (n - 1)
     s = s.select(*df.columns,
                  n.alias("tx_count_prior"),
-                 F.when(n > 0, F.col("__s") / n).alias("amount_mean_prior"),
+                 F.when(n > 0, sm / n).alias("amount_mean_prior"),
                  F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("amount_std_prior"),
                  F.when(n > 0, F.col("__on").cast("double") / n).alias("online_channel_ratio_prior"))
     d = prior_distinct(s, key, ts, tiebreak, {"channel_diversity_prior": channel,
@@ -191,7 +215,7 @@ def customer_lifetime(df: DataFrame, key: str = "customer_id", amount: str = "am
     """Whole-history (leaky when joined to rows) per-customer aggregates."""
     return (df.filter(F.col(key).isNotNull()).groupBy(key)
             .agg(F.count(F.lit(1)).alias("tx_count_total"),
-                 F.avg(amount).alias("amount_mean_total"),
+                 money_avg(F.col(amount)).alias("amount_mean_total"),
                  F.stddev_samp(amount).alias("amount_std_total"),
                  F.count_distinct(channel).alias("channel_diversity"),
                  F.count_distinct(location).alias("location_diversity"),

@@ -1,3 +1,3 @@
 """Registered queries (one module per area); importing this package registers them."""
 
-from txrisk.plans import eda  # noqa: F401
+from txrisk.plans import eda, history  # noqa: F401
