@@ -114,8 +114,8 @@ def case_outcome(actual, predicted) -> Column:
 
 # op 35
 def format_naira(amount) -> Column:
-    # thousands separators, no decimals: ₦12,345
-    return F.concat(F.lit("₦"), F.format_number(F.round(_c(amount), 0), 0))
+    # thousands separators, no decimals, half-even: ₦12,345
+    return F.concat(F.lit("₦"), F.format_number(_c(amount), 0))
 
 
 def format_hour(hour) -> Column:
