@@ -1,3 +1,3 @@
 """Registered queries (one module per area); importing this package registers them."""
 
-from txrisk.plans import eda, evaluation, history, models, text  # noqa: F401
+from txrisk.plans import discovery, eda, evaluation, history, models, text  # noqa: F401
