@@ -171,8 +171,11 @@ def velocity_gap_by_channel(df: DataFrame, velocity: str = "tx_count_24h",
 
 # op 63
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson r; null (not an ANSI divide-by-zero error) when a side is constant."""
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    """Pearson r over pairwise non-null rows; null (not an ANSI divide-by-zero
+    error) when a side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    xs, ys = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
 
 
 def corr_with_label(df: DataFrame, features: list[str], label: str = "is_fraud") -> DataFrame:
