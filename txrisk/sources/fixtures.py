@@ -35,9 +35,10 @@ def night(hour: Column) -> Column:
     return (hour >= 22) | (hour < 6)
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events",
-                   ["event_id", "ts", "user_id", "event_type", "value", "props"])
+def base(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events`` may be a streaming DataFrame: the dimension joins are then stream-static."""
+    e = events if events is not None else read_table(spark, sf_dir, "events")
+    e = e.select("event_id", "ts", "user_id", "event_type", "value", "props")
     c = read_table(spark, sf_dir, "customer",
                    ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
@@ -67,8 +68,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = base(spark, sf_dir)
+def tx(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    b = base(spark, sf_dir, events)
     night_large = night(F.col("hour")) & (F.col("amount") > 100) & (F.col("k") < 60)
     return b.select(
         "*",
