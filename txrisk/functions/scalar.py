@@ -37,6 +37,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def pdiv(a, b) -> Column:
+    """IEEE / pandas division: x/0 -> +-inf, 0/0 -> NaN (ANSI mode would raise)."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    zero = (F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+            .otherwise(F.lit(float("nan"))))
+    return F.when(b == 0, zero).otherwise(a / b)
+
+
 def _map_lit(d: dict) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
 

@@ -108,8 +108,9 @@ def fixed(v: Column, digits: int) -> Column:
     """Round half-even at ``digits`` through an integer scale (identical in every
     engine), then print with exactly ``digits`` decimals."""
     scale = 10 ** digits
-    k = F.bround(v * F.lit(float(scale)), 0)
-    return F.format_string(f"%.{digits}f", k / F.lit(float(scale)))
+    k = F.bround(F.abs(v) * F.lit(float(scale)), 0)  # sign kept apart: -0.0004 prints "-0.000"
+    return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")),
+                    F.format_string(f"%.{digits}f", k / F.lit(float(scale))))
 
 
 def signed(v: Column, digits: int) -> Column:

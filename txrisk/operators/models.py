@@ -93,10 +93,12 @@ def train_rf(train: DataFrame, features: list[str], label: str = "is_fraud",
              max_bins: int = 256, **params) -> PipelineModel:
     p = dict(RF_PARAMS)
     p.update(params)
+    checkpoint_dir(train.sparkSession)  # node-id cache checkpoints go to shared storage
     tw = _weighted(train, label)
     stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
               RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
                                      seed=SEED, maxBins=max_bins, featureSubsetStrategy="sqrt",
+                                     maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
                                      **p)]
     return Pipeline(stages=stages).fit(tw)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.functions.scalar import SESSION_BUSINESS, SESSION_NIGHT, session_bucket
+from txrisk.functions.scalar import SESSION_BUSINESS, SESSION_NIGHT, pdiv, session_bucket
 
 
 def _rate(fraud: Column, total: Column) -> Column:
@@ -62,8 +62,8 @@ def peak_vs_baseline(df: DataFrame, hour: str = "hour", label: str = "is_fraud",
                   F.max("fraud_rate_pct").alias("peak_rate_pct"),
                   F.avg(F.when((h >= base_start) & (h <= base_end), F.col("fraud_rate_pct")))
                   .alias("baseline_rate_pct"))
-            .select("*", ((F.col("peak_rate_pct") - F.col("baseline_rate_pct"))
-                          / F.col("baseline_rate_pct") * 100).alias("uplift_pct")))
+            .select("*", (pdiv(F.col("peak_rate_pct") - F.col("baseline_rate_pct"),
+                               F.col("baseline_rate_pct")) * 100).alias("uplift_pct")))
 
 
 # op 53
@@ -109,7 +109,7 @@ def channel_session_pivot(df: DataFrame, channel: str = "channel", hour: str = "
          .agg(F.avg("y") * 100))
     b, n = F.col(f"`{SESSION_BUSINESS}`"), F.col(f"`{SESSION_NIGHT}`")
     return p.select(channel, b.alias("business_rate_pct"), n.alias("night_rate_pct"),
-                    ((n - b) / b * 100).alias("change_pct"))
+                    (pdiv(n - b, b) * 100).alias("change_pct"))
 
 
 # op 58
@@ -157,8 +157,8 @@ def class_gap_by(df: DataFrame, measure: str, group: str = "channel", label: str
 def amount_gap_by_channel(df: DataFrame, amount: str = "amount", channel: str = "channel",
                           label: str = "is_fraud") -> DataFrame:
     g = class_gap_by(df, amount, channel, label)
-    return g.select("*", F.round((F.col("fraud_avg") - F.col("legitimate_avg"))
-                                 / F.col("legitimate_avg") * 100, 1).alias("differential_pct"))
+    return g.select("*", F.round(pdiv(F.col("fraud_avg") - F.col("legitimate_avg"),
+                                      F.col("legitimate_avg")) * 100, 1).alias("differential_pct"))
 
 
 def velocity_gap_by_channel(df: DataFrame, velocity: str = "tx_count_24h",
@@ -166,7 +166,7 @@ def velocity_gap_by_channel(df: DataFrame, velocity: str = "tx_count_24h",
     g = class_gap_by(df, velocity, channel, label, ("legit_velocity", "fraud_velocity"))
     d = F.col("fraud_velocity") - F.col("legit_velocity")
     return g.select("*", d.alias("delta"),
-                    F.round(d / F.col("legit_velocity") * 100, 1).alias("delta_pct"))
+                    F.round(pdiv(d, F.col("legit_velocity")) * 100, 1).alias("delta_pct"))
 
 
 # op 63

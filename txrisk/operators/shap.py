@@ -90,17 +90,17 @@ def _unwind(feat, zf, of, pw, d, k):
         feat[i], zf[i], of[i] = feat[i + 1], zf[i + 1], of[i + 1]
 
 
-def _unwound_sum(zf, of, pw, d, k):
-    o, z = of[k], zf[k]
-    nz = o != 0
-    osafe = np.where(nz, o, 1.0)
-    nxt = pw[d]
-    total = 0.0
+def _unwound_sums(O: np.ndarray, Z: np.ndarray, pw: list, d: int) -> np.ndarray:
+    """``_unwound_sum`` for every path element 1..d at once (rows of O/Z)."""
+    nz = O != 0
+    osafe = np.where(nz, O, 1.0)
+    nxt = np.broadcast_to(pw[d], O.shape)
+    total = np.zeros(O.shape)
     for i in range(d - 1, -1, -1):
-        a = nxt * (d + 1) / ((i + 1) * osafe)
-        b = (pw[i] / z) / ((d - i) / (d + 1))
-        total = total + np.where(nz, a, b)
-        nxt = np.where(nz, pw[i] - a * z * ((d - i) / (d + 1)), nxt)
+        a = nxt * ((d + 1) / (i + 1)) / osafe
+        b = pw[i] / Z * ((d + 1) / (d - i))
+        total += np.where(nz, a, b)
+        nxt = np.where(nz, pw[i] - a * Z * ((d - i) / (d + 1)), nxt)
     return total
 
 
@@ -113,10 +113,11 @@ def tree_shap(X: np.ndarray, t: dict, phi: np.ndarray) -> None:
         feat, zf, of, pw = feat[:d] + [None], zf[:d] + [None], of[:d] + [None], pw[:d] + [None]
         _extend(feat, zf, of, pw, d, pz, po, pf, n)
         if left[node] < 0:
-            v = val[node]
-            for i in range(1, d + 1):
-                w = _unwound_sum(zf, of, pw, d, i)
-                phi[:, feat[i]] += w * (of[i] - zf[i]) * v
+            if d > 0:
+                O = np.stack(of[1:d + 1])                 # (d, n) one fractions per path element
+                Z = np.asarray(zf[1:d + 1])[:, None]      # (d, 1) zero fractions
+                w = _unwound_sums(O, Z, pw, d)
+                phi[:, feat[1:d + 1]] += ((O - Z) * w * val[node]).T
             return
         f = int(feat_[node])
         go_left = (X[:, f] <= thr[node]).astype(float)

@@ -199,9 +199,9 @@ WITH a AS (SELECT (WITH g AS (SELECT score AS sc, sum(is_fraud) AS pos, sum(1 -
    GROUP BY score_b), c AS (SELECT pos, neg, sum(pos) OVER (ORDER BY sc DESC ROWS UNBOUNDED PRECEDING) AS tp,
    sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM g)
   SELECT sum(neg * (tp - pos + pos / 2.0)) / (max(P) * max(N)) FROM c) AS auc_b)
-SELECT round(auc_a, 6) AS baseline_auc, round(auc_b, 6) AS augmented_auc, round(auc_b - auc_a, 6) AS auc_delta,
-  CASE WHEN auc_b - auc_a > 0.002 THEN 'IMPROVED' WHEN abs(auc_b - auc_a) <= 0.002 THEN 'NO MEANINGFUL CHANGE'
-  ELSE 'WORSE' END AS verdict FROM a""")
+SELECT round(auc_a, 6) AS baseline_auc, round(auc_b, 6) AS augmented_auc, dd AS auc_delta,
+  CASE WHEN dd > 0.002 THEN 'IMPROVED' WHEN abs(dd) <= 0.002 THEN 'NO MEANINGFUL CHANGE'
+  ELSE 'WORSE' END AS verdict FROM (SELECT *, round(round(auc_b, 6) - round(auc_a, 6), 6) AS dd FROM a)""")
 def q_verdict(spark, d):
     from txrisk.sources import fixtures as fx
 
