@@ -105,33 +105,48 @@ def _unwound_sums(O: np.ndarray, Z: np.ndarray, pw: list, d: int) -> np.ndarray:
 
 
 def tree_shap(X: np.ndarray, t: dict, phi: np.ndarray) -> None:
-    """Add one tree's path-dependent SHAP values for all rows of X into phi (n x m)."""
-    n = X.shape[0]
+    """Add one tree's path-dependent SHAP values for all rows of X into phi (n x m).
+
+    A row's recursion state (one fractions, path weights) depends only on the
+    sequence of path conditions it met, so the recursion runs on *patterns*:
+    per node it keeps one state column per distinct pattern (at most
+    2^depth, at most n) plus a row -> pattern index.  Rows are touched only
+    by the split test, the O(n) pattern refinement and the leaf scatter.
+    """
     left, right, feat_, thr, val, cov = (t[k] for k in ("left", "right", "feat", "thr", "val", "cov"))
 
-    def rec(node, d, feat, zf, of, pw, pz, po, pf):
+    def rec(node, d, feat, zf, of, pw, pz, po, pf, pid):
+        u = po.shape[0]
         feat, zf, of, pw = feat[:d] + [None], zf[:d] + [None], of[:d] + [None], pw[:d] + [None]
-        _extend(feat, zf, of, pw, d, pz, po, pf, n)
+        _extend(feat, zf, of, pw, d, pz, po, pf, u)
         if left[node] < 0:
             if d > 0:
-                O = np.stack(of[1:d + 1])                 # (d, n) one fractions per path element
+                O = np.stack(of[1:d + 1])                 # (d, u) one fractions per path element
                 Z = np.asarray(zf[1:d + 1])[:, None]      # (d, 1) zero fractions
                 w = _unwound_sums(O, Z, pw, d)
-                phi[:, feat[1:d + 1]] += ((O - Z) * w * val[node]).T
+                phi[:, feat[1:d + 1]] += ((O - Z) * w * val[node])[:, pid].T
             return
         f = int(feat_[node])
-        go_left = (X[:, f] <= thr[node]).astype(float)
-        iz, io = 1.0, np.ones(n)
+        go = X[:, f] <= thr[node]
+        iz, io = 1.0, np.ones(u)
         k = next((p for p in range(d + 1) if feat[p] == f), None)
         if k is not None:
             iz, io = zf[k], of[k]
             _unwind(feat, zf, of, pw, d, k)
             d -= 1
-        lc, rc = left[node], right[node]
-        rec(lc, d + 1, feat, zf, of, pw, cov[lc] / cov[node] * iz, io * go_left, f)
-        rec(rc, d + 1, feat, zf, of, pw, cov[rc] / cov[node] * iz, io * (1.0 - go_left), f)
-
-    rec(0, 0, [], [], [], [], 1.0, np.ones(n), -1)
+        active = io[pid] != 0                             # rows whose one fraction can still be 1
+        for child, hot in ((left[node], go & active), (right[node], ~go & active)):
+            code = pid * 2 + hot
+            seen = np.zeros(2 * u, dtype=bool)
+            seen[code] = True
+            rep = np.flatnonzero(seen)                    # kept patterns: parent * 2 + bit
+            remap = np.cumsum(seen) - 1
+            parent = rep // 2
+            rec(child, d + 1, feat, zf, [o[parent] for o in of[:d + 1]],
+                [p[parent] for p in pw[:d + 1]], cov[child] / cov[node] * iz,
+                io[parent] * (rep % 2), f, remap[code])
+
+    rec(0, 0, [], [], [], [], 1.0, np.ones(1), -1, np.zeros(X.shape[0], dtype=np.int64))
 
 
 def forest_shap(X: np.ndarray, trees: list[dict]) -> np.ndarray:
