@@ -68,48 +68,91 @@ def money_avg(c: Column, w=None) -> Column:
 
 def range_window(df: DataFrame, key: str, ts: str, window_us: int,
                  aggs: dict[str, tuple[str, str]], bucket_us: int | None = None,
-                 carry: list[str] | None = None) -> DataFrame:
+                 carry: list[str] | None = None, id_col: str = "transaction_id") -> DataFrame:
     """Add ``RANGE [t - window, t]`` aggregates per ``key`` (current row and peers included).
 
     ``aggs`` maps output name -> (function, value column); function is one of
-    count, sum, avg, stddev.  Halo copies carry only ``key``, time and the value
-    columns, and are dropped after the window.
+    count, sum, avg, stddev.  Frames are evaluated as exact prefix sums, never
+    as a sliding frame (which re-aggregates its buffer and is quadratic for a
+    busy customer):
+
+    * rows are partitioned by (key, time bucket >= window); the following
+      ``halo`` buckets get narrow copies (key, time, values) of each row;
+    * every row also emits a zero-weight *probe* at ``t - window``;
+    * one running sum per partition in (time, probe-first) order gives
+      S(<= t) at data rows and S(< t - window) at probes;
+    * a second window partitioned by (key, bucket, row id) -- satisfied by
+      the existing partitioning, so no shuffle -- subtracts the probe value.
+
+    Count, sum and sum of squares are exact (money as DECIMAL), so mean and
+    standard deviation do not depend on summation order.
     """
     bucket_us = bucket_us or window_us
     halo = max(1, math.ceil(window_us / bucket_us))
     values = sorted({v for _, v in aggs.values()})
     t = epoch_micros(ts)
+    rid = F.col(id_col)
+    sums = {}
+    for v in values:
+        x = F.col(v)
+        sums[f"__n_{v}"] = F.when(x.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
+        sums[f"__s_{v}"] = x.cast(MONEY)
+        sums[f"__q_{v}"] = x.cast(MONEY) * x.cast(MONEY)
     home = df.select("*", t.alias("__t"), F.floor(t / F.lit(bucket_us)).alias("__b"),
-                     F.lit(True).alias("__home"))
-    narrow = (home.select(key, "__t", *values, "__b",
-                          F.explode(F.sequence(F.lit(1), F.lit(halo))).alias("__j"))
-              .select(key, "__t", *values, (F.col("__b") + F.col("__j")).alias("__b"),
-                      F.lit(False).alias("__home")))
-    both = home.unionByName(narrow, allowMissingColumns=True)
-    w = Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(-window_us, 0)
-    fn = {"count": F.count, "sum": lambda c: money_sum(c, w), "avg": lambda c: money_avg(c, w),
-          "stddev": F.stddev_samp}
-    out = both.select("*", *[(fn[f](F.col(v)) if f in ("sum", "avg") else fn[f](F.col(v)).over(w))
-                             .alias(name)
-                             for name, (f, v) in aggs.items()])
+                     rid.alias("__rid"), F.lit(1).alias("__kind"), F.lit(True).alias("__home"),
+                     *[c.alias(n) for n, c in sums.items()])
+    halo_rows = (home.select(key, "__t", "__b", *sums.keys(),
+                             F.explode(F.sequence(F.lit(1), F.lit(halo))).alias("__j"))
+                 .select(key, "__t", (F.col("__b") + F.col("__j")).alias("__b"), *sums.keys(),
+                         F.lit(1).alias("__kind"), F.lit(False).alias("__home")))
+    zero = [F.lit(0).cast(home.schema[n].dataType).alias(n) for n in sums]
+    probes = home.select(key, (F.col("__t") - F.lit(window_us)).alias("__t"), "__b", "__rid",
+                         F.lit(0).alias("__kind"), F.lit(False).alias("__home"), *zero)
+    stream = home.unionByName(halo_rows, allowMissingColumns=True).unionByName(
+        probes, allowMissingColumns=True)
+    w1 = (Window.partitionBy(key, "__b").orderBy("__t", "__kind")
+          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    cum = stream.select("*", *[F.sum(n).over(w1).alias(f"__c{n}") for n in sums])
+    w2 = Window.partitionBy(key, "__b", "__rid")
+    probe = {n: F.max(F.when(F.col("__kind") == 0, F.col(f"__c{n}"))).over(w2) for n in sums}
+    framed = cum.select("*", *[(F.col(f"__c{n}") - F.coalesce(probe[n], F.lit(0))).alias(f"__f{n}")
+                               for n in sums]).filter(F.col("__home"))
+    out = []
+    for name, (fn, v) in aggs.items():
+        n = F.col(f"__f__n_{v}")
+        s_ = F.col(f"__f__s_{v}").cast("double")
+        q = F.col(f"__f__q_{v}").cast("double")
+        if fn == "count":
+            e = n
+        elif fn == "sum":
+            e = F.when(n > 0, s_)
+        elif fn == "avg":
+            e = F.when(n > 0, s_ / n)
+        elif fn == "stddev":
+            e = F.when(n > 1, F.sqrt(F.greatest((q - s_ * s_ / n) / (n - 1), F.lit(0.0))))
+        else:
+            raise ValueError(fn)
+        out.append(e.alias(name))
     keep = carry if carry is not None else df.columns
-    return out.filter(F.col("__home")).select(*keep, *aggs.keys())
+    return framed.select(*keep, *out)
 
 
 # op 73
 def win_24h(df: DataFrame, key: str = "customer_id", ts: str = "ts",
-            amount: str = "amount", bucket_us: int | None = None) -> DataFrame:
+            amount: str = "amount", bucket_us: int | None = None,
+            id_col: str = "transaction_id") -> DataFrame:
     return range_window(df, key, ts, 24 * US_PER_HOUR,
                         {"tx_count_24h": ("count", amount), "amount_sum_24h": ("sum", amount)},
-                        bucket_us)
+                        bucket_us, id_col=id_col)
 
 
 # op 74
 def win_7d(df: DataFrame, key: str = "customer_id", ts: str = "ts",
-           amount: str = "amount", bucket_us: int | None = None) -> DataFrame:
+           amount: str = "amount", bucket_us: int | None = None,
+           id_col: str = "transaction_id") -> DataFrame:
     return range_window(df, key, ts, 7 * US_PER_DAY,
                         {"tx_count_7d": ("count", amount), "amount_mean_7d": ("avg", amount),
-                         "amount_std_7d": ("stddev", amount)}, bucket_us)
+                         "amount_std_7d": ("stddev", amount)}, bucket_us, id_col=id_col)
 
 
 # ---------------------------------------------------------------------------
