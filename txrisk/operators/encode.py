@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.operators.joins import lookup_join
 from txrisk.operators.profile import EXACT_QUANTILE_MAX_ROWS, numeric_columns
 
 
@@ -13,13 +14,13 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Alphabetical integer code per category (LabelEncoder semantics).
 
     The code table is built from the distinct values (one row per category)
-    and equi-joined back; Catalyst/AQE broadcasts it when its runtime size is
-    small.  The ranking window runs over distinct categories, not raw rows.
+    and joined back, broadcast after a size check.  The ranking window runs
+    over distinct categories, not raw rows.
     """
     out = out or f"{col}_encoded"
     codes = (df.select(col).filter(F.col(col).isNotNull()).distinct()
              .select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(out)))
-    return df.join(codes, col, "left")
+    return lookup_join(df, codes, col, "left")
 
 
 # op 27

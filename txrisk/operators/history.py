@@ -29,6 +29,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
+from txrisk.operators.joins import lookup_join
+
 US_PER_HOUR = 3_600_000_000
 US_PER_DAY = 24 * US_PER_HOUR
 
@@ -290,8 +294,12 @@ def composite_risk(df: DataFrame, velocity: str = "velocity_score",
                    ratio: str = "amount_vs_mean_ratio_safe", channel: str = "channel",
                    label: str = "is_fraud", weights=(1 / 3, 1 / 3, 1 / 3)) -> DataFrame:
     """Weighted sum of min-max normalised velocity, amount ratio and channel fraud rate."""
+    # three passes (rates, min/max, rows) over an expensive input: compute it once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     rates = (df.groupBy(channel).agg(F.avg(F.col(label).cast("double")).alias("__chr")))
-    j = df.join(rates, channel, "left")  # AQE broadcasts it when small (size checked at runtime)
+    # one row per channel: broadcast after a size check (a shuffle on a 6-value key would
+    # put all rows in 6 tasks)
+    j = lookup_join(df, rates, channel, "left")
     mm = j.agg(*[f(F.col(c)).alias(f"__{n}{c}") for c in (velocity, ratio, "__chr")
                  for n, f in (("lo", F.min), ("hi", F.max))])
     j = j.crossJoin(mm)  # one row

@@ -217,8 +217,10 @@ def class_weights(df: DataFrame, label: str = "is_fraud") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = "is_fraud", out: str = "weight") -> DataFrame:
     """Attach the balanced weight to every row (the weight table has one row per class)."""
+    from txrisk.operators.joins import lookup_join
+
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)
+    return lookup_join(df, w, label, "inner")
 
 
 # op 69
