@@ -153,7 +153,7 @@ def random_search_cv(train: DataFrame, features: list[str], label: str = "is_fra
     draws = random.Random(seed).sample(grid, min(n_draws, len(grid)))
     tw = assemble_features(_weighted(train, label), features)
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
-                                       metricName="areaUnderROC", weightCol=None)
+                                       metricName="areaUnderROC")
     cv = CrossValidator(estimator=rf, estimatorParamMaps=draws, evaluator=ev, foldCol=fold_col,
                         parallelism=parallelism, seed=seed)
     m = cv.fit(tw)
