@@ -70,32 +70,35 @@ def money_avg(c: Column, w=None) -> Column:
 # time-range frames
 # ---------------------------------------------------------------------------
 
-def range_window(df: DataFrame, key: str, ts: str, window_us: int,
-                 aggs: dict[str, tuple[str, str]], bucket_us: int | None = None,
-                 carry: list[str] | None = None, id_col: str = "transaction_id") -> DataFrame:
-    """Add ``RANGE [t - window, t]`` aggregates per ``key`` (current row and peers included).
-
-    ``aggs`` maps output name -> (function, value column); function is one of
-    count, sum, avg, stddev.  Frames are evaluated as exact prefix sums, never
-    as a sliding frame (which re-aggregates its buffer and is quadratic for a
-    busy customer):
-
-    * rows are partitioned by (key, time bucket >= window); the following
-      ``halo`` buckets get narrow copies (key, time, values) of each row;
-    * every row also emits a zero-weight *probe* at ``t - window``;
+def range_windows(df: DataFrame, key: str, ts: str,
+                  frames: dict[int, dict[str, tuple[str, str]]], bucket_us: int | None = None,
+                  carry: list[str] | None = None, id_col: str = "transaction_id") -> DataFrame:
+    """Add ``RANGE [t - w, t]`` aggregates per ``key`` for several frame widths at once.
+
+    ``frames`` maps a width in microseconds to {output name: (function, value
+    column)}, function one of count, sum, avg, stddev; the current row and its
+    peers are included.  Frames are exact prefix sums, never sliding frames
+    (those re-aggregate their buffer and go quadratic on a busy customer):
+
+    * rows are partitioned by (key, time bucket >= widest frame); the next
+      ``halo`` buckets get narrow copies (key, time, values) of each row, so a
+      partition holds at most ~2 buckets of one customer;
+    * every row emits one zero-weight *probe* per frame at ``t - w``, keyed by
+      the row's unique ``id_col`` (deterministic, unlike a generated id);
     * one running sum per partition in (time, probe-first) order gives
-      S(<= t) at data rows and S(< t - window) at probes;
-    * a second window partitioned by (key, bucket, row id) -- satisfied by
-      the existing partitioning, so no shuffle -- subtracts the probe value.
+      S(<= t) at data rows and S(< t - w) at probes -- one shuffle and one sort
+      for all frames;
+    * a second window partitioned by (key, bucket, row id) -- satisfied by the
+      existing partitioning, so no shuffle -- subtracts each probe's value.
 
-    Count, sum and sum of squares are exact (money as DECIMAL), so mean and
-    standard deviation do not depend on summation order.
+    Count, sum and sum of squares are exact (money as DECIMAL), so means and
+    standard deviations do not depend on summation order.
     """
-    bucket_us = bucket_us or window_us
-    halo = max(1, math.ceil(window_us / bucket_us))
-    values = sorted({v for _, v in aggs.values()})
+    widest = max(frames)
+    bucket_us = bucket_us or widest
+    halo = max(1, math.ceil(widest / bucket_us))
+    values = sorted({v for aggs in frames.values() for _, v in aggs.values()})
     t = epoch_micros(ts)
-    rid = F.col(id_col)
     sums = {}
     for v in values:
         x = F.col(v)
@@ -103,44 +106,74 @@ def range_window(df: DataFrame, key: str, ts: str, window_us: int,
         sums[f"__s_{v}"] = x.cast(MONEY)
         sums[f"__q_{v}"] = x.cast(MONEY) * x.cast(MONEY)
     home = df.select("*", t.alias("__t"), F.floor(t / F.lit(bucket_us)).alias("__b"),
-                     rid.alias("__rid"), F.lit(1).alias("__kind"), F.lit(True).alias("__home"),
+                     F.col(id_col).alias("__rid"), F.lit(1).alias("__kind"),
+                     F.lit(-1).alias("__frame"), F.lit(True).alias("__home"),
                      *[c.alias(n) for n, c in sums.items()])
     halo_rows = (home.select(key, "__t", "__b", *sums.keys(),
                              F.explode(F.sequence(F.lit(1), F.lit(halo))).alias("__j"))
                  .select(key, "__t", (F.col("__b") + F.col("__j")).alias("__b"), *sums.keys(),
-                         F.lit(1).alias("__kind"), F.lit(False).alias("__home")))
+                         F.lit(1).alias("__kind"), F.lit(-1).alias("__frame"),
+                         F.lit(False).alias("__home")))
     zero = [F.lit(0).cast(home.schema[n].dataType).alias(n) for n in sums]
-    probes = home.select(key, (F.col("__t") - F.lit(window_us)).alias("__t"), "__b", "__rid",
-                         F.lit(0).alias("__kind"), F.lit(False).alias("__home"), *zero)
+    widths = sorted(frames)
+    probes = (home.select(key, "__t", "__b", "__rid",
+                          F.explode(F.array(*[F.lit(i) for i in range(len(widths))])).alias("__frame"))
+              .select(key, (F.col("__t") - F.element_at(F.array(*[F.lit(w) for w in widths]),
+                                                        F.col("__frame") + 1)).alias("__t"),
+                      "__b", "__rid", "__frame", F.lit(0).alias("__kind"), F.lit(False).alias("__home"),
+                      *zero))
     stream = home.unionByName(halo_rows, allowMissingColumns=True).unionByName(
         probes, allowMissingColumns=True)
     w1 = (Window.partitionBy(key, "__b").orderBy("__t", "__kind")
           .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     cum = stream.select("*", *[F.sum(n).over(w1).alias(f"__c{n}") for n in sums])
     w2 = Window.partitionBy(key, "__b", "__rid")
-    probe = {n: F.max(F.when(F.col("__kind") == 0, F.col(f"__c{n}"))).over(w2) for n in sums}
-    framed = cum.select("*", *[(F.col(f"__c{n}") - F.coalesce(probe[n], F.lit(0))).alias(f"__f{n}")
-                               for n in sums]).filter(F.col("__home"))
+    cols = []
+    for i, w in enumerate(widths):
+        for n in sums:
+            pv = F.max(F.when(F.col("__frame") == i, F.col(f"__c{n}"))).over(w2)
+            cols.append((F.col(f"__c{n}") - F.coalesce(pv, F.lit(0))).alias(f"__f{i}{n}"))
+    framed = cum.select("*", *cols).filter(F.col("__home"))
     out = []
-    for name, (fn, v) in aggs.items():
-        n = F.col(f"__f__n_{v}")
-        s_ = F.col(f"__f__s_{v}").cast("double")
-        q = F.col(f"__f__q_{v}").cast("double")
-        if fn == "count":
-            e = n
-        elif fn == "sum":
-            e = F.when(n > 0, s_)
-        elif fn == "avg":
-            e = F.when(n > 0, s_ / n)
-        elif fn == "stddev":
-            e = F.when(n > 1, F.sqrt(F.greatest((q - s_ * s_ / n) / (n - 1), F.lit(0.0))))
-        else:
-            raise ValueError(fn)
-        out.append(e.alias(name))
+    for i, w in enumerate(widths):
+        for name, (fn, v) in frames[w].items():
+            n = F.col(f"__f{i}__n_{v}")
+            s_ = F.col(f"__f{i}__s_{v}").cast("double")
+            q = F.col(f"__f{i}__q_{v}").cast("double")
+            if fn == "count":
+                e = n
+            elif fn == "sum":
+                e = F.when(n > 0, s_)
+            elif fn == "avg":
+                e = F.when(n > 0, s_ / n)
+            elif fn == "stddev":
+                e = F.when(n > 1, F.sqrt(F.greatest((q - s_ * s_ / n) / (n - 1), F.lit(0.0))))
+            else:
+                raise ValueError(fn)
+            out.append(e.alias(name))
     keep = carry if carry is not None else df.columns
     return framed.select(*keep, *out)
 
 
+def range_window(df: DataFrame, key: str, ts: str, window_us: int,
+                 aggs: dict[str, tuple[str, str]], bucket_us: int | None = None,
+                 carry: list[str] | None = None, id_col: str = "transaction_id") -> DataFrame:
+    """One ``RANGE [t - window, t]`` frame (see ``range_windows``)."""
+    return range_windows(df, key, ts, {window_us: aggs}, bucket_us, carry, id_col)
+
+
+WIN_24H_AGGS = {"tx_count_24h": ("count", "amount"), "amount_sum_24h": ("sum", "amount")}
+WIN_7D_AGGS = {"tx_count_7d": ("count", "amount"), "amount_mean_7d": ("avg", "amount"),
+               "amount_std_7d": ("stddev", "amount")}
+
+
+def win_24h_7d(df: DataFrame, key: str = "customer_id", ts: str = "ts",
+               id_col: str = "transaction_id") -> DataFrame:
+    """Ops 73 + 74 in one pass (one shuffle, one sort)."""
+    return range_windows(df, key, ts, {24 * US_PER_HOUR: WIN_24H_AGGS, 7 * US_PER_DAY: WIN_7D_AGGS},
+                         id_col=id_col)
+
+
 # op 73
 def win_24h(df: DataFrame, key: str = "customer_id", ts: str = "ts",
             amount: str = "amount", bucket_us: int | None = None,

@@ -153,7 +153,7 @@ SELECT transaction_id, amount, is_fraud, count(amount) {W24} AS tx_count_24h,
   round({mavg(W7)}, 6) AS amount_mean_7d FROM tx""")
 def q_join_augment_features(spark, d):
     base = fx.tx(spark, d).select("transaction_id", "amount", "is_fraud")
-    raw = H.win_7d(H.win_24h(fx.tx(spark, d).select("transaction_id", "customer_id", "ts", "amount")))
+    raw = H.win_24h_7d(fx.tx(spark, d).select("transaction_id", "customer_id", "ts", "amount"))
     extra = raw.select("transaction_id", "tx_count_24h", "amount_mean_7d")
     return finish(base.join(extra, "transaction_id", "left"))
 

@@ -142,8 +142,7 @@ def q_amount_vs_lifetime_ratio(spark, d):
 def risk_features(spark, d) -> DataFrame:
     """tx + 24 h / 7 d windows + lifetime + prior ratio + velocity + merchant risk + age."""
     t = fx.tx(spark, d)
-    w = H.win_24h(t)
-    w = H.win_7d(w)
+    w = H.win_24h_7d(t)
     w = H.prior_mean_ratio(w)
     life = H.customer_lifetime(t)
     w = w.join(life, "customer_id", "left")
@@ -226,7 +225,7 @@ FROM top, sh, LATERAL (VALUES ('amount_mean_total', top.d0 <= 1, sh.s0),
   ('amount_mean_7d', top.d3 <= 1, sh.s3)) x(column_name, is_lifetime_constant, constant_share)""")
 def q_leakage_lifetime_constant(spark, d):
     t = _narrow(spark, d)
-    w = H.win_7d(H.win_24h(t))
+    w = H.win_24h_7d(t)
     w = w.join(H.customer_lifetime(t).select("customer_id", "amount_mean_total"), "customer_id")
     # round so distinct counts do not depend on float summation order
     w = finish(w, 9)
