@@ -241,13 +241,13 @@ def prior_mean_ratio(df: DataFrame, key: str = "customer_id", ts: str = "ts",
     return s.select("*", F.coalesce(ratio, F.lit(1.0)).alias("amount_vs_mean_ratio_safe"))
 
 
-def prior_distinct(df: DataFrame, key: str, ts: str, tiebreak: str,
-                   cols: dict[str, str], inclusive: bool = False) -> DataFrame:
-    """Number of distinct values of each column over prior rows of the key.
+def first_flags(df: DataFrame, key: str, ts: str, tiebreak: str,
+                cols: dict[str, str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Mark the first row (by ts, tiebreak) of every (key, value) of each column.
 
-    First occurrence of every (key, value) is found by an aggregate (min of
-    (ts, id)); a prior distinct count is then a prefix count of
-    first-occurrence flags, handled by ``prior_sums``.
+    The first occurrence is an aggregate (min of (ts, id)) per (key, value),
+    reduced map-side; a prior distinct count is then a prefix count of these
+    flags.  Returns the frame with the aggregates joined and the flag columns.
     """
     cur = df
     flags = {}
@@ -259,9 +259,15 @@ def prior_distinct(df: DataFrame, key: str, ts: str, tiebreak: str,
         f = F.col(f"__first_{out}")
         flags[out] = F.when((f["t"] == F.col(ts)) & (f["i"] == F.col(tiebreak)), 1).otherwise(0) \
             .cast("long")
-    cur = cur.select(*df.columns, *[v.alias(f"__flag_{k}") for k, v in flags.items()])
-    s = prior_sums(cur, key, ts, tiebreak, {k: F.col(f"__flag_{k}") for k in cols},
-                   inclusive=inclusive)
+    return cur, flags
+
+
+def prior_distinct(df: DataFrame, key: str, ts: str, tiebreak: str,
+                   cols: dict[str, str], inclusive: bool = False) -> DataFrame:
+    """Number of distinct values of each column over prior rows of the key."""
+    cur, flags = first_flags(df, key, ts, tiebreak, cols)
+    s = prior_sums(cur.select(*df.columns, *[v.alias(f"__flag_{k}") for k, v in flags.items()]),
+                   key, ts, tiebreak, {k: F.col(f"__flag_{k}") for k in cols}, inclusive=inclusive)
     return s.select(*df.columns, *cols.keys())
 
 
@@ -270,22 +276,26 @@ def history_features(df: DataFrame, key: str = "customer_id", ts: str = "ts",
                      tiebreak: str = "transaction_id", amount: str = "amount",
                      channel: str = "channel", location: str = "location",
                      online_channels: list[str] = ("view", "click", "signup")) -> DataFrame:
-    """Leak-safe lifetime measures: statistics of strictly earlier rows only."""
+    """Leak-safe lifetime measures: statistics of strictly earlier rows only,
+    all running sums (count, money, squares, online, first occurrences) in ONE
+    two-level prefix pass."""
+    div = {"channel_diversity_prior": channel, "location_diversity_prior": location}
+    cur, flags = first_flags(df, key, ts, tiebreak, div)
     x = F.col(amount).cast(MONEY)
-    s = prior_sums(df, key, ts, tiebreak, {
-        "__n": F.lit(1).cast("long"), "__s": x, "__q": x * x,
-        "__on": F.col(channel).isin(list(online_channels)).cast("long")})
+    vals = {"__n": F.lit(1).cast("long"), "__s": x, "__q": x * x,
+            "__on": F.col(channel).isin(list(online_channels)).cast("long"),
+            **{f"__d_{k}": F.col(f"__flag_{k}") for k in div}}
+    flagged = cur.select(*df.columns, *[v.alias(f"__flag_{k}") for k, v in flags.items()])
+    s = prior_sums(flagged, key, ts, tiebreak, vals)
     n = F.col("__n")
     sm, sq = F.col("__s").cast("double"), F.col("__q").cast("double")
     var = (sq - sm * sm / n) / (n - 1)
-    s = s.select(*df.columns,
-                 n.alias("tx_count_prior"),
-                 F.when(n > 0, sm / n).alias("amount_mean_prior"),
-                 F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("amount_std_prior"),
-                 F.when(n > 0, F.col("__on").cast("double") / n).alias("online_channel_ratio_prior"))
-    d = prior_distinct(s, key, ts, tiebreak, {"channel_diversity_prior": channel,
-                                              "location_diversity_prior": location})
-    return d
+    return s.select(*df.columns,
+                    n.alias("tx_count_prior"),
+                    F.when(n > 0, sm / n).alias("amount_mean_prior"),
+                    F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("amount_std_prior"),
+                    F.when(n > 0, F.col("__on").cast("double") / n).alias("online_channel_ratio_prior"),
+                    *[F.col(f"__d_{k}").alias(k) for k in div])
 
 
 # op 66
