@@ -27,6 +27,7 @@ BASE_FEATURES = ["amount", "hour", "day_of_week", "month", "merchant_risk_score"
                  "composite_risk", "age_numeric", "amount_sum_24h", "amount_vs_mean_ratio_safe"]
 RF_PARAMS = dict(numTrees=100, maxDepth=10, minInstancesPerNode=50)
 LR_MAX_ITER = 1000
+LR_TOL = 1e-4  # scikit-learn's default tolerance used by the reference
 VERDICT_DELTA = 0.002
 SEED = 42
 
@@ -72,7 +73,8 @@ def train_lr(train: DataFrame, features: list[str], label: str = "is_fraud",
               StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
               LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
                                  regParam=1.0 / (c_param * n), elasticNetParam=0.0,
-                                 standardization=False, maxIter=LR_MAX_ITER, family="binomial")]
+                                 standardization=False, maxIter=LR_MAX_ITER, tol=LR_TOL,
+                                 family="binomial")]
     return Pipeline(stages=stages).fit(tw)
 
 
