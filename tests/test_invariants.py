@@ -131,3 +131,16 @@ def test_empty_and_single_class_metrics(spark):
     one = s.filter("is_fraud = 0")
     r = M.core_metrics(one).first()
     assert r["recall"] == 0.0 and r["tp"] == 0
+
+
+def test_prior_distinct_equals_plain_window_under_skew(spark):
+    t = _hot(spark, SF_MID)
+    ours = H.history_features(t)
+    w = (Window.partitionBy("customer_id").orderBy("ts", "transaction_id")
+         .rowsBetween(Window.unboundedPreceding, -1))
+    ref = t.select("transaction_id", F.size(F.collect_set("channel").over(w)).alias("c"),
+                   F.size(F.collect_set("location").over(w)).alias("l"), F.count("amount").over(w).alias("n"))
+    bad = ours.join(ref, "transaction_id").filter(
+        (F.col("c") != F.col("channel_diversity_prior")) | (F.col("l") != F.col("location_diversity_prior"))
+        | (F.col("n") != F.col("tx_count_prior")))
+    assert bad.count() == 0

@@ -198,31 +198,46 @@ def win_7d(df: DataFrame, key: str = "customer_id", ts: str = "ts",
 
 def prior_sums(df: DataFrame, key: str, ts: str, tiebreak: str,
                values: dict[str, Column], inclusive: bool = False,
-               bucket_us: int = US_PER_DAY) -> DataFrame:
-    """Running sums of ``values`` over rows ordered by (ts, tiebreak) per key.
-
-    ``inclusive=False`` sums strictly earlier rows (ROWS UNBOUNDED PRECEDING
-    AND 1 PRECEDING); empty sums are 0.  Output keeps all input columns and
-    adds one column per value name.
+               bucket_us: int = US_PER_DAY, distinct: dict[str, str] | None = None) -> DataFrame:
+    """Running sums of ``values`` over rows ordered by (ts, tiebreak) per key, and
+    running distinct counts of the ``distinct`` columns (output name -> column).
+
+    ``inclusive=False`` covers strictly earlier rows (ROWS UNBOUNDED PRECEDING
+    AND 1 PRECEDING); empty sums are 0.  One shuffle of the rows, on
+    (key, bucket):
+
+    * level 1: per (key, bucket) totals and value sets, reduced map-side;
+    * level 2: prefix over a customer's buckets (one row per active bucket):
+      offsets and the union of the value sets of earlier buckets;
+    * rows are joined to their bucket's offsets (co-partitioned) and a local
+      running sum is added.  A row is a first occurrence of its value if it
+      is first in its bucket and the value is not in the earlier buckets' set.
     """
+    distinct = distinct or {}
     t = epoch_micros(ts)
     base = df.select("*", t.alias("__t"), F.floor(t / F.lit(bucket_us)).alias("__b"),
                      *[c.alias(f"__v_{n}") for n, c in values.items()])
-    # level 1: per (key, bucket) totals, reduced map-side
-    tot = base.groupBy(key, "__b").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
-    # level 2: prefix over a customer's buckets (one row per active bucket)
+    tot = base.groupBy(key, "__b").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values],
+                                        *[F.collect_set(c).alias(f"__set_{o}")
+                                          for o, c in distinct.items()])
     wb = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(key, "__b", *[F.coalesce(F.sum(f"__s_{n}").over(wb), F.lit(0))
-                                   .alias(f"__o_{n}") for n in values])
-    # local running sum inside each bucket
+                                   .alias(f"__o_{n}") for n in values],
+                     *[F.array_distinct(F.flatten(F.collect_list(f"__set_{o}").over(wb)))
+                       .alias(f"__p_{o}") for o in distinct])
+    j = base.join(off, [key, "__b"])
+    for o, c in distinct.items():
+        wv = Window.partitionBy(key, "__b", c).orderBy("__t", tiebreak)
+        first = (F.col(c).isNotNull() & (F.row_number().over(wv) == 1)
+                 & ~F.array_contains(F.col(f"__p_{o}"), F.col(c)))
+        j = j.select("*", first.cast("long").alias(f"__v_{o}"),
+                     F.size(F.col(f"__p_{o}")).cast("long").alias(f"__o_{o}"))
     end = 0 if inclusive else -1
     wl = (Window.partitionBy(key, "__b").orderBy("__t", tiebreak)
           .rowsBetween(Window.unboundedPreceding, end))
-    local = base.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(wl), F.lit(0))
-                               .alias(f"__l_{n}") for n in values])
-    j = local.join(off, [key, "__b"])
-    return j.select(*df.columns, *[(F.col(f"__o_{n}") + F.col(f"__l_{n}")).alias(n)
-                                   for n in values])
+    names = list(values) + list(distinct)
+    return j.select(*df.columns, *[(F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wl), F.lit(0)))
+                                   .alias(n) for n in names])
 
 
 # op 75 + 76
@@ -241,34 +256,10 @@ def prior_mean_ratio(df: DataFrame, key: str = "customer_id", ts: str = "ts",
     return s.select("*", F.coalesce(ratio, F.lit(1.0)).alias("amount_vs_mean_ratio_safe"))
 
 
-def first_flags(df: DataFrame, key: str, ts: str, tiebreak: str,
-                cols: dict[str, str]) -> tuple[DataFrame, dict[str, Column]]:
-    """Mark the first row (by ts, tiebreak) of every (key, value) of each column.
-
-    The first occurrence is an aggregate (min of (ts, id)) per (key, value),
-    reduced map-side; a prior distinct count is then a prefix count of these
-    flags.  Returns the frame with the aggregates joined and the flag columns.
-    """
-    cur = df
-    flags = {}
-    for out, c in cols.items():
-        first = (df.filter(F.col(c).isNotNull()).groupBy(key, c)
-                 .agg(F.min(F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("i")))
-                      .alias(f"__first_{out}")))
-        cur = cur.join(first, [key, c], "left")
-        f = F.col(f"__first_{out}")
-        flags[out] = F.when((f["t"] == F.col(ts)) & (f["i"] == F.col(tiebreak)), 1).otherwise(0) \
-            .cast("long")
-    return cur, flags
-
-
 def prior_distinct(df: DataFrame, key: str, ts: str, tiebreak: str,
                    cols: dict[str, str], inclusive: bool = False) -> DataFrame:
     """Number of distinct values of each column over prior rows of the key."""
-    cur, flags = first_flags(df, key, ts, tiebreak, cols)
-    s = prior_sums(cur.select(*df.columns, *[v.alias(f"__flag_{k}") for k, v in flags.items()]),
-                   key, ts, tiebreak, {k: F.col(f"__flag_{k}") for k in cols}, inclusive=inclusive)
-    return s.select(*df.columns, *cols.keys())
+    return prior_sums(df, key, ts, tiebreak, {}, inclusive=inclusive, distinct=cols)
 
 
 # op 77
@@ -277,16 +268,12 @@ def history_features(df: DataFrame, key: str = "customer_id", ts: str = "ts",
                      channel: str = "channel", location: str = "location",
                      online_channels: list[str] = ("view", "click", "signup")) -> DataFrame:
     """Leak-safe lifetime measures: statistics of strictly earlier rows only,
-    all running sums (count, money, squares, online, first occurrences) in ONE
-    two-level prefix pass."""
+    all running sums and distinct counts in ONE two-level prefix pass."""
     div = {"channel_diversity_prior": channel, "location_diversity_prior": location}
-    cur, flags = first_flags(df, key, ts, tiebreak, div)
     x = F.col(amount).cast(MONEY)
     vals = {"__n": F.lit(1).cast("long"), "__s": x, "__q": x * x,
-            "__on": F.col(channel).isin(list(online_channels)).cast("long"),
-            **{f"__d_{k}": F.col(f"__flag_{k}") for k in div}}
-    flagged = cur.select(*df.columns, *[v.alias(f"__flag_{k}") for k, v in flags.items()])
-    s = prior_sums(flagged, key, ts, tiebreak, vals)
+            "__on": F.col(channel).isin(list(online_channels)).cast("long")}
+    s = prior_sums(df, key, ts, tiebreak, vals, distinct=div)
     n = F.col("__n")
     sm, sq = F.col("__s").cast("double"), F.col("__q").cast("double")
     var = (sq - sm * sm / n) / (n - 1)
@@ -295,7 +282,7 @@ def history_features(df: DataFrame, key: str = "customer_id", ts: str = "ts",
                     F.when(n > 0, sm / n).alias("amount_mean_prior"),
                     F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("amount_std_prior"),
                     F.when(n > 0, F.col("__on").cast("double") / n).alias("online_channel_ratio_prior"),
-                    *[F.col(f"__d_{k}").alias(k) for k in div])
+                    *div.keys())
 
 
 # op 66
