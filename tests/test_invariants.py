@@ -144,3 +144,14 @@ def test_prior_distinct_equals_plain_window_under_skew(spark):
         (F.col("c") != F.col("channel_diversity_prior")) | (F.col("l") != F.col("location_diversity_prior"))
         | (F.col("n") != F.col("tx_count_prior")))
     assert bad.count() == 0
+
+
+def test_risk_by_many_equals_single_tables(spark):
+    from txrisk.operators import risk
+
+    t = fx.tx(spark, SF_SMALL)
+    many = risk.risk_by_many(t, ["channel", "bank"])
+    for d in ["channel", "bank"]:
+        part = many.filter(F.col(d).isNotNull()).select(d, "total", "fraud_cases")
+        single = risk.risk_by(t, d).select(d, "total", "fraud_cases")
+        assert part.exceptAll(single).count() == 0 and single.exceptAll(part).count() == 0
