@@ -186,3 +186,27 @@ def test_windows_with_timestamp_ties_on_orders(spark):
     for c in ["tx_count_24h", "s24", "tx_count_7d", "pm"]:
         bad = m[(m[c] - m[f"{c}_ref"]).abs() >= 1e-6]
         assert bad.empty, (c, bad.head(3).to_dict("records"))
+
+
+def _exchanges(df):
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange (hashpartitioning\([^)]*\)|SinglePartition|rangepartitioning\([^)]*\))",
+                      plan)
+
+
+def test_history_plan_shuffles_rows_once(spark):
+    """All prior-row features: the rows are shuffled once, on (customer, bucket); other
+    exchanges only move the per-bucket summary table."""
+    t = fx.tx(spark, SF_SMALL).select("transaction_id", "customer_id", "ts", "amount", "channel", "location")
+    ex = _exchanges(H.history_features(t))
+    assert "SinglePartition" not in ex
+    assert all(e.startswith("hashpartitioning(customer_id") for e in ex)
+
+
+def test_risk_table_plan_is_partial_aggregate(spark):
+    from txrisk.operators import risk
+
+    plan = risk.risk_by(fx.tx(spark, SF_SMALL), "channel")._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "SinglePartition" not in plan

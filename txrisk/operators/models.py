@@ -67,8 +67,12 @@ def train_lr(train: DataFrame, features: list[str], label: str = "is_fraud",
     mean-weighted loss + regParam/2 |w|^2 with regParam = 1 / (C * sum(w_i));
     with balanced weights sum(w_i) = n.
     """
-    tw = _weighted(train, label)
-    n = tw.agg(F.sum("weight")).first()[0]
+    from txrisk.operators.risk import class_weights
+
+    cw = class_weights(train, label).persist()
+    # balanced weights sum to the row count: read it from the (one row per class) table
+    n = cw.agg(F.sum(F.col("n") * F.col("weight"))).first()[0]
+    tw = train.join(F.broadcast(cw.select(label, "weight")), label)  # one row per class
     stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep"),
               StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
               LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
