@@ -99,21 +99,28 @@ def group_threshold(df: DataFrame, group: str = "bank", score: str = "score",
                     base_threshold: float = 0.5) -> DataFrame:
     """Per-group threshold t_g = smallest legitimate score s of the group with
     #(legit, score > s) / #legit <= target (rule p > t).  Default target: the
-    overall FP rate at ``base_threshold``."""
+    overall FP rate at ``base_threshold``.
+
+    Counts "above s" come from per-group cumulative counts over the distinct
+    scores, bucketed like the ROC table -- never a window over one group's
+    rows, so a bank holding a third of the rows is still split across tasks.
+    """
+    from txrisk.operators.metrics import cumulative_by_score
+
     legit = df.filter((F.col(label) == 0) & F.col(group).isNotNull())
     if target_fpr is None:
         tgt = legit.agg((F.sum((F.col(score) > base_threshold).cast("long")).cast("double")
                          / F.count(F.lit(1))).alias("target_fpr"))
     else:
         tgt = df.sparkSession.range(1).select(F.lit(float(target_fpr)).alias("target_fpr"))
-    g = legit.groupBy(group, score).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(group).orderBy(F.col(score).desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    c = g.select(group, score, F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__above"),
-                 F.sum("__c").over(Window.partitionBy(group)).alias("n_legit"))
+    # legit rows only: every row is a "negative"; fp(s) = #(score >= s)
+    cum = cumulative_by_score(legit.select(group, score, F.lit(0).alias("__y")), score, "__y",
+                              group=group)
+    c = cum.select(group, score, (F.col("fp") - F.col("neg")).alias("__above"),
+                   F.col("N").alias("n_legit"))
     c = c.crossJoin(tgt).filter(F.col("__above") <= F.col("target_fpr") * F.col("n_legit"))
     return (c.groupBy(group).agg(F.min(score).alias("threshold"), F.first("n_legit").alias("n_legit"),
                                  F.first("target_fpr").alias("target_fpr"),
                                  F.max_by("__above", F.struct(-F.col(score))).alias("__fp"))
-            .select(group, "threshold", "n_legit", "target_fpr",
+            .select(group, "threshold", F.col("n_legit").cast("long").alias("n_legit"), "target_fpr",
                     (F.col("__fp").cast("double") / F.col("n_legit")).alias("fp_rate_at_threshold")))

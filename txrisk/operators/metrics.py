@@ -31,23 +31,33 @@ def _bucketize(g: DataFrame, score: str, n_buckets: int) -> DataFrame:
 
 
 def cumulative_by_score(df: DataFrame, score: str = "score", label: str = "is_fraud",
-                        n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row per distinct score: pos, neg, tp/fp = counts with score >= s, P, N."""
+                        n_buckets: int = DEFAULT_BUCKETS, group: str | None = None) -> DataFrame:
+    """One row per distinct score (per ``group`` if given): pos, neg, and tp/fp =
+    counts with score >= s, plus the totals P, N (of the group)."""
+    g_cols = [group] if group else []
     y = F.col(label).cast("long")
     g = (df.filter(F.col(score).isNotNull())
-         .groupBy(score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
-    gb = _bucketize(g.select(F.col(score).cast("double").alias(score), "pos", "neg"),
+         .groupBy(*g_cols, score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
+    gb = _bucketize(g.select(*g_cols, F.col(score).cast("double").alias(score), "pos", "neg"),
                     score, n_buckets)
-    tot = gb.groupBy("__bk").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
-    # prefix over at most n_buckets rows (bounded; higher buckets = higher scores first)
-    wb = Window.orderBy(F.col("__bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("__bk", F.coalesce(F.sum("__bp").over(wb), F.lit(0)).alias("__op"),
-                     F.coalesce(F.sum("__bn").over(wb), F.lit(0)).alias("__on"))
-    totals = tot.agg(F.sum("__bp").alias("P"), F.sum("__bn").alias("N"))
-    wl = (Window.partitionBy("__bk").orderBy(F.col(score).desc())
+    tot = gb.groupBy(*g_cols, "__bk").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
+    # prefix over at most n_buckets rows per group (higher buckets = higher scores first)
+    wg = Window.partitionBy(*g_cols) if g_cols else Window.partitionBy()
+    wb = wg.orderBy(F.col("__bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*g_cols, "__bk", F.coalesce(F.sum("__bp").over(wb), F.lit(0)).alias("__op"),
+                     F.coalesce(F.sum("__bn").over(wb), F.lit(0)).alias("__on"),
+                     F.sum("__bp").over(wg).alias("P"), F.sum("__bn").over(wg).alias("N"))
+    wl = (Window.partitionBy(*g_cols, "__bk").orderBy(F.col(score).desc())
           .rowsBetween(Window.unboundedPreceding, 0))
-    j = gb.join(F.broadcast(off), "__bk").crossJoin(F.broadcast(totals))
-    return j.select(score, "pos", "neg",
+    # <= n_buckets rows: broadcast; per group (groups x n_buckets rows): broadcast after a size check
+    if g_cols:
+        from txrisk.operators.joins import broadcast_if_small
+
+        off = broadcast_if_small(off)
+    else:
+        off = F.broadcast(off)
+    j = gb.join(off, [*g_cols, "__bk"])
+    return j.select(*g_cols, score, "pos", "neg",
                     (F.col("__op") + F.sum("pos").over(wl)).alias("tp"),
                     (F.col("__on") + F.sum("neg").over(wl)).alias("fp"), "P", "N")
 
