@@ -14,6 +14,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _default_driver_memory() -> str:
+    """60 % of physical memory, at most 16 GB (local mode runs everything in the driver)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "txrisk") -> SparkSession:
     master = master or os.environ.get("TXRISK_MASTER", "local[8]")
@@ -30,7 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-        .config("spark.driver.memory", os.environ.get("TXRISK_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("TXRISK_DRIVER_MEMORY", _default_driver_memory()))
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
