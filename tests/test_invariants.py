@@ -210,3 +210,26 @@ def test_risk_table_plan_is_partial_aggregate(spark):
 
     plan = risk.risk_by(fx.tx(spark, SF_SMALL), "channel")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "SinglePartition" not in plan
+
+
+def test_prefix_safety_all_history_ops(spark):
+    """Op 80 passes for ops 73-77 (look-back only) and fails for 30 and 66 (lifetime)."""
+    t = fx.tx(spark, SF_SMALL).select("transaction_id", "customer_id", "ts", "amount", "channel", "location")
+
+    def feats(x):
+        w = H.prior_mean_ratio(H.win_24h_7d(x))
+        w = H.history_features(w)
+        w = H.amount_vs_lifetime_ratio(H.profile_join_back(w))
+        return w
+
+    full = feats(t)
+    pre = feats(t.filter(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")))
+    clean = ["tx_count_24h", "amount_sum_24h", "tx_count_7d", "amount_mean_7d", "amount_std_7d",
+             "customer_mean_amount_prior", "amount_vs_mean_ratio_safe", "tx_count_prior",
+             "amount_mean_prior", "channel_diversity_prior", "online_channel_ratio_prior"]
+    leaky = ["amount_mean_total", "tx_count_total", "amount_vs_mean_ratio"]
+    got = {}
+    for c in clean + leaky:
+        got[c] = H.prefix_safety(full, pre, "transaction_id", c).first()["is_prefix_safe"]
+    assert all(got[c] for c in clean), got
+    assert not any(got[c] for c in leaky), got
