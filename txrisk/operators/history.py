@@ -215,25 +215,28 @@ def prior_sums(df: DataFrame, key: str, ts: str, tiebreak: str,
     """
     distinct = distinct or {}
     t = epoch_micros(ts)
-    base = df.select("*", t.alias("__t"), F.floor(t / F.lit(bucket_us)).alias("__b"),
+    # partition / join key that is never NULL: rows with a NULL key form their own group (as in
+    # SQL windows) and the windows and the offsets join all share one (key, bucket) partitioning
+    k = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v"))
+    base = df.select("*", k.alias("__k"), t.alias("__t"), F.floor(t / F.lit(bucket_us)).alias("__b"),
                      *[c.alias(f"__v_{n}") for n, c in values.items()])
-    tot = base.groupBy(key, "__b").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values],
-                                        *[F.collect_set(c).alias(f"__set_{o}")
-                                          for o, c in distinct.items()])
-    wb = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(key, "__b", *[F.coalesce(F.sum(f"__s_{n}").over(wb), F.lit(0))
-                                   .alias(f"__o_{n}") for n in values],
+    tot = base.groupBy("__k", "__b").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values],
+                                          *[F.collect_set(c).alias(f"__set_{o}")
+                                            for o, c in distinct.items()])
+    wb = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("__k", "__b", *[F.coalesce(F.sum(f"__s_{n}").over(wb), F.lit(0))
+                                     .alias(f"__o_{n}") for n in values],
                      *[F.array_distinct(F.flatten(F.collect_list(f"__set_{o}").over(wb)))
                        .alias(f"__p_{o}") for o in distinct])
-    j = base.join(off, [key, "__b"])
+    j = base.join(off, ["__k", "__b"])
     for o, c in distinct.items():
-        wv = Window.partitionBy(key, "__b", c).orderBy("__t", tiebreak)
+        wv = Window.partitionBy("__k", "__b", c).orderBy("__t", tiebreak)
         first = (F.col(c).isNotNull() & (F.row_number().over(wv) == 1)
                  & ~F.array_contains(F.col(f"__p_{o}"), F.col(c)))
         j = j.select("*", first.cast("long").alias(f"__v_{o}"),
                      F.size(F.col(f"__p_{o}")).cast("long").alias(f"__o_{o}"))
     end = 0 if inclusive else -1
-    wl = (Window.partitionBy(key, "__b").orderBy("__t", tiebreak)
+    wl = (Window.partitionBy("__k", "__b").orderBy("__t", tiebreak)
           .rowsBetween(Window.unboundedPreceding, end))
     names = list(values) + list(distinct)
     return j.select(*df.columns, *[(F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wl), F.lit(0)))
