@@ -9,7 +9,9 @@ that the local and the cluster configuration look the same.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,18 +53,31 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must point at shared storage and is read, never
-    replaced.  Only when it is unset (local tests) a scratch folder is made.
+    On a cluster this setting must point at storage that the driver and every
+    executor share; it is read, never replaced.  Only a local master may leave
+    it unset: driver and executors are then one process and a scratch folder
+    is made.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: master is {master}")
         current = tempfile.mkdtemp(prefix="txrisk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
     return current
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path of this run's own below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, path: str):
+    """Write ``df`` as Parquet to a shared path and read it back.
+
+    Cuts the lineage: what follows reads the written files, so a lost executor
+    costs a re-read and not a recomputation.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
