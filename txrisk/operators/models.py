@@ -99,7 +99,7 @@ def train_rf(train: DataFrame, features: list[str], label: str = "is_fraud",
              max_bins: int = 256, **params) -> PipelineModel:
     p = dict(RF_PARAMS)
     p.update(params)
-    checkpoint_dir(train.sparkSession)  # node-id cache checkpoints go to shared storage
+    train.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(train.sparkSession))  # node ids
     tw = _weighted(train, label)
     stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
               RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
