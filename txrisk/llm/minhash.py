@@ -11,9 +11,10 @@ Copies (equal sets) are folded into one representative first.  In a bucket of
 equal band keys every member is compared with one leader of the bucket, chosen
 by a hash that differs from key to key, so a group of near copies costs one
 pair per member and key.  Components of the confirmed links then tell which
-buckets still hold members of different components; only there members are
-paired across components, so no link between different sets is lost to the
-leaders.  Every decision uses whole sets; nothing is capped.
+buckets still hold members of different components.  There all members are
+compared across components, block by block inside tasks that return links
+only, so no link between different sets is lost to the leaders.  Every
+decision uses whole sets; nothing is capped.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import (LOWER, Scratch, bounded_batches, chunks, mix64, table, text_buffer,
+from txrisk.llm.common import (LOWER, Scratch, bounded_batches, chunks, mix64, partitions, table, text_buffer,
                                word_hashes, words)
 from txrisk.llm.components import connected_components
 
@@ -38,6 +39,8 @@ MANTISSA_BITS = 10
 CHANCE = 0.169919487159739093975315012348
 #: Standard deviations that an estimate may fall below the threshold before its pair is given up.
 SIGMAS = 6.0
+#: Members of a key that are compared with as many others in one task.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -143,17 +146,22 @@ def full_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
             .mapInArrow(work, "doc long, shingles array<long>"))
 
 
+def _packed(regs: np.ndarray) -> np.ndarray:
+    """Rows of BANDS 64-bit band values (0: all registers empty)."""
+    return np.ascontiguousarray(regs).view(np.uint64).reshape(len(regs), BANDS)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc, n) of every band that is not empty in all its registers."""
+    """(key, band, doc, n) of every band that is not empty in all its registers."""
     for batch in batches:
-        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16)
-        packed = regs.reshape(len(batch), BANDS, BAND).copy().view(np.uint64).reshape(len(batch), BANDS)
+        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        packed = _packed(regs)
         row, band = np.nonzero(packed)
         keys = mix64(packed[row, band] ^ mix64(band.astype(np.uint64) + np.uint64(1)))
-        doc = batch.column("doc").to_numpy()[row]
-        n = batch.column("n").to_numpy()[row]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(doc), pa.array(n)],
-                                         names=["key", "doc", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys.view(np.int64)), pa.array(band.astype(np.int32)),
+             pa.array(batch.column("doc").to_numpy()[row]), pa.array(batch.column("n").to_numpy()[row])],
+            names=["key", "band", "doc", "n"])
 
 
 def _estimated(threshold: float):
@@ -168,6 +176,93 @@ def _estimated(threshold: float):
     return work
 
 
+def _pairs_of(group: dict[str, np.ndarray], rule: Similar) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs (positions) across components of one (key, left, right) group, in their first common band."""
+    band = int(group["band"][0])
+    one = np.flatnonzero(group["side"] == 0)
+    two = one if group["left"][0] == group["right"][0] else np.flatnonzero(group["side"] == 1)
+    packed, regs, n, c = _packed(group["regs"]), group["regs"], group["n"], group["c"]
+    for lo in range(0, len(one), 64):
+        i = one[lo: lo + 64]
+        ok = c[i][:, None] != c[two][None, :]
+        ok &= rule.den * np.minimum(n[i][:, None], n[two]) >= rule.num * np.maximum(n[i][:, None], n[two])
+        if two is one:
+            ok &= i[:, None] < two[None, :]
+        r, k = np.nonzero(ok)
+        a, b = i[r], two[k]
+        if len(a) and band:
+            earlier = ((packed[a, :band] == packed[b, :band]) & (packed[a, :band] > 0)).any(axis=1)
+            a, b = a[~earlier], b[~earlier]
+        if len(a):
+            ok = may_reach(regs[a], regs[b], n[a], n[b], rule.num / rule.den)
+            yield a[ok], b[ok]
+
+
+def _links_of(group: dict, rule: Similar) -> list[tuple[int, int]]:
+    """Confirmed links of a group; components that a link has joined are not compared again."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    out = []
+    doc, sets, c = group["doc"], group["shingles"], group["c"].tolist()
+    for a, b in _pairs_of(group, rule):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(c[i]), root(c[j])
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if rule.den * both >= rule.num * (len(sets[i]) + len(sets[j]) - both):
+                top[max(x, y)] = min(x, y)
+                out.append((int(min(doc[i], doc[j])), int(max(doc[i], doc[j]))))
+    return out
+
+
+def _compare(rule: Similar, confirm: bool):
+    """Over rows sorted by (key, left, right): likely members (key, doc), or confirmed links (a, b)."""
+    def done(parts: list[pa.RecordBatch]) -> tuple[list, list]:
+        rows = pa.Table.from_batches(parts)
+        group: dict = {c: rows.column(c).to_numpy() for c in ("band", "left", "right", "side", "doc", "n", "c")}
+        if len(np.unique(group["c"])) < 2:
+            return [], []
+        group["regs"] = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        if confirm:
+            group["shingles"] = [np.asarray(x.values).view(np.uint64) for x in rows.column("shingles")]
+            pairs = _links_of(group, rule)
+            return [a for a, _ in pairs], [b for _, b in pairs]
+        hit = [np.concatenate(p) for p in _pairs_of(group, rule)]
+        docs = group["doc"][np.unique(np.concatenate(hit))] if hit else np.zeros(0, np.int64)
+        return [rows.column("key")[0].as_py()] * len(docs), docs.tolist()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b"] if confirm else ["key", "doc"]
+        held: list[pa.RecordBatch] = []
+        last = None
+        out: tuple[list, list] = ([], [])
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "left", "right")], axis=1)
+            edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi == lo:
+                    continue
+                this = tuple(ids[lo])
+                if held and this != last:
+                    for have, got in zip(out, done(held), strict=True):
+                        have.extend(got)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = this
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+                out = ([], [])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done(held)], names=names)
+    return work
+
+
 class _Dedup:
     """The tables of one run."""
 
@@ -175,6 +270,13 @@ class _Dedup:
         self.df, self.key, self.text, self.rule = df, key, text, rule
         self.scratch = Scratch(df.sparkSession, "minhash")
 
+    def sets_of(self, docs: DataFrame, name: str) -> DataFrame:
+        """(doc, shingles) of the documents in ``docs`` (doc)."""
+        own = F.col(self.key).cast("long")
+        texts = (self.df.select(own.alias("d"), F.col(self.text).alias("t"))
+                 .join(docs, F.col("d") == F.col("doc"), "left_semi"))
+        return self.scratch.keep(full_sets(texts, "d", "t", self.rule.width), name)
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b: representatives) that the full sets confirm."""
         keep, rule = self.scratch.keep, self.rule
@@ -184,10 +286,7 @@ class _Dedup:
         likely = keep(pairs.join(side("a"), "a").join(side("b"), "b")
                       .mapInArrow(_estimated(rule.num / rule.den), "a long, b long"), "likely")
         ends = keep(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ends")
-        own = F.col(self.key).cast("long")
-        texts = (self.df.select(own.alias("d"), F.col(self.text).alias("t"))
-                 .join(ends, F.col("d") == F.col("doc"), "left_semi"))
-        full = keep(full_sets(texts, "d", "t", rule.width), "full")
+        full = self.sets_of(ends, "full")
         other = full.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         either = F.size("sa") + F.size("sb") - F.col("both")
@@ -195,39 +294,64 @@ class _Dedup:
                     .join(other, "b").withColumn("both", both)
                     .filter(rule.den * F.col("both") >= rule.num * either).select("a", "b").distinct(), "links")
 
+    def open_rows(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
+        """Rows (key, band, doc, n, c: component) of the keys whose members lie in different components."""
+        of = groups.select(F.col("node").alias("doc"), F.col("component").alias("c"))
+        rows = self.scratch.keep(shared.join(of, "doc", "left")
+                                 .select("key", "band", "doc", "n", F.coalesce("c", "doc").alias("c")), "placed")
+        mixed = self.scratch.keep(
+            rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
+                                    F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+            .filter("lo < hi").select("key", "blocks"), "mixed")
+        return self.scratch.keep(rows.join(mixed, "key"), "open")
+
+    def led(self, shared: DataFrame) -> DataFrame:
+        """Pairs (a, b) of each member and its key's leader."""
+        lead = self.scratch.keep(
+            shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc", "n")).alias("l"))
+            .select("key", F.col("l.doc").alias("lead"), F.col("l.n").alias("lead_n")), "leads")
+        sizes = self.rule.den * F.least("n", "lead_n") >= self.rule.num * F.greatest("n", "lead_n")
+        return self.scratch.keep(
+            shared.join(lead, "key").filter((F.col("doc") != F.col("lead")) & sizes)
+            .select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct(), "led")
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """Each member with every block of its key: groups (key, left, right) of at most about 2 x BLOCK rows."""
+        return (rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+                .withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
+                .withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "blocks")
+                .repartition(partitions(self.df.sparkSession), "key", "left", "right")
+                .sortWithinPartitions("key", "left", "right"))
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """Confirmed links (a, b) between different components inside keys, at least one for each two that link.
+
+        First the registers tell which members have a likely partner at all;
+        then these meet again with their full sets.  A pair is compared in its
+        first common band only, and inside tasks; only links come out.
+        """
+        keep = self.scratch.keep
+        regs = self.sets.select("doc", "regs")
+        likely = keep(self.blocks(rows.join(regs, "doc"))
+                      .mapInArrow(_compare(self.rule, False), "key long, doc long").distinct(), "likely-members")
+        docs = keep(likely.select("doc").distinct(), "likely-docs")
+        full = self.sets_of(docs, "likely-sets")
+        again = rows.join(likely, ["key", "doc"]).join(regs, "doc").join(full, "doc")
+        return keep(self.blocks(again).mapInArrow(_compare(self.rule, True), "a long, b long").distinct(), "across")
+
     def run(self) -> DataFrame:
         keep, rule = self.scratch.keep, self.rule
         rows = keep(sketch(self.df, self.key, self.text, rule.width), "sketches")
         ids = rows.filter("doc IS NOT NULL AND n > 0")
         self.sets = keep(ids.groupBy("n", "f1", "f2").agg(F.min("doc").alias("doc"), F.first("regs").alias("regs")),
                          "sets")
-        bands = self.sets.select("doc", "n", "regs").mapInArrow(_bands, "key long, doc long, n long")
-        # a leader for every key that several sets share; its choice differs from key to key
-        leads = keep(
-            bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc", "n")).alias("lead"),
-                                     F.count(F.lit(1)).alias("members"))
-            .filter("members > 1").select("key", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n")),
-            "leads")
-        shared = keep(bands.join(leads, "key"), "shared")
-        fits = lambda n, m: rule.den * F.least(n, m) >= rule.num * F.greatest(n, m)
-        pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        led = keep(shared.filter(F.col("doc") != F.col("lead")).filter(fits(F.col("n"), F.col("lead_n")))
-                   .select(*pair("doc", "lead")).distinct(), "led")
-        links = self.confirmed(led)
+        bands = self.sets.select("doc", "n", "regs").mapInArrow(_bands, "key long, band int, doc long, n long")
+        several = keep(bands.groupBy("key").count().filter("count > 1").select("key"), "keys")
+        shared = keep(bands.join(several, "key"), "shared")
+        links = self.confirmed(self.led(shared))
         groups = connected_components(links, self.scratch)
-        # keys whose members still lie in different components: pair across these, and only there
-        of = groups.select(F.col("node").alias("doc"), F.col("component").alias("c"))
-        placed = keep(shared.select("key", "doc", "n").join(of, "doc", "left")
-                      .select("key", "doc", "n", F.coalesce("c", "doc").alias("c")), "placed")
-        mixed = keep(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-                     .filter("lo < hi").select("key"), "mixed")
-        open_ = keep(placed.join(mixed, "key"), "open")
-        x, y = open_.alias("x"), open_.alias("y")
-        across = (x.join(y, F.col("x.key") == F.col("y.key"))
-                  .filter((F.col("x.doc") < F.col("y.doc")) & (F.col("x.c") != F.col("y.c")))
-                  .filter(fits(F.col("x.n"), F.col("y.n")))
-                  .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct())
-        more = self.confirmed(keep(across.join(led, ["a", "b"], "left_anti"), "across"))
+        more = self.across(self.open_rows(shared, groups))
         if not more.isEmpty():
             groups = connected_components(links.unionByName(more), self.scratch)
         return self.spread(rows, groups)
