@@ -562,8 +562,9 @@ def _splitters(docs: DataFrame, anchors_of: DataFrame, n: int, parts: int, lengt
 
     sample = lambda d: d.filter(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(share)) == 0)
     # about SAMPLED_DOCUMENTS documents, at most 63 grams each
-    got = sorted(bytes(r.gram) for r in sample(docs).join(sample(anchors_of), "doc").select("text", "blobs")
-                 .mapInArrow(grams, "gram binary").collect())
+    # a gram counts once, as a run holds equal strings once
+    got = sorted({bytes(r.gram) for r in sample(docs).join(sample(anchors_of), "doc").select("text", "blobs")
+                 .mapInArrow(grams, "gram binary").collect()})
     return sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
 
 
