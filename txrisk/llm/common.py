@@ -30,7 +30,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of long texts small: at most ``rows`` rows each."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -30,7 +30,7 @@ from txrisk.llm.common import bounded_batches, table
 
 MARK = "▁"
 #: Entries that a Python worker remembers, at most: encoded parts and tested pairs.
-PART_ENTRIES, PAIR_ENTRIES, PART_LENGTH = 300_000, 1_000_000, 48
+PART_ENTRIES, PAIR_ENTRIES, PART_LENGTH = 300_000, 600_000, 48
 
 
 def read_vocabulary(path: str) -> dict:
@@ -64,8 +64,11 @@ class Codec:
         for piece, (i, _) in self.pieces.items():
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.parts: dict[str, tuple[str, int, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.parts: dict[str, str] = {}
+        # by the id as text; marks are spaces, bytes below 0x80 are characters
+        self.texts = {str(i): p.replace(MARK, " ") for i, p in self.id_piece.items()}
+        self.texts |= {str(i): chr(b) for b, i in self.byte_ids.items() if b < 0x80}
 
     # -- pair compatibility ------------------------------------------------
     def _merged(self, text: str) -> list[str]:
@@ -108,7 +111,7 @@ class Codec:
             left = last[end - length]
             if left == -2:  # nothing merges across a character outside the vocabulary
                 left = -1
-            key = (left, i)
+            key = (left + 1) << 32 | i
             fits = pairs.get(key)
             if fits is None:
                 fits = pairs[key] = self._stay_apart(left, i)
@@ -126,15 +129,22 @@ class Codec:
         out.reverse()
         return out
 
-    def decode_ids(self, ids: list[int]) -> str:
-        """Text of ids, the leading mark kept as a space; broken byte runs give U+FFFD."""
-        raw = b"".join(self.id_bytes[i] if i in self.id_bytes else self.id_piece[i].encode("utf-8")
-                       for i in ids)
-        return raw.decode("utf-8", "replace").replace(MARK, " ")
-
-    def _part(self, text: str) -> tuple[str, int, str]:
-        ids = self.encode_part(text)
-        found = (",".join(map(str, ids)), len(ids), self.decode_ids(ids))
+    def decode(self, ids: list[str]) -> str:
+        """Text of ids (as decimal texts), without the space before the first word.
+
+        Runs of byte ids are read as UTF-8, broken ones give U+FFFD.
+        """
+        texts = self.texts
+        try:
+            out = "".join([texts[i] for i in ids])
+        except KeyError:  # bytes of longer characters
+            raw = b"".join([self.id_bytes[int(i)] if int(i) in self.id_bytes else texts[i].encode("utf-8")
+                            for i in ids])
+            out = raw.decode("utf-8", "replace")
+        return out[1:] if out.startswith(" ") else out
+
+    def _part(self, text: str) -> str:
+        found = ",".join(map(str, self.encode_part(text)))
         if len(text) <= PART_LENGTH:
             if len(self.parts) >= PART_ENTRIES:
                 self.parts.clear()
@@ -148,12 +158,12 @@ class Codec:
         marked = MARK + text.replace(" ", MARK)
         return _CUTS.findall(marked)
 
-    def run(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text) of a whole text."""
+    def run(self, text: str) -> tuple[list[str], str, str]:
+        """(ids as decimal texts, the same joined by commas, decoded text) of a whole text."""
         known = self.parts
-        found = [known.get(p) or self._part(p) for p in self.cut(text)]
-        decoded = "".join([x[2] for x in found])
-        return sum([x[1] for x in found]), ",".join([x[0] for x in found]), decoded[1:]
+        joined = ",".join([known.get(p) or self._part(p) for p in self.cut(text)])
+        ids = joined.split(",") if joined else []
+        return ids, joined, self.decode(ids)
 
 
 #: Parts: a line feed alone, or marks and what follows up to the next mark or line feed.
@@ -201,12 +211,12 @@ def encode_decode(df: DataFrame, model: str, key: str = "doc_id", text: str = "t
             n, sha_ids, sha_back = [], [], []
             more: dict[str, list] = {name: [] for name in outputs}
             for value in batch.column(1):
-                count, joined, decoded = codec.run(value.as_py() or "")
-                n.append(count)
+                found, joined, decoded = codec.run(value.as_py() or "")
+                n.append(len(found))
                 sha_ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 sha_back.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                 if "ids" in more:
-                    more["ids"].append([int(x) for x in joined.split(",")] if joined else [])
+                    more["ids"].append([int(x) for x in found])
                 if "decoded" in more:
                     more["decoded"].append(decoded)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha_ids, pa.string()),

@@ -43,7 +43,7 @@ from txrisk.llm.common import (_BYTE_VALUES, Scratch, bounded_batches, chunks, p
 #: Offsets that an anchor serves, position bits packed under a gram's hash, bytes of a scanned segment.
 OFFSETS, POSITION_BITS, SEGMENT = 64, 26, 1 << 22
 #: Anchors held before they are sent, records of a run, documents sampled for the ranges, least hot count.
-ANCHORS_HELD, RUN_RECORDS, SAMPLED_DOCUMENTS, LEAST_HOT = 1_500_000, 100_000, 2000, 4096
+ANCHORS_HELD, RUN_RECORDS, SAMPLED_DOCUMENTS, LEAST_HOT = 400_000, 50_000, 2000, 4096
 SCAN_BYTES = 256 << 10
 WHOLE = 1 << 60  # the end of a span that covers a whole document
 
