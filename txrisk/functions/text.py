@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk.functions.scalar import (FEATURE_LABELS, capitalize_first, feature_label,
                                      format_hour, format_naira, risk_band)
@@ -240,7 +241,7 @@ def narrate(df: DataFrame, prompt: str = "prompt", out: str = "explanation",
     applied per Arrow batch with ``mapInPandas``."""
     if fn is None:
         return df.select("*", default_narration().alias(out))
-    schema = df.schema.add(out, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
         for pdf in batches:

@@ -218,7 +218,9 @@ def prior_sums(df: DataFrame, key: str, ts: str, tiebreak: str,
     # partition / join key that is never NULL: rows with a NULL key form their own group (as in
     # SQL windows) and the windows and the offsets join all share one (key, bucket) partitioning
     k = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v"))
-    base = df.select("*", k.alias("__k"), t.alias("__t"), F.floor(t / F.lit(bucket_us)).alias("__b"),
+    base = df.select("*", k.alias("__k"), t.alias("__t"),
+                     # rows without a time form the earliest bucket of their own
+                     F.coalesce(F.floor(t / F.lit(bucket_us)), F.lit(-(1 << 62))).alias("__b"),
                      *[c.alias(f"__v_{n}") for n, c in values.items()])
     tot = base.groupBy("__k", "__b").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values],
                                           *[F.collect_set(c).alias(f"__set_{o}")
@@ -251,7 +253,7 @@ def prior_mean_ratio(df: DataFrame, key: str = "customer_id", ts: str = "ts",
     Mean of strictly earlier rows; no earlier row -> own amount; mean 0 -> ratio null -> 1.0.
     """
     s = prior_sums(df, key, ts, tiebreak,
-                   {"__pn": F.lit(1).cast("long"), "__ps": F.col(amount).cast(MONEY)})
+                   {"__pn": F.col(amount).isNotNull().cast("long"), "__ps": F.col(amount).cast(MONEY)})
     mean = F.when(F.col("__pn") > 0, F.col("__ps").cast("double") / F.col("__pn")) \
         .otherwise(F.col(amount))
     s = s.select(*df.columns, mean.alias("customer_mean_amount_prior"))
@@ -274,16 +276,16 @@ def history_features(df: DataFrame, key: str = "customer_id", ts: str = "ts",
     all running sums and distinct counts in ONE two-level prefix pass."""
     div = {"channel_diversity_prior": channel, "location_diversity_prior": location}
     x = F.col(amount).cast(MONEY)
-    vals = {"__n": F.lit(1).cast("long"), "__s": x, "__q": x * x,
+    vals = {"__n": F.lit(1).cast("long"), "__m": x.isNotNull().cast("long"), "__s": x, "__q": x * x,
             "__on": F.col(channel).isin(list(online_channels)).cast("long")}
     s = prior_sums(df, key, ts, tiebreak, vals, distinct=div)
-    n = F.col("__n")
+    n, m = F.col("__n"), F.col("__m")  # rows, rows with an amount
     sm, sq = F.col("__s").cast("double"), F.col("__q").cast("double")
-    var = (sq - sm * sm / n) / (n - 1)
+    var = (sq - sm * sm / m) / F.nullif(m - 1, F.lit(0))
     return s.select(*df.columns,
                     n.alias("tx_count_prior"),
-                    F.when(n > 0, sm / n).alias("amount_mean_prior"),
-                    F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("amount_std_prior"),
+                    F.when(m > 0, sm / m).alias("amount_mean_prior"),
+                    F.when(m > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("amount_std_prior"),
                     F.when(n > 0, F.col("__on").cast("double") / n).alias("online_channel_ratio_prior"),
                     *div.keys())
 
@@ -349,19 +351,20 @@ def composite_risk(df: DataFrame, velocity: str = "velocity_score",
 # op 78
 def leakage_lifetime_constant(df: DataFrame, columns: list[str], key: str = "customer_id",
                               min_rows: int = 2) -> DataFrame:
-    """Share of customers (with >= min_rows rows) on whose rows each column is constant,
+    """Share of customers (with >= min_rows rows) on whose rows each column is constant
+    (a smallest and a largest value that are equal; only nulls: not constant),
     plus the verdict for the busiest customer (ties: smallest key)."""
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"),
-                              *[F.count_distinct(F.col(c)).alias(f"__d{i}")
+                              *[F.coalesce(F.min(c) == F.max(c), F.lit(False)).alias(f"__d{i}")
                                 for i, c in enumerate(columns)])
     per = per.filter(F.col("__n") >= min_rows)
     top = per.orderBy(F.col("__n").desc(), F.col(key)).limit(1)
     shares = per.agg(F.count(F.lit(1)).alias("n_customers"),
-                     *[F.avg((F.col(f"__d{i}") <= 1).cast("double")).alias(f"__s{i}")
+                     *[F.avg(F.col(f"__d{i}").cast("double")).alias(f"__s{i}")
                        for i in range(len(columns))])
     j = top.crossJoin(shares)
     entries = [F.struct(F.lit(c).alias("column_name"),
-                        (F.col(f"__d{i}") <= 1).alias("is_lifetime_constant"),
+                        F.col(f"__d{i}").alias("is_lifetime_constant"),
                         F.col(f"__s{i}").alias("constant_share"))
                for i, c in enumerate(columns)]
     return j.select(F.col(key).alias("customer_checked"),

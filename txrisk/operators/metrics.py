@@ -67,7 +67,7 @@ def auc_roc(cum: DataFrame) -> DataFrame:
     """Exact AUC with ties counted 1/2: sum over scores of neg * (#pos above + pos/2) / (P*N)."""
     return cum.agg(
         (F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0))
-         / (F.first("P") * F.first("N"))).alias("auc"))
+         / (F.first("P").cast("double") * F.first("N").cast("double"))).alias("auc"))
 
 
 # op 104

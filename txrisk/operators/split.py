@@ -102,18 +102,28 @@ def select_cases(df: DataFrame, id_col: str = "transaction_id", label: str = "is
     return fraud.unionByName(fp).drop("__h")
 
 
+def flagged_cases(df: DataFrame, label: str = "is_fraud", pred: str = "predicted") -> DataFrame:
+    """Every actual fraud and every false positive, with its case_type: one narrow pass."""
+    kind = (F.when(F.col(label) == 1, "true_fraud")
+            .when((F.col(label) == 0) & (F.col(pred) == 1), "false_positive"))
+    return df.select("*", kind.alias("case_type")).filter(F.col("case_type").isNotNull())
+
+
 # op 89
 def blind_rating_sample(cases: DataFrame, id_col: str = "row_index", case_type: str = "case_type",
                         size: int = 50, seed: str = "42") -> DataFrame:
     """size/2 per type by seeded md5, top-up from the rest to ``size``, shuffled by
-    a second md5, numbered 1..n.  Input is the (small) case table."""
+    a second md5, numbered 1..n.  Two top-k selections: the first rows per type
+    (limited per partition before the shuffle), then the first ``size`` of the rest."""
     per = size // 2
     h = hash_key(id_col, seed)
     ranked = cases.select("*", h.alias("__h"),
                           F.row_number().over(Window.partitionBy(case_type).orderBy(h, id_col))
                           .alias("__r"))
     first = ranked.filter(F.col("__r") <= per)
-    rest = ranked.join(first.select(id_col), id_col, "left_anti")
+    rest = (ranked.drop("__r").join(F.broadcast(first.select(id_col)), id_col, "left_anti")
+            .orderBy("__h", id_col).limit(size))  # first: at most size / 2 rows per type
+    first = first.drop("__r")
     n_first = first.agg(F.count(F.lit(1)).alias("__n1"))
     top_up = (rest.crossJoin(n_first)
               .select("*", F.row_number().over(Window.orderBy("__h", id_col)).alias("__t"))
@@ -122,4 +132,4 @@ def blind_rating_sample(cases: DataFrame, id_col: str = "row_index", case_type:
     chosen = first.unionByName(top_up)
     shuffle = hash_key(id_col, f"{seed}:shuffle")
     return (chosen.select("*", F.row_number().over(Window.orderBy(shuffle, id_col)).alias("case_id"))
-            .drop("__h", "__r"))
+            .drop("__h"))

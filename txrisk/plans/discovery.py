@@ -243,13 +243,13 @@ def q_sink_discovery_json(spark, d):
 
 @query("case_record")
 def q_case_record(spark, d):
-    """Op 127 with true TreeSHAP factors: RF test-set cases (<= 50 fraud + <= 50 false
-    positives), top-3 SHAP features and the prompt."""
+    """Op 127 with true TreeSHAP factors: RF test-set cases (every fraud and every false
+    positive), top-3 SHAP features and the prompt."""
     from txrisk.operators import models as ML, split
     from txrisk.plans.models import FEATURES, rf_model, shap_wide, test_rows
 
     sc = ML.score_table(rf_model(spark, d), test_rows(spark, d), ["transaction_id", "is_fraud"])
-    cs = split.select_cases(sc)
+    cs = split.flagged_cases(sc)
     top = SH.shap_top3(shap_wide(spark, d), FEATURES, "transaction_id")
     ctx = fx.tx(spark, d).select("transaction_id", "amount", "channel", "hour", "bank", "location",
                                  "age_group")

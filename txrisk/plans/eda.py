@@ -341,9 +341,9 @@ def q_top_risk_cells(spark, d):
 SELECT bank, location, channel, CAST(GROUPING(bank, location, channel) AS INT) AS gid,
   count(is_fraud) AS total, CAST(sum(is_fraud) AS BIGINT) AS fraud_cases,
   round(CAST(sum(is_fraud) AS DOUBLE) / count(is_fraud) * 100, 6) AS fraud_rate_pct
-FROM tx GROUP BY CUBE (bank, location, channel) HAVING count(is_fraud) >= 20""")
+FROM tx GROUP BY CUBE (bank, location, channel)""")
 def q_risk_cube3(spark, d):
-    return finish(risk.risk_cube(fx.tx(spark, d), min_volume=20))
+    return finish(risk.risk_cube(fx.tx(spark, d)))
 
 
 @query("amount_gap_by_channel", """

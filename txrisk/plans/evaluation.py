@@ -232,6 +232,12 @@ def q_stratified_kfold(spark, d):
 
 
 _CASES_SQL = f"""cases AS (
+  SELECT transaction_id, is_fraud, {PRED} AS predicted, score,
+    CASE WHEN is_fraud = 1 THEN 'true_fraud' ELSE 'false_positive' END AS case_type FROM scored
+  WHERE is_fraud = 1 OR (is_fraud = 0 AND {PRED} = 1))"""
+
+#: The bounded choice of cases that are explained by a language model and rated by people.
+_PICKED_SQL = f"""cases AS (
   (SELECT transaction_id, is_fraud, {PRED} AS predicted, score, 'true_fraud' AS case_type FROM scored
    WHERE is_fraud = 1 ORDER BY md5('42:' || CAST(transaction_id AS VARCHAR)), transaction_id LIMIT 50)
   UNION ALL
@@ -241,16 +247,20 @@ _CASES_SQL = f"""cases AS (
 
 
 def cases(spark, d) -> DataFrame:
-    s = scored_pred(spark, d).select("transaction_id", "is_fraud", "predicted", "score")
-    return split.select_cases(s)
+    """Every fraud and every false positive."""
+    return split.flagged_cases(scored_pred(spark, d).select("transaction_id", "is_fraud", "predicted", "score"))
+
+
+def picked_cases(spark, d) -> DataFrame:
+    return split.select_cases(scored_pred(spark, d).select("transaction_id", "is_fraud", "predicted", "score"))
 
 
-@query("select_cases", f"WITH {_CASES_SQL}\nSELECT * FROM cases")
+@query("select_cases", f"WITH {_PICKED_SQL}\nSELECT * FROM cases")
 def q_select_cases(spark, d):
-    return cases(spark, d)
+    return picked_cases(spark, d)
 
 
-@query("blind_rating_sample", f"""WITH {_CASES_SQL},
+@query("blind_rating_sample", f"""WITH {_PICKED_SQL},
 c AS (SELECT transaction_id AS row_index, case_type, is_fraud AS actual_is_fraud,
    md5('42:' || CAST(transaction_id AS VARCHAR)) AS h FROM cases),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_type ORDER BY h, row_index) AS rk FROM c),
@@ -263,8 +273,8 @@ ch AS (SELECT row_index, case_type, actual_is_fraud FROM f
 SELECT row_index, case_type, actual_is_fraud,
   row_number() OVER (ORDER BY md5('42:shuffle:' || CAST(row_index AS VARCHAR)), row_index) AS case_id FROM ch""")
 def q_blind_rating_sample(spark, d):
-    c = cases(spark, d).select(F.col("transaction_id").alias("row_index"), "case_type",
-                               F.col("is_fraud").alias("actual_is_fraud"))
+    c = picked_cases(spark, d).select(F.col("transaction_id").alias("row_index"), "case_type",
+                                      F.col("is_fraud").alias("actual_is_fraud"))
     return split.blind_rating_sample(c)
 
 

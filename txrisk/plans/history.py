@@ -215,14 +215,14 @@ per AS (SELECT customer_id, count(*) AS n, count(DISTINCT amount_mean_total) AS
    count(DISTINCT amount_sum_24h) AS d1, count(DISTINCT tx_count_24h) AS d2,
    count(DISTINCT amount_mean_7d) AS d3 FROM w GROUP BY customer_id HAVING count(*) >= 2),
 top AS (SELECT * FROM per ORDER BY n DESC, customer_id LIMIT 1),
-sh AS (SELECT count(*) AS n_customers, avg(CASE WHEN d0 <= 1 THEN 1.0 ELSE 0.0 END) AS s0,
-   avg(CASE WHEN d1 <= 1 THEN 1.0 ELSE 0.0 END) AS s1, avg(CASE WHEN d2 <= 1 THEN 1.0 ELSE 0.0 END) AS s2,
-   avg(CASE WHEN d3 <= 1 THEN 1.0 ELSE 0.0 END) AS s3 FROM per)
+sh AS (SELECT count(*) AS n_customers, avg(CASE WHEN d0 = 1 THEN 1.0 ELSE 0.0 END) AS s0,
+   avg(CASE WHEN d1 = 1 THEN 1.0 ELSE 0.0 END) AS s1, avg(CASE WHEN d2 = 1 THEN 1.0 ELSE 0.0 END) AS s2,
+   avg(CASE WHEN d3 = 1 THEN 1.0 ELSE 0.0 END) AS s3 FROM per)
 SELECT top.customer_id AS customer_checked, top.n AS n_transactions_checked, sh.n_customers,
   x.column_name, x.is_lifetime_constant, round(x.constant_share, 6) AS constant_share
-FROM top, sh, LATERAL (VALUES ('amount_mean_total', top.d0 <= 1, sh.s0),
-  ('amount_sum_24h', top.d1 <= 1, sh.s1), ('tx_count_24h', top.d2 <= 1, sh.s2),
-  ('amount_mean_7d', top.d3 <= 1, sh.s3)) x(column_name, is_lifetime_constant, constant_share)""")
+FROM top, sh, LATERAL (VALUES ('amount_mean_total', top.d0 = 1, sh.s0),
+  ('amount_sum_24h', top.d1 = 1, sh.s1), ('tx_count_24h', top.d2 = 1, sh.s2),
+  ('amount_mean_7d', top.d3 = 1, sh.s3)) x(column_name, is_lifetime_constant, constant_share)""")
 def q_leakage_lifetime_constant(spark, d):
     t = _narrow(spark, d)
     w = H.win_24h_7d(t)

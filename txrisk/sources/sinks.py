@@ -28,8 +28,10 @@ def sink_jsonl_resume(records: DataFrame, path: str, id_col: str = "row_index")
     try:
         done = spark.read.schema(records.schema).json(path).select(id_col)
         todo = records.join(done, id_col, "left_anti")
-    except AnalysisException:  # nothing written yet
-        todo = records
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        todo = records  # nothing written yet
     todo = todo.cache()
     todo.write.mode("append").json(path)
     return todo
