@@ -151,6 +151,11 @@ class Codec:
             self.parts[text] = found
         return found
 
+    def forget(self) -> None:
+        """Drops what was remembered: a reused worker keeps no memory from task to task."""
+        self.parts.clear()
+        self.pairs.clear()
+
     def cut(self, text: str) -> list[str]:
         """The parts of a text that are encoded on their own, marks and line feeds included."""
         if not text:
@@ -224,6 +229,7 @@ def encode_decode(df: DataFrame, model: str, key: str = "doc_id", text: str = "t
             columns += [pa.array(v, pa.list_(pa.int32()) if name == "ids" else pa.string())
                         for name, v in more.items()]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        codec.forget()
 
     return df.select(key, text).mapInArrow(work, T.StructType(fields))
 
