@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.operators.joins import lookup_join
-from txrisk.operators.profile import EXACT_QUANTILE_MAX_ROWS, numeric_columns
+from txrisk.operators.profile import exact_quantiles, numeric_columns
 
 
 # op 26
@@ -54,19 +54,14 @@ def prefix_select(df: DataFrame, prefixes=(), numeric: bool = False, exclude=(),
 QUANTILE_LABELS = ["Low", "Medium", "High", "Very High"]
 
 
-def quantile_bin(df: DataFrame, col: str, labels=QUANTILE_LABELS, out: str | None = None,
-                 exact: bool | None = None) -> DataFrame:
+def quantile_bin(df: DataFrame, col: str, labels=QUANTILE_LABELS, out: str | None = None) -> DataFrame:
     """qcut-like bins: linear-interpolated quantile edges, right-closed intervals,
     lowest edge included; duplicate edges collapse bins (``duplicates='drop'``)."""
     out = out or f"{col}_bin"
     k = len(labels)
     probs = [i / k for i in range(1, k)]
-    if exact is None:
-        exact = df.count() <= EXACT_QUANTILE_MAX_ROWS
-    arr = F.array(*[F.lit(p) for p in probs])
-    q = F.percentile(F.col(col), arr) if exact else F.percentile_approx(F.col(col), arr, 100000)
-    edges = df.agg(q.alias("__q"))  # one row
-    j = df.crossJoin(edges)
+    edges = exact_quantiles(df, [col], probs).select(F.col("q0").alias("__q"))  # one row
+    j = df.crossJoin(F.broadcast(edges))
     x = F.col(col)
     expr = None
     for i, lab in enumerate(labels[:-1]):

@@ -7,16 +7,16 @@ with one customer holding a third of 100 TB that task never finishes.  Two
 shapes avoid it while staying exact:
 
 * **Time-range frames** (24 h / 7 d, ``RANGE ... PRECEDING AND CURRENT ROW``):
-  rows are partitioned by ``(customer, time bucket)`` with bucket width >= the
-  frame.  Every row is also copied, with only the columns the frame needs,
-  into the following ``halo`` buckets, so each bucket sees the look-back it
-  needs.  Group size is bounded by a customer's traffic in ~2 buckets, and
-  the replicated bytes are only (key, time, value).
+  a frame's value depends on (customer, time) alone, so rows are first reduced
+  map-side to distinct (customer, time) points.  Two-level prefix sums over
+  (customer, hour) buckets give S(<= t) and S(< t - w), and the rows fetch
+  their frames by (customer, time), which spreads a hot customer.
 * **Prior-row frames** (``ROWS UNBOUNDED PRECEDING AND 1 PRECEDING``, i.e.
   expanding statistics): a two-level prefix sum.  Per (customer, bucket)
   totals are pre-aggregated map-side, prefix-summed per customer over the
-  (few) buckets, and added to a local running sum inside each bucket.
-  Distinct counts over prior rows become prefix counts of first occurrences.
+  buckets, and added to a local running sum inside each bucket.  Distinct
+  counts over prior rows are running sums of first occurrences, one event per
+  (customer, value).
 
 Time is handled as microseconds since the epoch computed from the
 ``TIMESTAMP_NTZ`` fields, so results never depend on the session time zone.
@@ -24,8 +24,6 @@ Time is handled as microseconds since the epoch computed from the
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +45,13 @@ def epoch_micros(ts) -> Column:
             + (sec * 1_000_000).cast("long"))
 
 
-MONEY = "decimal(18,2)"
+#: Amounts are summed as decimals with six digits after the point (18 before it), squares with twelve.
+MONEY = "decimal(24,6)"
+SQUARE = "decimal(38,12)"
 
 
 def money_sum(c: Column, w=None) -> Column:
-    """Exact sum of a 2-decimal money column (DECIMAL accumulation, double result).
+    """Exact sum of an amount column (DECIMAL accumulation, double result).
 
     Float sums depend on summation order (partitioning); an exact sum makes
     every engine and every partitioning produce the same double.
@@ -60,6 +60,11 @@ def money_sum(c: Column, w=None) -> Column:
     return (s.over(w) if w is not None else s).cast("double")
 
 
+def square(c: Column) -> Column:
+    """An amount's square for exact sums."""
+    return (c.cast("double") * c.cast("double")).cast(SQUARE)
+
+
 def money_avg(c: Column, w=None) -> Column:
     n = F.count(c)
     n = n.over(w) if w is not None else n
@@ -72,68 +77,63 @@ def money_avg(c: Column, w=None) -> Column:
 
 def range_windows(df: DataFrame, key: str, ts: str,
                   frames: dict[int, dict[str, tuple[str, str]]], bucket_us: int | None = None,
-                  carry: list[str] | None = None, id_col: str = "transaction_id") -> DataFrame:
+                  carry: list[str] | None = None) -> DataFrame:
     """Add ``RANGE [t - w, t]`` aggregates per ``key`` for several frame widths at once.
 
     ``frames`` maps a width in microseconds to {output name: (function, value
     column)}, function one of count, sum, avg, stddev; the current row and its
-    peers are included.  Frames are exact prefix sums, never sliding frames
-    (those re-aggregate their buffer and go quadratic on a busy customer):
-
-    * rows are partitioned by (key, time bucket >= widest frame); the next
-      ``halo`` buckets get narrow copies (key, time, values) of each row, so a
-      partition holds at most ~2 buckets of one customer;
-    * every row emits one zero-weight *probe* per frame at ``t - w``, keyed by
-      the row's unique ``id_col`` (deterministic, unlike a generated id);
-    * one running sum per partition in (time, probe-first) order gives
-      S(<= t) at data rows and S(< t - w) at probes -- one shuffle and one sort
-      for all frames;
-    * a second window partitioned by (key, bucket, row id) -- satisfied by the
-      existing partitioning, so no shuffle -- subtracts each probe's value.
-
-    Count, sum and sum of squares are exact (money as DECIMAL), so means and
-    standard deviations do not depend on summation order.
+    peers are included, so rows of one key and time get equal results whatever
+    their ids.  Rows without a time are each other's peers and in no other
+    frame; rows without a key form one group.
+
+    * rows are reduced map-side to one point per (key, time);
+    * a point becomes one event at t and one weightless probe per frame at
+      t - w, ordered before the points of that time;
+    * per (key, bucket) totals are reduced map-side and prefix-summed over a
+      key's buckets (an hour wide by default); with the running sum inside the
+      bucket this gives S(<= t) and S(< t - w);
+    * the rows fetch their point's frames by (key, time).
+
+    No exchange of points or rows is keyed by the key alone, and none moves a
+    row's other columns but the last join.  Counts and sums are exact decimals,
+    so means and deviations do not depend on summation order.
     """
-    widest = max(frames)
-    bucket_us = bucket_us or widest
-    halo = max(1, math.ceil(widest / bucket_us))
+    bucket_us = bucket_us or US_PER_HOUR
+    widths = sorted(frames)
     values = sorted({v for aggs in frames.values() for _, v in aggs.values()})
-    t = epoch_micros(ts)
+    group = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v"))
+
+    def place(t: Column) -> Column:
+        return F.struct(group.alias("k"), t.isNull().alias("n"), t.alias("t")).alias("__at")
+
     sums = {}
     for v in values:
         x = F.col(v)
-        sums[f"__n_{v}"] = F.when(x.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
-        sums[f"__s_{v}"] = x.cast(MONEY)
-        sums[f"__q_{v}"] = x.cast(MONEY) * x.cast(MONEY)
-    home = df.select("*", t.alias("__t"), F.floor(t / F.lit(bucket_us)).alias("__b"),
-                     F.col(id_col).alias("__rid"), F.lit(1).alias("__kind"),
-                     F.lit(-1).alias("__frame"), F.lit(True).alias("__home"),
-                     *[c.alias(n) for n, c in sums.items()])
-    halo_rows = (home.select(key, "__t", "__b", *sums.keys(),
-                             F.explode(F.sequence(F.lit(1), F.lit(halo))).alias("__j"))
-                 .select(key, "__t", (F.col("__b") + F.col("__j")).alias("__b"), *sums.keys(),
-                         F.lit(1).alias("__kind"), F.lit(-1).alias("__frame"),
-                         F.lit(False).alias("__home")))
-    zero = [F.lit(0).cast(home.schema[n].dataType).alias(n) for n in sums]
-    widths = sorted(frames)
-    probes = (home.select(key, "__t", "__b", "__rid",
-                          F.explode(F.array(*[F.lit(i) for i in range(len(widths))])).alias("__frame"))
-              .select(key, (F.col("__t") - F.element_at(F.array(*[F.lit(w) for w in widths]),
-                                                        F.col("__frame") + 1)).alias("__t"),
-                      "__b", "__rid", "__frame", F.lit(0).alias("__kind"), F.lit(False).alias("__home"),
-                      *zero))
-    stream = home.unionByName(halo_rows, allowMissingColumns=True).unionByName(
-        probes, allowMissingColumns=True)
-    w1 = (Window.partitionBy(key, "__b").orderBy("__t", "__kind")
-          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = stream.select("*", *[F.sum(n).over(w1).alias(f"__c{n}") for n in sums])
-    w2 = Window.partitionBy(key, "__b", "__rid")
-    cols = []
-    for i, w in enumerate(widths):
-        for n in sums:
-            pv = F.max(F.when(F.col("__frame") == i, F.col(f"__c{n}"))).over(w2)
-            cols.append((F.col(f"__c{n}") - F.coalesce(pv, F.lit(0))).alias(f"__f{i}{n}"))
-    framed = cum.select("*", *cols).filter(F.col("__home"))
+        sums[f"__n_{v}"] = F.count(x)
+        sums[f"__s_{v}"] = F.coalesce(F.sum(x.cast(MONEY)), F.lit(0))
+        sums[f"__q_{v}"] = F.coalesce(F.sum(square(x)), F.lit(0))
+    t = F.col("__t")
+    points = df.withColumn("__t", epoch_micros(ts)).groupBy(key, "__t").agg(*[c.alias(n) for n, c in sums.items()])
+    offsets = F.array(F.struct(F.lit(-1).alias("frame"), t.alias("e")),
+                      *[F.struct(F.lit(i).alias("frame"), (t - w).alias("e")) for i, w in enumerate(widths)])
+    events = points.select(place(t), *sums, offsets.alias("__x")).withColumn("__x", F.explode("__x")).select(
+        "__at", F.col("__at.k").alias("__k"), F.col("__x.frame").alias("__frame"), F.col("__x.e").alias("__e"),
+        F.coalesce(F.floor(F.col("__x.e") / F.lit(bucket_us)), F.lit(-(1 << 62))).alias("__b"),
+        *[F.when(F.col("__x.frame") < 0, F.col(n)).otherwise(F.lit(0)).alias(n) for n in sums])
+    wb = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = (events.groupBy("__k", "__b").agg(*[F.sum(n).alias(n) for n in sums])
+              .select("__k", "__b", *[F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(f"__o{n}") for n in sums]))
+    # probes carry no weight, so their order among themselves does not matter
+    wl = (Window.partitionBy("__k", "__b").orderBy("__e", F.when(F.col("__frame") < 0, 1).otherwise(0))
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = events.join(before, ["__k", "__b"]).select(
+        "__at", "__frame", *[(F.col(f"__o{n}") + F.sum(n).over(wl)).alias(n) for n in sums])
+
+    def seen(frame: int, n: str) -> Column:
+        return F.max(F.when(F.col("__frame") == frame, F.col(n)))
+
+    framed = running.groupBy("__at").agg(*[(seen(-1, n) - seen(i, n)).alias(f"__f{i}{n}")
+                                           for i in range(len(widths)) for n in sums])
     out = []
     for i, w in enumerate(widths):
         for name, (fn, v) in frames[w].items():
@@ -152,14 +152,14 @@ def range_windows(df: DataFrame, key: str, ts: str,
                 raise ValueError(fn)
             out.append(e.alias(name))
     keep = carry if carry is not None else df.columns
-    return framed.select(*keep, *out)
+    return df.select("*", place(epoch_micros(ts))).join(framed, "__at").select(*keep, *out)
 
 
 def range_window(df: DataFrame, key: str, ts: str, window_us: int,
                  aggs: dict[str, tuple[str, str]], bucket_us: int | None = None,
-                 carry: list[str] | None = None, id_col: str = "transaction_id") -> DataFrame:
+                 carry: list[str] | None = None) -> DataFrame:
     """One ``RANGE [t - window, t]`` frame (see ``range_windows``)."""
-    return range_windows(df, key, ts, {window_us: aggs}, bucket_us, carry, id_col)
+    return range_windows(df, key, ts, {window_us: aggs}, bucket_us, carry)
 
 
 WIN_24H_AGGS = {"tx_count_24h": ("count", "amount"), "amount_sum_24h": ("sum", "amount")}
@@ -167,29 +167,25 @@ WIN_7D_AGGS = {"tx_count_7d": ("count", "amount"), "amount_mean_7d": ("avg", "am
                "amount_std_7d": ("stddev", "amount")}
 
 
-def win_24h_7d(df: DataFrame, key: str = "customer_id", ts: str = "ts",
-               id_col: str = "transaction_id") -> DataFrame:
-    """Ops 73 + 74 in one pass (one shuffle, one sort)."""
-    return range_windows(df, key, ts, {24 * US_PER_HOUR: WIN_24H_AGGS, 7 * US_PER_DAY: WIN_7D_AGGS},
-                         id_col=id_col)
+def win_24h_7d(df: DataFrame, key: str = "customer_id", ts: str = "ts") -> DataFrame:
+    """Ops 73 + 74 in one pass."""
+    return range_windows(df, key, ts, {24 * US_PER_HOUR: WIN_24H_AGGS, 7 * US_PER_DAY: WIN_7D_AGGS})
 
 
 # op 73
 def win_24h(df: DataFrame, key: str = "customer_id", ts: str = "ts",
-            amount: str = "amount", bucket_us: int | None = None,
-            id_col: str = "transaction_id") -> DataFrame:
+            amount: str = "amount", bucket_us: int | None = None) -> DataFrame:
     return range_window(df, key, ts, 24 * US_PER_HOUR,
                         {"tx_count_24h": ("count", amount), "amount_sum_24h": ("sum", amount)},
-                        bucket_us, id_col=id_col)
+                        bucket_us)
 
 
 # op 74
 def win_7d(df: DataFrame, key: str = "customer_id", ts: str = "ts",
-           amount: str = "amount", bucket_us: int | None = None,
-           id_col: str = "transaction_id") -> DataFrame:
+           amount: str = "amount", bucket_us: int | None = None) -> DataFrame:
     return range_window(df, key, ts, 7 * US_PER_DAY,
                         {"tx_count_7d": ("count", amount), "amount_mean_7d": ("avg", amount),
-                         "amount_std_7d": ("stddev", amount)}, bucket_us, id_col=id_col)
+                         "amount_std_7d": ("stddev", amount)}, bucket_us)
 
 
 # ---------------------------------------------------------------------------
@@ -206,43 +202,44 @@ def prior_sums(df: DataFrame, key: str, ts: str, tiebreak: str,
     AND 1 PRECEDING); empty sums are 0.  One shuffle of the rows, on
     (key, bucket):
 
-    * level 1: per (key, bucket) totals and value sets, reduced map-side;
-    * level 2: prefix over a customer's buckets (one row per active bucket):
-      offsets and the union of the value sets of earlier buckets;
-    * rows are joined to their bucket's offsets (co-partitioned) and a local
-      running sum is added.  A row is a first occurrence of its value if it
-      is first in its bucket and the value is not in the earlier buckets' set.
+    * distinct counts: the first (ts, tiebreak) of every (key, value), reduced
+      map-side, joins the rows as one event of weight 1, so they are running
+      sums as well;
+    * per (key, bucket) totals, reduced map-side, are prefix-summed over a
+      key's buckets (one row per active bucket);
+    * rows and events are joined to their bucket's offsets (co-partitioned) and
+      a local running sum is added.
     """
     distinct = distinct or {}
-    t = epoch_micros(ts)
+    names = [*values, *distinct]
     # partition / join key that is never NULL: rows with a NULL key form their own group (as in
     # SQL windows) and the windows and the offsets join all share one (key, bucket) partitioning
     k = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v"))
-    base = df.select("*", k.alias("__k"), t.alias("__t"),
-                     # rows without a time form the earliest bucket of their own
-                     F.coalesce(F.floor(t / F.lit(bucket_us)), F.lit(-(1 << 62))).alias("__b"),
-                     *[c.alias(f"__v_{n}") for n, c in values.items()])
-    tot = base.groupBy("__k", "__b").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values],
-                                          *[F.collect_set(c).alias(f"__set_{o}")
-                                            for o, c in distinct.items()])
+    # rows without a time form the earliest bucket of their own
+    b = F.coalesce(F.floor(F.col("__t") / F.lit(bucket_us)), F.lit(-(1 << 62))).alias("__b")
+    rows = df.select("*", k.alias("__k"), epoch_micros(ts).alias("__t"), F.col(tiebreak).alias("__i"),
+                     F.lit(0).alias("__event"), *[c.alias(f"__v_{n}") for n, c in values.items()],
+                     *[F.lit(0).cast("long").alias(f"__v_{n}") for n in distinct]).select("*", b)
+    if distinct:
+        seen = F.array(*[F.struct(F.lit(o).alias("o"), F.col(c).cast("string").alias("x")) for o, c in distinct.items()])
+        # rows count what stands before them; an inclusive row counts its own first value too
+        firsts = (df.select(k.alias("__k"), F.struct(epoch_micros(ts).alias("t"), F.col(tiebreak).alias("i")).alias("__f"),
+                            seen.alias("__d")).withColumn("__d", F.explode("__d"))
+                  .filter("__d.x IS NOT NULL").groupBy("__k", "__d").agg(F.min("__f").alias("__f"))
+                  .select("__k", F.col("__f.t").alias("__t"), F.col("__f.i").alias("__i"),
+                          F.lit(-1 if inclusive else 1).alias("__event"),
+                          *[(F.col("__d.o") == o).cast("long").alias(f"__v_{o}") for o in distinct]).select("*", b))
+        rows = rows.unionByName(firsts, allowMissingColumns=True)
+    tot = rows.groupBy("__k", "__b").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
     wb = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("__k", "__b", *[F.coalesce(F.sum(f"__s_{n}").over(wb), F.lit(0))
-                                     .alias(f"__o_{n}") for n in values],
-                     *[F.array_distinct(F.flatten(F.collect_list(f"__set_{o}").over(wb)))
-                       .alias(f"__p_{o}") for o in distinct])
-    j = base.join(off, ["__k", "__b"])
-    for o, c in distinct.items():
-        wv = Window.partitionBy("__k", "__b", c).orderBy("__t", tiebreak)
-        first = (F.col(c).isNotNull() & (F.row_number().over(wv) == 1)
-                 & ~F.array_contains(F.col(f"__p_{o}"), F.col(c)))
-        j = j.select("*", first.cast("long").alias(f"__v_{o}"),
-                     F.size(F.col(f"__p_{o}")).cast("long").alias(f"__o_{o}"))
-    end = 0 if inclusive else -1
-    wl = (Window.partitionBy("__k", "__b").orderBy("__t", tiebreak)
-          .rowsBetween(Window.unboundedPreceding, end))
-    names = list(values) + list(distinct)
-    return j.select(*df.columns, *[(F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wl), F.lit(0)))
-                                   .alias(n) for n in names])
+                                     .alias(f"__o_{n}") for n in names])
+    wl = (Window.partitionBy("__k", "__b").orderBy("__t", "__i", "__event")
+          .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    out = rows.join(off, ["__k", "__b"]).select(
+        *df.columns, "__event",
+        *[(F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wl), F.lit(0))).alias(n) for n in names])
+    return out.filter("__event = 0").drop("__event")
 
 
 # op 75 + 76
@@ -276,7 +273,7 @@ def history_features(df: DataFrame, key: str = "customer_id", ts: str = "ts",
     all running sums and distinct counts in ONE two-level prefix pass."""
     div = {"channel_diversity_prior": channel, "location_diversity_prior": location}
     x = F.col(amount).cast(MONEY)
-    vals = {"__n": F.lit(1).cast("long"), "__m": x.isNotNull().cast("long"), "__s": x, "__q": x * x,
+    vals = {"__n": F.lit(1).cast("long"), "__m": x.isNotNull().cast("long"), "__s": x, "__q": square(F.col(amount)),
             "__on": F.col(channel).isin(list(online_channels)).cast("long")}
     s = prior_sums(df, key, ts, tiebreak, vals, distinct=div)
     n, m = F.col("__n"), F.col("__m")  # rows, rows with an amount

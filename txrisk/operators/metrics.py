@@ -19,22 +19,28 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+LEAST_BUCKETS = 64
+
+
+def _buckets(df: DataFrame, n_buckets: int | None) -> int:
+    """As many as the session's shuffle partitions, so that a bucket stays a task's share."""
+    return n_buckets or max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _bucketize(g: DataFrame, score: str, n_buckets: int) -> DataFrame:
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = g.approxQuantile(score, probs, 0.001) if probs else []
+    cuts = g.approxQuantile(score, probs, 0.1 / n_buckets) if probs else []
     splits = [float("-inf")] + sorted(set(c for c in cuts if c is not None)) + [float("inf")]
     return Bucketizer(splits=splits, inputCol=score, outputCol="__bk",
                       handleInvalid="keep").transform(g)
 
 
 def cumulative_by_score(df: DataFrame, score: str = "score", label: str = "is_fraud",
-                        n_buckets: int = DEFAULT_BUCKETS, group: str | None = None) -> DataFrame:
+                        n_buckets: int | None = None, group: str | None = None) -> DataFrame:
     """One row per distinct score (per ``group`` if given): pos, neg, and tp/fp =
     counts with score >= s, plus the totals P, N (of the group)."""
     g_cols = [group] if group else []
+    n_buckets = _buckets(df, n_buckets)
     y = F.col(label).cast("long")
     g = (df.filter(F.col(score).isNotNull())
          .groupBy(*g_cols, score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
@@ -221,7 +227,7 @@ def threshold_value(sweep: DataFrame, alpha: float = 0.01, beta_ratio: float = 1
 
 # op 109
 def model_comparison(df: DataFrame, score_a: str, score_b: str, label: str = "is_fraud",
-                     threshold: float = 0.5, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     threshold: float = 0.5, n_buckets: int | None = None) -> DataFrame:
     def one(score):
         m = core_metrics(df, score, label, threshold)
         a = auc_roc(cumulative_by_score(df, score, label, n_buckets))
@@ -252,7 +258,7 @@ def alert_cost(df: DataFrame, score: str = "score", label: str = "is_fraud", thr
 
 
 # op 48
-def roc_interp_join(curve_a: DataFrame, curve_b: DataFrame, n_buckets: int = 256) -> DataFrame:
+def roc_interp_join(curve_a: DataFrame, curve_b: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """np.interp(fpr_b, fpr_a, tpr_a) as an as-of lookup, plus the gap tpr_b - interp.
 
     Curve A points are ordered by (fpr, tpr), so among equal fpr the last
@@ -260,6 +266,7 @@ def roc_interp_join(curve_a: DataFrame, curve_b: DataFrame, n_buckets: int = 256
     gets its carry-in (last A point before it) and carry-out (first A point
     after it) from a bounded per-bucket summary.
     """
+    n_buckets = _buckets(curve_a, n_buckets)
     bk = F.floor(F.col("fpr") * n_buckets).cast("int")
     a = curve_a.select(F.col("fpr").alias("x"), F.col("tpr").alias("y")).distinct()
     a = a.select("*", F.floor(F.col("x") * n_buckets).cast("int").alias("bk"))

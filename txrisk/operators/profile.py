@@ -7,18 +7,13 @@ long table.  Nothing is collected except where a result is O(1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 
-# exact percentile keeps every value of a group in one buffer; above this many
-# rows the approximate (mergeable sketch) variant is used instead.
-EXACT_QUANTILE_MAX_ROWS = 5_000_000
-
-
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     """Numeric columns (booleans excluded, as numpy's number selection does)."""
     return [f.name for f in df.schema.fields
@@ -44,29 +39,68 @@ def profile_schema(df: DataFrame) -> DataFrame:
                     "n_rows", "n_columns"))
 
 
-def _quantile_mode(df: DataFrame, exact) -> bool:
-    if exact is None:  # auto: decide from an O(1) row count
-        return df.count() <= EXACT_QUANTILE_MAX_ROWS
-    return bool(exact)
-
-
-def _quantiles(col: Column, probs: list[float], exact: bool) -> Column:
-    if exact:
-        return F.percentile(col, F.array(*[F.lit(p) for p in probs]))
-    return F.percentile_approx(col, F.array(*[F.lit(p) for p in probs]), 100000)
+#: Items kept by the sketch that brackets a quantile; its error in rank is one part in as many.
+SKETCH = 10_000
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """One row with an array of the exact, linearly interpolated quantiles per column (``q0``, ``q1``, ...).
+
+    Nulls and NaN are left out; a column without values gives null elements.
+    No task holds a column's values: a sketch of bounded size brackets each
+    quantile between two values (four times its error apart on either side), one
+    aggregate counts the rows below the bracket and finds the nearest values
+    outside it, and the distinct values inside, counted map-side, are ranked.
+    """
+    pairs = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
+    slack = 4 / SKETCH
+    near = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs for d in (-slack, slack)])
+    clean = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"x{i}")
+                        for i, c in enumerate(cols)])
+    sketch = clean.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(cols))],
+                       *[F.percentile_approx(f"x{i}", near, SKETCH).alias(f"b{i}") for i in range(len(cols))])
+    seen = clean.crossJoin(F.broadcast(sketch))  # one row
+
+    def at(i: int, j: int) -> tuple[Column, Column, Column]:
+        return F.col(f"x{i}"), F.col(f"b{i}")[2 * j], F.col(f"b{i}")[2 * j + 1]
+
+    outside, inside = [], []
+    for m, (i, j) in enumerate(pairs):
+        x, lo, hi = at(i, j)
+        outside.append(F.struct(F.first(f"n{i}").alias("n"), F.count(F.when(x < lo, 1)).alias("less"),
+                                F.max(F.when(x < lo, x)).alias("below"), F.min(F.when(x > hi, x)).alias("above"),
+                                F.lit(probs[j]).alias("p")).alias(f"o{m}"))
+        inside.append(F.when(x.between(lo, hi), F.struct(F.lit(m).alias("m"), x.alias("x"))))
+    around = seen.agg(*outside).select(F.posexplode(F.array(*[f"o{m}" for m in range(len(pairs))])).alias("m", "o"))
+    values = (seen.select(F.explode(F.array_compact(F.array(*inside))).alias("v")).groupBy("v.m", "v.x")
+              .agg(F.count(F.lit(1)).alias("c")))
+    upto = Window.partitionBy("m").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.select("m", "x", F.sum("c").over(upto).alias("upto")).join(F.broadcast(around), "m")
+    where = F.col("o.p") * (F.col("o.n") - 1)  # from 0
+
+    def pick(rank: Column) -> Column:  # from 1; the sketch may miss a rank by one on few rows
+        found = F.min(F.when(F.col("o.less") + F.col("upto") >= rank, F.col("x")))
+        return F.when(F.first(rank) <= F.first("o.less"), F.first("o.below")).otherwise(
+            F.coalesce(found, F.first("o.above")))
+
+    low, high = F.floor(where), F.ceil(where)
+    per = ranked.groupBy("m").agg(pick(low + 1).alias("lo"), pick(high + 1).alias("hi"),
+                                  F.first(where - low).alias("part"))
+    q = per.select("m", (F.col("lo") * (1 - F.col("part")) + F.col("hi") * F.col("part")).alias("q"))
+    return q.agg(*[F.array(*[F.max(F.when(F.col("m") == i * len(probs) + j, F.col("q"))) for j in range(len(probs))])
+                   .alias(f"q{i}") for i in range(len(cols))])
 
 
 # op 10
-def profile_describe(df: DataFrame, cols: list[str] | None = None, exact=None) -> DataFrame:
+def profile_describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or numeric_columns(df)
-    ex = _quantile_mode(df, exact)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}"), _quantiles(x, [0.25, 0.5, 0.75], ex).alias(f"q{i}")]
-    one = df.agg(*aggs)
+                 F.max(x).alias(f"hi{i}")]
+    one = df.agg(*aggs).crossJoin(exact_quantiles(df, cols, [0.25, 0.5, 0.75]))  # one row each
     entries = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
                         F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
                         F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
@@ -127,10 +161,9 @@ def range_checks(df: DataFrame, col: str = "amount") -> DataFrame:
 
 
 # op 15
-def iqr_outliers(df: DataFrame, col: str = "amount", k: float = 1.5, exact=None) -> DataFrame:
-    ex = _quantile_mode(df, exact)
-    q = df.agg(_quantiles(F.col(col).cast("double"), [0.25, 0.75], ex).alias("q"))
-    b = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+def iqr_outliers(df: DataFrame, col: str = "amount", k: float = 1.5) -> DataFrame:
+    q = exact_quantiles(df, [col], [0.25, 0.75])
+    b = q.select(F.col("q0")[0].alias("q1"), F.col("q0")[1].alias("q3"))
     b = b.select("q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
     b = b.select("*", (F.col("q1") - k * F.col("iqr")).alias("lower"),
                  (F.col("q3") + k * F.col("iqr")).alias("upper"))

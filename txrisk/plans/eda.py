@@ -61,7 +61,7 @@ def _describe_sql(cols):
 
 @query("profile_describe", _describe_sql(_DESC_COLS))
 def q_profile_describe(spark, d):
-    return finish(profile.profile_describe(fx.tx(spark, d), _DESC_COLS, exact=True))
+    return finish(profile.profile_describe(fx.tx(spark, d), _DESC_COLS))
 
 
 @query("null_audit", """
@@ -118,7 +118,7 @@ SELECT round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr, round(lower
     AS outlier_share
 FROM tx, b GROUP BY q1, q3, iqr, lower, upper""")
 def q_iqr_outliers(spark, d):
-    return finish(profile.iqr_outliers(fx.tx(spark, d), "amount", exact=True))
+    return finish(profile.iqr_outliers(fx.tx(spark, d), "amount"))
 
 
 _EXPECTED_CHANNELS = ["click", "purchase", "signup", "view"]

@@ -428,7 +428,7 @@ def _history_scored(spark, d):
 
 @query("fn_amount_share", f"""
 WITH h AS (SELECT *, {PRED} AS predicted,
-   CAST(sum(CAST(amount AS DECIMAL(18,2))) {_PRIOR} AS DOUBLE) / count(amount) {_PRIOR} AS m,
+   CAST(sum(CAST(amount AS DECIMAL(24,6))) {_PRIOR} AS DOUBLE) / count(amount) {_PRIOR} AS m,
    stddev_samp(amount) {_PRIOR} AS s FROM scored)
 SELECT count(*) AS n_missed, round(avg(CASE WHEN amount < 200 THEN 1.0 ELSE 0.0 END), 6) AS share_small_amount,
   round(avg(CASE WHEN s IS NOT NULL THEN CASE WHEN abs(amount - m) <= 2 * s THEN 1.0 ELSE 0.0 END END), 6)
@@ -442,7 +442,7 @@ WITH h AS (SELECT *, {PRED} AS predicted,
    count(amount) OVER (PARTITION BY customer_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)
      AS tx_count_24h,
    count(*) {_PRIOR} AS tx_count_prior,
-   coalesce(amount / nullif(coalesce(CAST(sum(CAST(amount AS DECIMAL(18,2))) {_PRIOR} AS DOUBLE)
+   coalesce(amount / nullif(coalesce(CAST(sum(CAST(amount AS DECIMAL(24,6))) {_PRIOR} AS DOUBLE)
      / count(amount) {_PRIOR}, amount), 0), 1.0) AS ratio FROM scored),
 p AS (SELECT CASE WHEN amount > 800 AND ratio > 5 THEN 'large_amount'
    WHEN tx_count_24h > 5 AND day_of_week >= 5 THEN 'velocity_weekend'

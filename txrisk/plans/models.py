@@ -81,7 +81,7 @@ SELECT transaction_id, round(amount, 6) AS amount, hour, day_of_week, month,
   CASE age_group WHEN '<20' THEN 1 WHEN '20-29' THEN 2 WHEN '30-39' THEN 3 WHEN '40+' THEN 4 END AS age_numeric,
   round(amount_sum_24h, 6) AS amount_sum_24h, round(amount_vs_mean_ratio_safe, 6) AS amount_vs_mean_ratio_safe,
   """ + ", ".join(f"CAST(CASE WHEN bank = '{b}' THEN 1 ELSE 0 END AS INT) AS bank_{b}" for b in BANKS) + """,
-  tx_count_24h, round(CAST(sum(CAST(amount AS DECIMAL(18,2))) OVER (PARTITION BY customer_id ORDER BY ts
+  tx_count_24h, round(CAST(sum(CAST(amount AS DECIMAL(24,6))) OVER (PARTITION BY customer_id ORDER BY ts
     RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE) / count(amount) OVER (PARTITION BY
     customer_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW), 6) AS amount_mean_7d,
   is_fraud
