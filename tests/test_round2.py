@@ -13,6 +13,8 @@ from txrisk.operators import history as H
 from txrisk.operators import encode
 from txrisk.operators import metrics as M
 from txrisk.operators import profile
+from txrisk.operators import shap
+from txrisk.plans import discovery
 
 
 def test_null_amounts_and_times_in_prior_means(spark):
@@ -86,3 +88,20 @@ def test_prior_distinct_of_repeated_rows_nulls_and_inclusive_counts(spark):
     counts = lambda inc: {r.transaction_id: r.d for r in H.prior_distinct(
         df, "customer_id", "ts", "transaction_id", {"d": "v"}, inclusive=inc).collect()}
     assert counts(False) == {1: 0, 2: 1, 3: 2, 4: 2, 5: 0} and counts(True) == {1: 1, 2: 2, 3: 2, 4: 2, 5: 1}
+
+
+def test_waterfall_steps_by_size_with_running_totals(spark):
+    wide = spark.createDataFrame([(1, 0.5, 0.1, -0.3, 0.1), (2, 0.5, 0.0, 0.0, 0.2)],
+                                 "id long, base_value double, shap_b double, shap_c double, shap_a double")
+    out = shap.shap_waterfall(wide, ["b", "c", "a"], "id")
+    got = [(r.id, r.step, r.feature, round(r.cumulative, 9)) for r in out.orderBy("id", "step").collect()]
+    assert got == [(1, 1, "c", 0.2), (1, 2, "a", 0.3), (1, 3, "b", 0.4), (2, 1, "a", 0.7), (2, 2, "b", 0.7), (2, 3, "c", 0.7)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_proposal_without_a_candidate_falls_back_to_the_largest_z(spark):
+    z = spark.createDataFrame([("a", -3.0), ("b", 2.0), ("c", 2.5)], "feature string, fn_anomaly_z double")
+    said = lambda t: [tuple(r) for r in discovery.accepted_features(
+        z, spark.createDataFrame([(t,)], "text string")).orderBy("position").collect()]
+    assert said("FEATURE: made_up") == said("") == [(1, "a"), (2, "c")]
+    assert said("FEATURE: x\nFEATURE: **b**") == [(1, "b")]

@@ -253,13 +253,13 @@ def shap_dependence(wide: DataFrame, values: DataFrame, id_col: str, feature: st
 
 # op 123
 def shap_waterfall(wide: DataFrame, features: list[str], id_col: str) -> DataFrame:
-    long = shap_long(wide.select(id_col, "base_value", *[f"shap_{c}" for c in features]),
-                     features, id_col)
-    long = long.join(wide.select(id_col, "base_value"), id_col)
-    w = Window.partitionBy(id_col).orderBy(F.abs("shap").desc(), "feature")
-    return long.select(id_col, "feature", "shap", F.row_number().over(w).alias("step"),
-                       (F.col("base_value") + F.sum("shap").over(
-                           w.rowsBetween(Window.unboundedPreceding, 0))).alias("cumulative"))
+    """Contributions by size with the running total from the base value: sorted and summed inside the row, no shuffle."""
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"shap_{c}").alias("value")) for c in features])
+    steps = wide.select(id_col, "base_value", rank_within(entries, len(features)).alias("__all"))
+    steps = steps.select(id_col, "base_value", "__all", F.posexplode("__all").alias("__p", "__e"))
+    upto = F.aggregate(F.slice("__all", 1, F.col("__p") + 1), F.lit(0.0), lambda a, e: a + e["value"])
+    return steps.select(id_col, F.col("__e.feature").alias("feature"), F.col("__e.value").alias("shap"),
+                        (F.col("__p") + 1).alias("step"), (F.col("base_value") + upto).alias("cumulative"))
 
 
 # op 124

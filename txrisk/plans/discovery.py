@@ -28,8 +28,7 @@ KNOWN_LEAKY = ["amount_vs_mean_ratio"]
 
 def candidates_frame(spark, d) -> DataFrame:
     f = risk_features(spark, d)
-    s = fx.scored(spark, d).select("transaction_id", "score")
-    f = f.join(s, "transaction_id").select(
+    f = f.select("*", fx.score_expr(True).alias("score")).select(
         "*", S.is_weekend("day_of_week").cast("double").alias("is_weekend"),
         S.is_peak_hour("hour").cast("double").alias("is_peak_hour"),
         M.predict_gt("score").alias("predicted"))
@@ -114,6 +113,18 @@ def proposal_text(z: DataFrame) -> DataFrame:
         F.lit("FEATURE: invented_feature\nREASONING: not a candidate.\nCONFIDENCE: Low")).alias("text"))
 
 
+def accepted_features(z: DataFrame, texts: DataFrame, fallback: int = 2) -> DataFrame:
+    """Candidate names of the proposal (column ``text``) in its order; if it names none, the
+    ``fallback`` candidates with the largest |z|.  Both sides have a row per candidate at most."""
+    names = texts.select(F.posexplode(X.parse_features(F.col("text"))).alias("pos", "feature"))
+    valid = names.join(F.broadcast(z.select("feature")), "feature", "left_semi")
+    named = valid.select(F.row_number().over(Window.orderBy("pos")).cast("int").alias("position"), "feature")
+    top = z.select(F.row_number().over(Window.orderBy(F.abs("fn_anomaly_z").desc(), "feature")).cast("int")
+                   .alias("position"), "feature").filter(F.col("position") <= fallback)
+    none = named.agg((F.count(F.lit(1)) == 0).alias("__none"))  # one row
+    return named.unionByName(top.crossJoin(F.broadcast(none)).filter("__none").drop("__none"))
+
+
 @query("parse_features", f"""WITH {_CAND_SQL},
 tp AS (SELECT feature, row_number() OVER (ORDER BY abs(fn_anomaly_z) DESC, feature) AS rk FROM z),
 txt AS (SELECT 'FEATURE: **' || max(CASE WHEN rk = 1 THEN feature END) || '**' || chr(10) ||
@@ -129,10 +140,7 @@ SELECT CAST(row_number() OVER (ORDER BY pos) AS INT) AS position, name AS featur
 WHERE name IN (SELECT feature FROM z)""")
 def q_parse_features(spark, d):
     z = z_table(spark, d)
-    t = proposal_text(z)
-    names = t.select(F.posexplode(X.parse_features(F.col("text"))).alias("pos", "feature"))
-    valid = names.join(F.broadcast(z.select("feature")), "feature", "left_semi")  # 13 candidates
-    return valid.select(F.row_number().over(Window.orderBy("pos")).cast("int").alias("position"), "feature")
+    return accepted_features(z, proposal_text(z))
 
 
 @query("corr_filter", f"""WITH {_CAND_SQL},

@@ -346,6 +346,16 @@ def q_risk_cube3(spark, d):
     return finish(risk.risk_cube(fx.tx(spark, d)))
 
 
+@query("top_cube_cell", """
+SELECT bank, location, channel, 0 AS gid, count(is_fraud) AS total, CAST(sum(is_fraud) AS BIGINT) AS fraud_cases,
+  round(CAST(sum(is_fraud) AS DOUBLE) / count(is_fraud) * 100, 6) AS fraud_rate_pct
+FROM tx GROUP BY bank, location, channel
+ORDER BY CAST(sum(is_fraud) AS DOUBLE) / count(is_fraud) * 100 DESC NULLS LAST, bank NULLS FIRST,
+  location NULLS FIRST, channel NULLS FIRST LIMIT 1""")
+def q_top_cube_cell(spark, d):
+    return finish(risk.top_cube_cell(risk.risk_cube(fx.tx(spark, d))))
+
+
 @query("amount_gap_by_channel", """
 WITH g AS (SELECT channel, avg(CASE WHEN is_fraud = 0 THEN amount END) AS l,
                            avg(CASE WHEN is_fraud = 1 THEN amount END) AS f

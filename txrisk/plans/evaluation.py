@@ -419,11 +419,7 @@ _PRIOR = ("OVER (PARTITION BY customer_id ORDER BY ts, transaction_id "
 
 
 def _history_scored(spark, d):
-    s = scored_pred(spark, d)
-    h = H.history_features(s.select("transaction_id", "customer_id", "ts", "amount", "channel",
-                                    "location"))
-    return s.join(h.select("transaction_id", "tx_count_prior", "amount_mean_prior",
-                           "amount_std_prior"), "transaction_id")
+    return H.history_features(scored_pred(spark, d))
 
 
 @query("fn_amount_share", f"""
