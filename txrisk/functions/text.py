@@ -180,7 +180,13 @@ def build_feature_prompt(z_table: DataFrame) -> DataFrame:
 
 
 # op 126a
-FOLLOWUP_HEAD = """CASE DETAILS:
+# Fixed value: the context text of the reference's follow-up chat.
+FOLLOWUP_HEAD = """You are a fraud analyst assistant for a Nigerian bank, answering a follow-up
+question about a transaction that was already reviewed. Stay grounded in the
+data below — do not invent transaction details or risk factors that are not
+listed. If asked something the data can't answer, say so plainly.
+
+TRANSACTION:
 - Amount: {amount}
 - Channel: {channel}
 - Hour: {hour}
@@ -189,30 +195,40 @@ FOLLOWUP_HEAD = """CASE DETAILS:
 - Customer age group: {age_group}
 
 MODEL OUTPUT:
-- Fraud probability: {confidence}%
-- Case type: {case_type}
+- Prediction: {prediction}
+- Confidence: {confidence}%
+- Actual outcome: {outcome}
 
-KEY RISK FACTORS:
+TOP SHAP RISK FACTORS:
 {factors}
 
-EARLIER EXPLANATION:
-{explanation}"""
+ORIGINAL EXPLANATION GIVEN TO THE ANALYST:
+{explanation}
+
+Answer the analyst's follow-up question in under 80 words."""
 
 
-def build_followup_context(case_type="case_type", explanation="explanation",
-                           history: str | None = None) -> Column:
+def build_followup_context(question: str = "question", history: str | None = None,
+                           explanation: str = "explanation") -> Column:
+    """Case context, the earlier turns (array of structs ``role``, ``text``) and the question,
+    a blank line between each.  Null where the question is null or blank: there is nothing to ask."""
     c = F.col
-    body = _template(FOLLOWUP_HEAD, {
+    factors = F.array_join(F.transform(c("top_factors"), lambda f: F.concat(
+        F.lit("- "), feature_label(f["feature"]), F.lit(": "), signed(f["value"], 3))), "\n")
+    parts = [_template(FOLLOWUP_HEAD, {
         "amount": format_naira("amount"), "channel": c("channel").cast("string"),
         "hour": format_hour("hour"), "bank": c("bank").cast("string"),
         "location": c("location").cast("string"), "age_group": c("age_group").cast("string"),
-        "confidence": F.bround(c("fraud_probability") * 100, 0).cast("long").cast("string"),
-        "case_type": c(case_type), "factors": risk_factor_lines(c("top_factors")),
-        "explanation": c(explanation)})
+        "prediction": F.when(c("predicted") == 1, "FRAUD").otherwise("NOT FRAUD"),
+        "confidence": F.round(c("fraud_probability") * 100, 0).cast("long").cast("string"),
+        "outcome": F.when(c("is_fraud") == 1, "confirmed fraud").otherwise("legitimate"),
+        "factors": factors, "explanation": c(explanation)})]
     if history:
-        turns = F.transform(c(history), lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
-        body = F.concat(body, F.lit("\n\nCONVERSATION SO FAR:\n"), F.array_join(turns, "\n"))
-    return body
+        parts.append(F.transform(F.coalesce(c(history), F.array()), lambda t: F.concat(
+            F.when(t["role"] == "user", "Analyst: ").otherwise("Assistant: "), F.coalesce(t["text"], F.lit("")))))
+    parts.append(F.concat(F.lit("Analyst: "), c(question)))
+    turns = F.concat(*[p if i == 1 and history else F.array(p) for i, p in enumerate(parts)])
+    return F.when(F.length(F.trim(c(question))) > 0, F.array_join(turns, "\n\n"))
 
 
 # op 128: default narrator (deterministic template with the four required parts)

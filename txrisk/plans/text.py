@@ -14,7 +14,9 @@ from txrisk.plans import sqltext as Q
 from txrisk.plans.common import finish
 from txrisk.plans.evaluation import _CASES_SQL, PRED, cases
 from txrisk.registry import query
+from txrisk.session import materialize
 from txrisk.sources import fixtures as fx, sinks
+from txrisk.sources.tables import read_table
 
 FACTOR_FEATURES = ["amount", "hour", "day_of_week", "merchant_risk_score", "age_numeric"]
 _MRS = ("CASE merchant_category WHEN 'AUTOMOBILE' THEN 0.1 WHEN 'BUILDING' THEN 0.2 WHEN 'FURNITURE' "
@@ -159,16 +161,45 @@ def q_narrate(spark, d):
     return explained(spark, d).select("transaction_id", "explanation")
 
 
-@query("build_followup_context", _sql("""
-SELECT transaction_id, """ + Q.template(X.FOLLOWUP_HEAD, {
-    "amount": Q.naira("amount"), "channel": "channel", "hour": Q.hour12("hour"), "bank": "bank",
-    "location": "location", "age_group": "age_group",
-    "confidence": "CAST(CAST(round_even(fraud_probability * 100, 0) AS BIGINT) AS VARCHAR)",
-    "case_type": "case_type", "factors": "risk_factors", "explanation": "explanation"}) +
-    " AS context FROM ex"))
+def followup_turns(spark, d) -> DataFrame:
+    """Per conversation its last user text as ``question`` and the turns before it as ``history``.
+    A conversation is one prompt, so its turns meet in one row."""
+    c = read_table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant"))
+    row = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    per = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"),
+                                   F.max(F.when(F.col("role") == "user", row)).alias("q"))
+    return per.select("conv_id", F.col("q.text").alias("question"),
+                      F.filter("turns", lambda t: t < F.col("q")).alias("history"))
+
+
+@query("build_followup_context", _sql(""", cv AS (SELECT conv_id, turn, role, coalesce(text, '') AS text
+   FROM conversations WHERE role IN ('user', 'assistant')),
+cq AS (SELECT conv_id, turn AS qt, text AS question FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
+   ORDER BY turn DESC, text DESC) AS r FROM cv WHERE role = 'user') WHERE r = 1),
+chx AS (SELECT conv_id, max(question) AS question, string_agg(CASE WHEN role = 'user' THEN 'Analyst: '
+   ELSE 'Assistant: ' END || text, chr(10) || chr(10) ORDER BY turn, role, text) FILTER (WHERE turn < qt
+   OR (turn = qt AND (role < 'user' OR (role = 'user' AND text < question)))) AS hist
+   FROM cv JOIN cq USING (conv_id) GROUP BY conv_id),
+fl AS (SELECT transaction_id, string_agg('- ' || """ + Q.label("feature") + """ || ': ' || """ + Q.signed("value", 3)
+    + """, chr(10) ORDER BY r) AS factors FROM top GROUP BY transaction_id)
+SELECT transaction_id, CASE WHEN length(trim(question)) > 0 THEN """ + Q.template(X.FOLLOWUP_HEAD, {
+        "amount": Q.naira("amount"), "channel": "channel", "hour": Q.hour12("hour"), "bank": "bank",
+        "location": "location", "age_group": "age_group",
+        "prediction": "CASE WHEN predicted = 1 THEN 'FRAUD' ELSE 'NOT FRAUD' END",
+        "confidence": "CAST(CAST(round(fraud_probability * 100, 0) AS BIGINT) AS VARCHAR)",
+        "outcome": "CASE WHEN is_fraud = 1 THEN 'confirmed fraud' ELSE 'legitimate' END",
+        "factors": "factors", "explanation": "explanation"}) + """ || chr(10) || chr(10) ||
+  coalesce(hist || chr(10) || chr(10), '') || 'Analyst: ' || question END AS context
+FROM ex JOIN fl USING (transaction_id)
+LEFT JOIN chx ON chx.conv_id = ex.transaction_id % (SELECT max(conv_id) + 1 FROM conversations)""").replace(
+        "\n, cv AS", ",\ncv AS"))
 def q_build_followup_context(spark, d):
-    e = explained(spark, d)
-    return e.select("transaction_id", X.build_followup_context().alias("context"))
+    """The fixture asks about case t with conversation t modulo their number."""
+    t = followup_turns(spark, d)
+    n = read_table(spark, d, "conversations").agg((F.max("conv_id") + 1).alias("__n"))  # one row
+    e = explained(spark, d).crossJoin(F.broadcast(n)).withColumn("conv_id", F.col("transaction_id") % F.col("__n"))
+    j = e.join(t, "conv_id", "left")
+    return j.select("transaction_id", X.build_followup_context(history="history").alias("context"))
 
 
 # ---------------------------------------------------------------- explanation metrics
@@ -304,23 +335,54 @@ def q_sink_cases_json(spark, d):
     return back.drop("topShapFeatures")
 
 
-@query("sink_csv_sheets", _sql(""", """ + """c AS (SELECT transaction_id AS row_index, case_type, explanation,
+_SAMPLE_SQL = _sql(""", c AS (SELECT transaction_id AS row_index, case_type, is_fraud AS actual_is_fraud, explanation,
    md5('42:' || CAST(transaction_id AS VARCHAR)) AS h FROM ex),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_type ORDER BY h, row_index) AS rk FROM c),
 f AS (SELECT * FROM r WHERE rk <= 25),
 t AS (SELECT * FROM r WHERE row_index NOT IN (SELECT row_index FROM f)),
 tu AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, row_index) AS tt FROM t)
        WHERE tt <= 50 - (SELECT count(*) FROM f)),
-ch AS (SELECT row_index, explanation FROM f UNION ALL SELECT row_index, explanation FROM tu)
-SELECT row_number() OVER (ORDER BY md5('42:shuffle:' || CAST(row_index AS VARCHAR)), row_index) AS case_id,
-  explanation, CAST(NULL AS VARCHAR) AS score FROM ch""").replace("\n, c AS", ",\nc AS"))
-def q_sink_csv_sheets(spark, d):
-    recs = case_records(spark, d).select("row_index", "case_type", "explanation")
-    sample = split.blind_rating_sample(recs)
-    sheet = sample.select(F.col("case_id").cast("long").alias("case_id"), "explanation",
-                          F.lit(None).cast("string").alias("score"))
-    path = ML.shared_path(spark, "rating_sheet")
-    sinks.sink_csv(sheet.coalesce(1), path)
-    schema = "case_id bigint, explanation string, score string"
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+ch AS (SELECT row_index, case_type, actual_is_fraud, explanation FROM f
+       UNION ALL SELECT row_index, case_type, actual_is_fraud, explanation FROM tu),
+sheet AS (SELECT *, row_number() OVER (ORDER BY md5('42:shuffle:' || CAST(row_index AS VARCHAR)), row_index)
+       AS case_id FROM ch)
+""").replace("\n, c AS", ",\nc AS")
+
+
+def rating_sample(spark, d) -> DataFrame:
+    """The blind sample (50 rows at most), written once: sheet and mapping number the same cases."""
+    recs = case_records(spark, d).select("row_index", "case_type", "actual_is_fraud", "explanation")
+    s = split.blind_rating_sample(recs).withColumn("case_id", F.col("case_id").cast("long"))
+    return materialize(s, ML.shared_path(spark, "rating_sample"))
+
+
+def _csv_round_trip(spark, df: DataFrame, name: str) -> DataFrame:
+    path = ML.shared_path(spark, name)
+    sinks.sink_csv(df, path)
+    return (spark.read.schema(df.schema).option("header", True).option("multiLine", True)
             .option("escape", '"').csv(path))
+
+
+@query("sink_csv_sheets", _SAMPLE_SQL + "SELECT case_id, explanation, CAST(NULL AS VARCHAR) AS score FROM sheet")
+def q_sink_csv_sheets(spark, d):
+    sheet = rating_sample(spark, d).select("case_id", "explanation", F.lit(None).cast("string").alias("score"))
+    return _csv_round_trip(spark, sheet.coalesce(1), "rating_sheet")
+
+
+@query("sink_rating_mapping", _SAMPLE_SQL + "SELECT case_id, row_index, case_type, actual_is_fraud FROM sheet")
+def q_sink_rating_mapping(spark, d):
+    """The mapping kept from the raters: case number to row, case type and truth."""
+    m = rating_sample(spark, d).select("case_id", "row_index", "case_type", "actual_is_fraud")
+    return _csv_round_trip(spark, m.coalesce(1), "rating_mapping")
+
+
+@query("sink_evaluation_results", _sql(", " + _FAITH + """,
+fa AS (SELECT transaction_id, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS faithfulness
+   FROM m GROUP BY transaction_id)
+SELECT transaction_id AS row_index, case_type, round(faithfulness, 6) AS faithfulness,
+  """ + Q.usefulness("explanation") + """ AS usefulness FROM ex JOIN fa USING (transaction_id)""").replace(
+    "\n, m AS", ",\nm AS"))
+def q_sink_evaluation_results(spark, d):
+    """Automated metrics of every explanation, written as CSV in as many parts as there are."""
+    r = _metrics_rows(spark, d).withColumnRenamed("transaction_id", "row_index")
+    return finish(_csv_round_trip(spark, r, "evaluation_results"))

@@ -55,4 +55,4 @@ def to_json_document(df: DataFrame, name: str = "document") -> DataFrame:
 
 # op 7
 def sink_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
