@@ -27,9 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
 from txrisk.operators.joins import lookup_join
+from txrisk.session import materialize, run_folder
 
 US_PER_HOUR = 3_600_000_000
 US_PER_DAY = 24 * US_PER_HOUR
@@ -326,8 +325,8 @@ def composite_risk(df: DataFrame, velocity: str = "velocity_score",
                    ratio: str = "amount_vs_mean_ratio_safe", channel: str = "channel",
                    label: str = "is_fraud", weights=(1 / 3, 1 / 3, 1 / 3)) -> DataFrame:
     """Weighted sum of min-max normalised velocity, amount ratio and channel fraud rate."""
-    # three passes (rates, min/max, rows) over an expensive input: compute it once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # three passes (rates, min/max, rows) over an expensive input: written once to the shared folder
+    df = materialize(df, run_folder(df.sparkSession, "risk_input"))
     rates = (df.groupBy(channel).agg(F.avg(F.col(label).cast("double")).alias("__chr")))
     # one row per channel: broadcast after a size check (a shuffle on a 6-value key would
     # put all rows in 6 tasks)

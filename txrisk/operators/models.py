@@ -7,7 +7,10 @@ a short lineage and a lost executor only recomputes Parquet splits.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import random
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,7 +18,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ def shared_path(spark, name: str) -> str:
 
 # op 90
 def assemble_features(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
+    """One vector per row.  A null or NaN feature is an error that names the column."""
+    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(df)
 
 
 # op 91 (DataFrame-native; population std as the reference's scaler)
@@ -73,7 +77,7 @@ def train_lr(train: DataFrame, features: list[str], label: str = "is_fraud",
     # balanced weights sum to the row count: read it from the (one row per class) table
     n = cw.agg(F.sum(F.col("n") * F.col("weight"))).first()[0]
     tw = train.join(F.broadcast(cw.select(label, "weight")), label)  # one row per class
-    stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep"),
+    stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="error"),
               StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
               LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
                                  regParam=1.0 / (c_param * n), elasticNetParam=0.0,
@@ -101,7 +105,7 @@ def train_rf(train: DataFrame, features: list[str], label: str = "is_fraud",
     p.update(params)
     train.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(train.sparkSession))  # node ids
     tw = _weighted(train, label)
-    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
+    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"),
               RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
                                      seed=SEED, maxBins=max_bins, featureSubsetStrategy="sqrt",
                                      maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
@@ -143,28 +147,38 @@ def verdict(auc_delta) -> F.Column:
 
 
 # op 99
+# The reference's search grid and number of draws.
+SEARCH_GRID = {
+    "n_estimators": [50, 100, 200],
+    "max_depth": [8, 10, 12, 15],
+    "min_samples_split": [50, 100, 200],
+    "min_samples_leaf": [25, 50, 100],
+    "max_features": ["sqrt", "log2", None],
+}
+SEARCH_DRAWS = 100
+
+
 def random_search_cv(train: DataFrame, features: list[str], label: str = "is_fraud",
-                     fold_col: str = "fold", n_draws: int = 4, seed: int = SEED,
-                     parallelism: int = 2) -> DataFrame:
-    """Random draws from a 5-parameter RF grid, evaluated by k-fold AUC (folds given)."""
-    import random
+                     fold_col: str = "fold", n_draws: int = SEARCH_DRAWS, seed: int = SEED,
+                     parallelism: int = 2, grid: dict = SEARCH_GRID) -> DataFrame:
+    """``n_draws`` different settings of the grid, evaluated by k-fold AUC (folds given).
 
+    MLlib has no smallest node to split.  Leaves of at least max(min_samples_leaf,
+    min_samples_split / 2) rows meet both bounds: a split node then holds twice as many rows.
+    """
+    names = list(grid)
+    settings = [dict(zip(names, v)) for v in itertools.product(*grid.values())]
+    draws = random.Random(seed).sample(settings, min(n_draws, len(settings)))
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", seed=SEED)
-    grid = (ParamGridBuilder()
-            .addGrid(rf.numTrees, [20, 50, 100])
-            .addGrid(rf.maxDepth, [5, 8, 10])
-            .addGrid(rf.minInstancesPerNode, [20, 50])
-            .addGrid(rf.featureSubsetStrategy, ["sqrt", "log2"])
-            .addGrid(rf.subsamplingRate, [0.8, 1.0]).build())
-    draws = random.Random(seed).sample(grid, min(n_draws, len(grid)))
+    maps = [{rf.numTrees: p["n_estimators"], rf.maxDepth: p["max_depth"],
+             rf.minInstancesPerNode: max(p["min_samples_leaf"], -(-p["min_samples_split"] // 2)),
+             rf.featureSubsetStrategy: p["max_features"] or "all"} for p in draws]
     tw = assemble_features(_weighted(train, label), features)
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
                                        metricName="areaUnderROC")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=draws, evaluator=ev, foldCol=fold_col,
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
                         parallelism=parallelism, seed=seed)
     m = cv.fit(tw)
-    spark = train.sparkSession
-    rows = []
-    for i, (pm, avg, std) in enumerate(zip(draws, m.avgMetrics, m.stdMetrics)):
-        rows.append((i, str({p.name: v for p, v in pm.items()}), float(avg), float(std)))
-    return spark.createDataFrame(rows, "draw int, params string, mean_auc double, std_auc double")
+    rows = [(i, json.dumps(p), float(avg), float(std))
+            for i, (p, avg, std) in enumerate(zip(draws, m.avgMetrics, m.stdMetrics))]
+    return train.sparkSession.createDataFrame(rows, "draw int, params string, mean_auc double, std_auc double")

@@ -11,9 +11,10 @@ from txrisk.operators import history as H, metrics as M, risk, select as SEL, sh
 from txrisk.plans import sqltext as Q
 from txrisk.plans.common import finish
 from txrisk.plans.evaluation import PRED, scored_pred
-from txrisk.plans.history import W7, W24, mavg, msum, risk_features
+from txrisk.plans.history import _FEAT_SQL, W7, W24, mavg, msum, risk_features
 from txrisk.plans.text import _CTX_SQL
 from txrisk.registry import query
+from txrisk.session import materialize
 from txrisk.sources import fixtures as fx, sinks
 
 # The candidate columns of the reference's discovery step, the
@@ -218,32 +219,100 @@ def q_newly_caught_missed(spark, d):
 
 
 # ---------------------------------------------------------------- rows-only: discovery document, SHAP records
+_CRISK_SQL = _FEAT_SQL.strip()[4:] + f""",
+crx AS (SELECT *, avg(CAST(is_fraud AS DOUBLE)) OVER (PARTITION BY channel) AS chr,
+   amount / nullif({mavg('OVER (PARTITION BY customer_id)')}, 0) AS amount_vs_mean_ratio FROM feat),
+crm AS (SELECT min(velocity_score) AS lv, max(velocity_score) AS hv, min(amount_vs_mean_ratio_safe) AS lr,
+   max(amount_vs_mean_ratio_safe) AS hr, min(chr) AS lc, max(chr) AS hc FROM crx),
+cr AS (SELECT crx.*, (CASE WHEN hv > lv THEN (velocity_score - lv) / (hv - lv) ELSE 0.0 END) * (1.0 / 3)
+ + (CASE WHEN hr > lr THEN (amount_vs_mean_ratio_safe - lr) / (hr - lr) ELSE 0.0 END) * (1.0 / 3)
+ + (CASE WHEN hc > lc THEN (chr - lc) / (hc - lc) ELSE 0.0 END) * (1.0 / 3) AS composite_risk FROM crx, crm)"""
+
+
+# The columns whose correlation with composite_risk the reference's audit reports.
+RISK_CORRELATES = ["amount_vs_mean_ratio", "velocity_score", "amount_sum_24h"]
+
+
+def leakage_section(audit: DataFrame, correlations: DataFrame) -> DataFrame:
+    """One row: columns constant over the checked customer, columns that vary, correlation of
+    ``composite_risk`` with its correlates, and the conclusion drawn from these lists."""
+    names = F.collect_list(F.struct("column_name", "is_lifetime_constant"))
+    one = audit.agg(F.first("customer_checked").alias("customerChecked"),
+                    F.first("n_transactions_checked").alias("nTransactionsChecked"),
+                    F.sort_array(names).alias("c"))
+
+    def pick(flag):
+        return F.transform(F.filter("c", lambda x: x["is_lifetime_constant"] == F.lit(flag)),
+                           lambda x: x["column_name"])
+
+    corr = correlations.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "r"))))
+                            .alias("compositeRiskCorrelation"))
+    j = one.select("customerChecked", "nTransactionsChecked", pick(True).alias("leakyColumns"),
+                   pick(False).alias("cleanColumns")).crossJoin(F.broadcast(corr))
+
+    def named(col, none):
+        return F.when(F.size(col) > 0, F.array_join(col, ", ")).otherwise(none)
+
+    return j.select("*", F.concat(
+        F.lit("Constant over all transactions of the customer, so they look ahead: "),
+        named("leakyColumns", "none"),
+        F.lit(". Genuine look-back windows: "), named("cleanColumns", "none"), F.lit(".")).alias("conclusion"))
+
+
+@query("composite_risk_correlation", """WITH """ + _CRISK_SQL + """
+SELECT 'composite_risk' AS target, 'amount_vs_mean_ratio' AS feature,
+  round(corr(composite_risk, amount_vs_mean_ratio), 6) AS r FROM cr
+UNION ALL SELECT 'composite_risk', 'velocity_score', round(corr(composite_risk, velocity_score), 6) FROM cr
+UNION ALL SELECT 'composite_risk', 'amount_sum_24h', round(corr(composite_risk, amount_sum_24h), 6) FROM cr""")
+def q_composite_risk_correlation(spark, d):
+    """Op 65 as the leakage audit uses it."""
+    return finish(risk.corr_one_vs_rest(H.composite_risk(risk_features(spark, d)), "composite_risk",
+                                        RISK_CORRELATES))
+
+
 @query("sink_discovery_json")
 def q_sink_discovery_json(spark, d):
-    """One nested JSON document from the four discovery results (z table, proposal,
-    leakage audit, ablation), written to the shared folder and read back."""
+    """One nested JSON document with the four discovery results (false-negative analysis,
+    proposal, impact, leakage audit), written to the shared folder and read back."""
+    from txrisk.operators.models import shared_path
     from txrisk.plans.history import q_leakage_lifetime_constant
     from txrisk.plans.models import ablation
 
-    z = z_table(spark, d)
-    fn = z.agg(F.first("n_false_negatives").alias("n_false_negatives"),
-               F.first("n_true_positives").alias("n_true_positives"),
-               F.first("n_true_negatives").alias("n_true_negatives"),
-               F.collect_list(F.struct("feature", "fn_mean", "tp_mean", "tn_mean", "tn_std",
-                                       "fn_anomaly_z")).alias("candidates_ranked"))
-    prop = proposal_text(z).select(F.struct(X.parse_features(F.col("text")).alias("recommended_features"),
-                                            F.col("text").alias("raw_response")).alias("proposal"))
-    leak = q_leakage_lifetime_constant(spark, d)
-    lk = leak.agg(F.first("customer_checked").alias("customer_checked"),
-                  F.first("n_transactions_checked").alias("n_transactions_checked"),
-                  F.map_from_entries(F.collect_list(F.struct("column_name", "is_lifetime_constant")))
-                  .alias("is_lifetime_constant"))
-    ab = ablation(spark, d)
-    doc = (fn.select(F.struct("*").alias("fn_analysis")).crossJoin(prop)
-           .crossJoin(lk.select(F.struct("*").alias("leakage_check")))
-           .crossJoin(ab.select(F.struct("*").alias("feature_impact"))))
-    from txrisk.operators.models import shared_path
-
+    z = materialize(z_table(spark, d), shared_path(spark, "z_table"))  # one row per candidate column
+    cand = F.struct(F.abs("fn_anomaly_z").alias("k"), "feature", F.col("fn_mean").alias("fnMean"),
+                    F.col("tp_mean").alias("tpMean"), F.col("tn_mean").alias("tnMean"),
+                    F.col("fn_anomaly_z").alias("anomalyZ"))
+    fn = z.agg(F.first("n_false_negatives").alias("nFalseNegatives"),
+               F.first("n_true_positives").alias("nTruePositives"),
+               F.first("n_true_negatives").alias("nTrueNegatives"),
+               F.transform(F.sort_array(F.collect_list(cand), asc=False), lambda x: x.dropFields("k"))
+               .alias("candidates"))
+    text = proposal_text(z)
+    names = accepted_features(z, text)
+    accepted = names.agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "feature"))),
+                                     lambda x: x["feature"]).alias("recommendedFeatures"))
+    prop = text.crossJoin(F.broadcast(accepted)).select(F.lit("template").alias("modelUsed"),
+                                                        F.col("text").alias("rawResponse"), "recommendedFeatures")
+    proposed = [r["feature"] for r in names.orderBy("position").collect()]  # candidate columns at most
+    ab = ablation(spark, d, proposed)
+
+    def listed(c):
+        return F.filter(F.split(c, ","), lambda x: x != "")
+
+    impact = ab.select(listed("candidate_features").alias("candidateFeatures"),
+                       listed("excluded_leaky_features").alias("excludedLeakyFeatures"),
+                       *[F.col(a).alias(b) for a, b in (
+                           ("baseline_auc", "baselineAuc"), ("baseline_recall", "baselineRecall"),
+                           ("baseline_n_false_negatives", "baselineFalseNegatives"),
+                           ("augmented_auc", "augmentedAuc"), ("augmented_recall", "augmentedRecall"),
+                           ("augmented_n_false_negatives", "augmentedFalseNegatives"),
+                           ("auc_delta", "aucDelta"), ("recall_delta", "recallDelta"),
+                           ("n_newly_caught", "nNewlyCaught"), ("n_newly_missed", "nNewlyMissed"))], "verdict")
+    leak = leakage_section(q_leakage_lifetime_constant(spark, d), q_composite_risk_correlation(spark, d))
+    doc = (fn.select(F.struct("*").alias("falseNegativeAnalysis"))
+           .crossJoin(prop.select(F.struct("*").alias("llmProposal")))
+           .crossJoin(impact.select(F.struct("*").alias("impact")))
+           .crossJoin(leak.select(F.struct("*").alias("leakageCheck"))))
     path = shared_path(spark, "discovery_json")
     sinks.sink_json(doc, path, single_file=True)
     return spark.read.schema(doc.schema).json(path).select(F.to_json(F.struct("*")).alias("document"))

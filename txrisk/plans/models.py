@@ -11,6 +11,7 @@ from txrisk.operators import encode, history as H, metrics as M, models as ML, s
 from txrisk.plans.common import finish
 from txrisk.plans.history import _FEAT_SQL, risk_features
 from txrisk.registry import query
+from txrisk.session import data_signature, materialize
 from txrisk.sources import sinks
 
 BANKS = [f"B{i}" for i in range(10)]
@@ -18,11 +19,46 @@ BANK_COLS = [f"bank_{b}" for b in BANKS]
 FEATURES = ML.BASE_FEATURES + BANK_COLS
 CANDIDATES = ["tx_count_24h", "amount_mean_7d"]
 
-_CACHE: dict = {}
 
 
-def _key(spark, d, *parts):
-    return (spark.sparkContext.applicationId, d) + parts
+class Fitted:
+    """What the model queries of one data folder share: the model-ready table, the split, the fitted
+    models and the SHAP rows, each built at first use.  ``release`` frees the cached frames."""
+
+    def __init__(self, spark, d: str):
+        self.spark, self.d = spark, d
+        self._made: dict = {}
+
+    def get(self, name, make):
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    def release(self) -> None:
+        for v in self._made.values():
+            if isinstance(v, DataFrame):
+                v.unpersist()
+        self._made.clear()
+
+
+_CURRENT: dict = {}
+
+
+def fitted(spark, d) -> Fitted:
+    """The fitted objects of folder ``d`` as its files are now.  One folder is held at a time: another
+    application, folder or version of the files releases the one before."""
+    key = (spark.sparkContext.applicationId, d, data_signature(spark, d))
+    if key not in _CURRENT:
+        release()
+        _CURRENT[key] = Fitted(spark, d)
+    return _CURRENT[key]
+
+
+def release() -> None:
+    for (app, _, _), f in _CURRENT.items():
+        if app == f.spark.sparkContext.applicationId and f.spark.sparkContext._jsc is not None:
+            f.release()
+    _CURRENT.clear()
 
 
 def model_ready_frame(spark, d) -> DataFrame:
@@ -32,35 +68,23 @@ def model_ready_frame(spark, d) -> DataFrame:
 
 
 def model_ready(spark, d) -> DataFrame:
-    """Op 3 used as a lineage cut: written once per session to the shared folder."""
-    k = _key(spark, d, "model_ready")
-    if k not in _CACHE:
-        path = ML.shared_path(spark, "model_ready")
-        _CACHE[k] = sinks.sink_model_ready(model_ready_frame(spark, d), path, partition_by="month")
-    return _CACHE[k]
+    """Op 3 used as a lineage cut: written once per data version to the shared folder."""
+    return fitted(spark, d).get("model_ready", lambda: sinks.sink_model_ready(
+        model_ready_frame(spark, d), ML.shared_path(spark, "model_ready"), partition_by="month"))
 
 
 def split_frame(spark, d) -> DataFrame:
-    k = _key(spark, d, "split")
-    if k not in _CACHE:
-        _CACHE[k] = split.stratified_split(model_ready(spark, d)).cache()
-    return _CACHE[k]
+    return fitted(spark, d).get("split", lambda: split.stratified_split(model_ready(spark, d)).cache())
 
 
-def rf_model(spark, d, features=tuple(FEATURES)):
-    k = _key(spark, d, "rf", features)
-    if k not in _CACHE:
-        train = split_frame(spark, d).filter(~F.col("is_test"))
-        _CACHE[k] = ML.train_rf(train, list(features))
-    return _CACHE[k]
+def rf_model(spark, d):
+    return fitted(spark, d).get("rf", lambda: ML.train_rf(
+        split_frame(spark, d).filter(~F.col("is_test")), FEATURES))
 
 
 def lr_model(spark, d):
-    k = _key(spark, d, "lr")
-    if k not in _CACHE:
-        train = split_frame(spark, d).filter(~F.col("is_test"))
-        _CACHE[k] = ML.train_lr(train, FEATURES)
-    return _CACHE[k]
+    return fitted(spark, d).get("lr", lambda: ML.train_lr(
+        split_frame(spark, d).filter(~F.col("is_test")), FEATURES))
 
 
 def test_rows(spark, d) -> DataFrame:
@@ -156,13 +180,44 @@ def q_model_persist(spark, d):
         (F.abs(F.col("p_trained") - F.col("p_loaded")) <= 1e-12).alias("same"))
 
 
-def ablation(spark, d, candidates=CANDIDATES) -> DataFrame:
-    """Op 97: baseline vs +candidates on the same split; AUC/recall deltas,
-    newly caught / missed as set differences, verdict."""
-    test = test_rows(spark, d)
+def with_candidates(spark, d, candidates) -> DataFrame:
+    """The split table with the proposed candidate columns it lacks (null: 0), fetched by id."""
+    from txrisk.plans.discovery import candidates_frame
 
-    def evaluate(features):
-        sc = ML.score_table(rf_model(spark, d, tuple(features)), test, ["transaction_id", "is_fraud"])
+    base = split_frame(spark, d)
+    lacking = [c for c in candidates if c not in base.columns]
+    if not lacking:
+        return base
+    extra = candidates_frame(spark, d).select(
+        "transaction_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in lacking])
+    return base.join(extra, "transaction_id")
+
+
+def ablation(spark, d, proposed=None) -> DataFrame:
+    """Op 97: baseline vs +candidates on the same split; AUC/recall deltas,
+    newly caught / missed as set differences, verdict.
+
+    ``proposed`` defaults to the accepted names of the proposal (a row per candidate column at
+    most).  Names known to leak are excluded; it is an error when nothing is left to test.
+    """
+    from txrisk.plans.discovery import KNOWN_LEAKY, accepted_features, proposal_text, z_table
+
+    if proposed is None:
+        z = z_table(spark, d)
+        proposed = [r["feature"] for r in accepted_features(z, proposal_text(z)).orderBy("position").collect()]
+    excluded = [c for c in proposed if c in KNOWN_LEAKY]
+    candidates = [c for c in proposed if c not in KNOWN_LEAKY]
+    if not candidates:
+        raise ValueError(f"every proposed feature is known to leak: {excluded}")
+    known = [c for c in candidates if c in FEATURES]
+    rows = with_candidates(spark, d, candidates)
+    if rows is not split_frame(spark, d):
+        rows = materialize(rows, ML.shared_path(spark, "ablation_input"))
+    test = rows.filter(F.col("is_test"))
+
+    def evaluate(model):
+        sc = materialize(ML.score_table(model, test, ["transaction_id", "is_fraud"]),
+                         ML.shared_path(spark, "ablation_scores"))
         auc = M.auc_roc(M.cumulative_by_score(sc, "fraud_probability", "is_fraud"))
         rec = sc.filter(F.col("is_fraud") == 1).agg(
             F.avg(F.col("predicted").cast("double")).alias("recall"),
@@ -171,15 +226,18 @@ def ablation(spark, d, candidates=CANDIDATES) -> DataFrame:
         fn = sc.filter((F.col("is_fraud") == 1) & (F.col("predicted") == 0)).select("transaction_id")
         return auc.crossJoin(rec), fn
 
-    base, fn_a = evaluate(FEATURES)
-    aug, fn_b = evaluate(FEATURES + list(candidates))
+    base, fn_a = evaluate(rf_model(spark, d))
+    added = [c for c in candidates if c not in known]
+    aug_model = ML.train_rf(rows.filter(~F.col("is_test")), FEATURES + added) if added else rf_model(spark, d)
+    aug, fn_b = evaluate(aug_model)
     caught = fn_a.join(fn_b, "transaction_id", "left_anti").agg(F.count(F.lit(1)).alias("n_newly_caught"))
     missed = fn_b.join(fn_a, "transaction_id", "left_anti").agg(F.count(F.lit(1)).alias("n_newly_missed"))
     b = base.select(*[F.col(c).alias(f"baseline_{c}") for c in base.columns])
     a = aug.select(*[F.col(c).alias(f"augmented_{c}") for c in aug.columns])
     j = b.crossJoin(a).crossJoin(caught).crossJoin(missed)
     dauc = F.col("augmented_auc") - F.col("baseline_auc")
-    return j.select(F.lit(",".join(candidates)).alias("candidate_features"), "*",
+    return j.select(F.lit(",".join(candidates)).alias("candidate_features"),
+                    F.lit(",".join(excluded)).alias("excluded_leaky_features"), "*",
                     dauc.alias("auc_delta"),
                     (F.col("augmented_recall") - F.col("baseline_recall")).alias("recall_delta"),
                     ML.verdict(dauc).alias("verdict"))
@@ -215,6 +273,7 @@ def q_verdict(spark, d):
 
 @query("random_search_cv")
 def q_random_search_cv(spark, d):
+    """Two of the search's 100 draws over all training rows: the draws are a setting of the search."""
     tr = split_frame(spark, d).filter(~F.col("is_test")).drop("is_test")
     folds = split.stratified_kfold(tr, 3)
     return ML.random_search_cv(folds, FEATURES, n_draws=2)
@@ -222,12 +281,9 @@ def q_random_search_cv(spark, d):
 
 # ---------------------------------------------------------------- TreeSHAP
 def shap_wide(spark, d) -> DataFrame:
-    k = _key(spark, d, "shap")
-    if k not in _CACHE:
-        m = rf_model(spark, d)
-        _CACHE[k] = SH.tree_shap_values(test_rows(spark, d), m.stages[-1], FEATURES, "transaction_id",
-                                        ML.shared_path(spark, "rf_stage")).cache()
-    return _CACHE[k]
+    return fitted(spark, d).get("shap", lambda: SH.tree_shap_values(
+        test_rows(spark, d), rf_model(spark, d).stages[-1], FEATURES, "transaction_id",
+        ML.shared_path(spark, "rf_stage")).cache())
 
 
 @query("tree_shap")

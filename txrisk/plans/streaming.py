@@ -13,8 +13,11 @@ from txrisk.sources import fixtures as fx
 from txrisk.streaming import stream as ST
 
 
+FILES_PER_BATCH = 1000  # bounds what one micro-batch reads
+
+
 def _tx_stream(spark, d):
-    return fx.tx(spark, d, events=ST.file_stream(spark, d, "events.parquet"))
+    return fx.tx(spark, d, events=ST.file_stream(spark, d, "events.parquet", FILES_PER_BATCH))
 
 
 @query("stream_risk_windows", """

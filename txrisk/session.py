@@ -68,6 +68,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def data_signature(spark: SparkSession, path: str) -> tuple:
+    """Newest change time, total bytes and number of the Parquet files below ``path``: a listing, no scan."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    newest = size = n = 0
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName().endswith(".parquet"):
+            newest, size, n = max(newest, f.getModificationTime()), size + f.getLen(), n + 1
+    return newest, size, n
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder path of this run's own below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
 """Structured Streaming operators (ops 133-135).
 
 Sources are file streams over the transaction table; dimensions are joined
-stream-static.  Sinks are ``foreachBatch`` Parquet appends with checkpoints
-in the shared checkpoint folder, so a restarted query resumes exactly once.
+stream-static.  Every micro-batch overwrites its own ``batch_id=`` folder of
+the output, so a batch that is replayed after a failure replaces its rows
+instead of adding them again; checkpoints lie in the shared folder.
 Triggers default to ``availableNow`` (process what is there, then stop),
 which is also how the tests compare them with their batch twins.
 """
@@ -30,11 +31,19 @@ def file_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
     return r.parquet(directory)
 
 
-def _run(df: DataFrame, sink, ckpt: str, mode: str = "append", trigger_now: bool = True):
+def _run(df: DataFrame, out_path: str, ckpt: str, mode: str = "append", trigger_now: bool = True) -> DataFrame:
+    """Run ``df`` into ``out_path``, one folder per micro-batch, and read all of them back."""
+    spark = df.sparkSession
+    # a stream without rows has an output too
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{out_path}/batch_id=-1")
+
+    def sink(batch: DataFrame, bid: int):
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={bid}")
+
     w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
     q = (w.trigger(availableNow=True) if trigger_now else w).start()
     q.awaitTermination()
-    return q
+    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out_path)
 
 
 # op 133
@@ -42,22 +51,15 @@ def stream_risk_windows(tx_stream: DataFrame, out_path: str, ckpt: str, watermar
                         window: str = "1 hour", ts: str = "ts", group: str = "channel",
                         label: str = "is_fraud") -> DataFrame:
     """Fraud count/rate per group per tumbling window; rows later than the
-    watermark are dropped by the state store.  Updates are appended per
-    micro-batch; the final table keeps the latest version of each window."""
-    spark = tx_stream.sparkSession
+    watermark are dropped by the state store.  Every micro-batch writes its
+    updates; the final table keeps the latest version of each window."""
     s = tx_stream.select(F.col(ts).cast("timestamp").alias("event_time"), group, label)
     agg = (s.withWatermark("event_time", watermark)
            .groupBy(F.window("event_time", window), group)
            .agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("long").alias("fraud_cases")))
-
-    def sink(batch: DataFrame, bid: int):
-        (batch.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window.end").cast("timestamp_ntz").alias("window_end"), group, "n",
-                      "fraud_cases", F.lit(bid).cast("long").alias("batch_id"))
-         .write.mode("append").parquet(out_path))
-
-    _run(agg, sink, ckpt, mode="update")
-    res = spark.read.parquet(out_path)
+    out = agg.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                     F.col("window.end").cast("timestamp_ntz").alias("window_end"), group, "n", "fraud_cases")
+    res = _run(out, out_path, ckpt, mode="update")
     latest = res.groupBy("window_start", "window_end", group).agg(
         F.max_by(F.struct("n", "fraud_cases"), "batch_id").alias("v"))
     return latest.select("window_start", "window_end", group, "v.n", "v.fraud_cases",
@@ -66,64 +68,73 @@ def stream_risk_windows(tx_stream: DataFrame, out_path: str, ckpt: str, watermar
 
 
 # op 134
-VELOCITY_OUT = T.StructType([
-    T.StructField("transaction_id", T.LongType()), T.StructField("customer_id", T.LongType()),
-    T.StructField("tx_count_24h", T.LongType()), T.StructField("amount_sum_24h", T.DoubleType())])
+UNITS = 1_000_000  # amounts are summed as whole millionths: exact, up to 9.2e12 in a customer's state
 VELOCITY_STATE = T.StructType([
-    T.StructField("t", T.ArrayType(T.LongType())), T.StructField("cents", T.ArrayType(T.LongType()))])
+    T.StructField("t", T.ArrayType(T.LongType())), T.StructField("units", T.ArrayType(T.LongType()))])
 
 
-def _velocity_fn(window_us: int):
-    def fn(key, pdfs, state):
+def _velocity_fn(window_us: int, id_col: str, key: str):
+    def fn(key_values, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        new = pd.concat(list(pdfs), ignore_index=True)
-        if new.empty:
+        ids, times, units, known = [], [], [], []
+        for pdf in pdfs:  # Arrow batches of one customer: only the columns that are needed are kept
+            a = pdf["amount"].to_numpy(np.float64)
+            ids.append(pdf[id_col].to_numpy())
+            times.append(pdf["t"].to_numpy(np.int64))
+            known.append(~np.isnan(a))
+            units.append(np.rint(np.nan_to_num(a) * UNITS).astype(np.int64))
+        if not ids:
             return
-        new = new.sort_values(["t", "transaction_id"])
-        old_t, old_c = (np.array(state.get[0], dtype=np.int64), np.array(state.get[1], dtype=np.int64)) \
+        ti, ok = np.concatenate(times), np.concatenate(known)
+        old_t, old_u = (np.array(state.get[0], dtype=np.int64), np.array(state.get[1], dtype=np.int64)) \
             if state.exists else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        cents = np.rint(new["amount"].to_numpy() * 100).astype(np.int64)  # exact money sums
-        all_t = np.concatenate([old_t, new["t"].to_numpy(np.int64)])
-        all_c = np.concatenate([old_c, cents])
+        # null amounts neither count nor add; their rows still get the frame of the others
+        all_t = np.concatenate([old_t, ti[ok]])
+        all_u = np.concatenate([old_u, np.concatenate(units)[ok]])
         order = np.argsort(all_t, kind="stable")
-        all_t, all_c = all_t[order], all_c[order]
-        csum = np.concatenate([[0], np.cumsum(all_c)])
-        ti = new["t"].to_numpy(np.int64)
+        all_t, all_u = all_t[order], all_u[order]
+        csum = np.concatenate([[0], np.cumsum(all_u)])
         hi = np.searchsorted(all_t, ti, side="right")          # peers included (RANGE frame)
         lo = np.searchsorted(all_t, ti - window_us, side="left")
-        out = pd.DataFrame({"transaction_id": new["transaction_id"].to_numpy(np.int64),
-                            "customer_id": np.full(len(new), key[0], dtype=np.int64),
-                            "tx_count_24h": (hi - lo).astype(np.int64),
-                            "amount_sum_24h": (csum[hi] - csum[lo]) / 100.0})
+        n = (hi - lo).astype(np.int64)
+        total = pd.Series((csum[hi] - csum[lo]) / UNITS).where(n > 0)
         # keep what a row at or after the watermark can still need
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        keep = all_t >= min(wm_us, int(all_t.max())) - window_us
-        state.update((all_t[keep].tolist(), all_c[keep].tolist()))
-        state.setTimeoutTimestamp(int((all_t.max() + window_us) // 1000) + 1)
-        yield out
+        newest = int(max(ti.max(), all_t.max() if len(all_t) else ti.max()))
+        keep = all_t >= min(state.getCurrentWatermarkMs() * 1000, newest) - window_us
+        state.update((all_t[keep].tolist(), all_u[keep].tolist()))
+        # the state may go when the watermark passes the newest row's frame
+        state.setTimeoutTimestamp(max((newest + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({id_col: np.concatenate(ids), key: [key_values[0]] * len(ti),
+                            "tx_count_24h": n, "amount_sum_24h": total})
 
     return fn
 
 
 def stream_velocity_24h(tx_stream: DataFrame, out_path: str, ckpt: str, key: str = "customer_id",
-                        ts: str = "ts", window_us: int = 24 * US_PER_HOUR,
-                        watermark: str = "24 hours") -> DataFrame:
+                        ts: str = "ts", window_us: int = 24 * US_PER_HOUR, watermark: str = "24 hours",
+                        id_col: str = "transaction_id") -> DataFrame:
     """Live per-customer 24 h count/sum with a bounded (TTL-evicted) state buffer.
-    Equal to the batch 24 h window when rows arrive in event-time order."""
-    spark = tx_stream.sparkSession
-    s = tx_stream.select("transaction_id", key, F.col(ts).cast("timestamp").alias("event_time"),
-                         epoch_micros(ts).alias("t"), "amount").withWatermark("event_time", watermark)
+
+    Equal to the batch 24 h window when rows arrive in event-time order.  A row that is late by less
+    than the watermark still finds the rows before it; rows already emitted are not emitted again
+    and rows later than the watermark are dropped.
+    Ids and keys keep their types.  Rows without a key or a time are left out: they have no frame.
+    Re-delivered rows count again: send them through ``dropDuplicatesWithinWatermark`` before, in a
+    query of its own, where the source may repeat rows.
+    """
+    s = (tx_stream.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+         .select(id_col, key, F.col(ts).cast("timestamp").alias("event_time"),
+                 epoch_micros(ts).alias("t"), F.col("amount").cast("double").alias("amount"))
+         .withWatermark("event_time", watermark))
+    schema = T.StructType([T.StructField(c, s.schema[c].dataType) for c in (id_col, key)]
+                          + [T.StructField("tx_count_24h", T.LongType()),
+                             T.StructField("amount_sum_24h", T.DoubleType())])
     out = s.groupBy(key).applyInPandasWithState(
-        _velocity_fn(window_us), VELOCITY_OUT, VELOCITY_STATE, "append",
+        _velocity_fn(window_us, id_col, key), schema, VELOCITY_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
-
-    def sink(batch: DataFrame, bid: int):
-        batch.write.mode("append").parquet(out_path)
-
-    _run(out, sink, ckpt)
-    return spark.read.parquet(out_path)
+    return _run(out, out_path, ckpt).drop("batch_id")
 
 
 # op 135
@@ -132,15 +143,10 @@ def stream_score(tx_stream: DataFrame, model, out_path: str, ckpt: str, id_col:
     """Drop re-delivered transactions within the watermark, score with a saved pipeline."""
     from pyspark.ml.functions import vector_to_array
 
-    spark = tx_stream.sparkSession
     s = (tx_stream.withColumn("event_time", F.col(ts).cast("timestamp"))
          .withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([id_col]))
     scored = model.transform(s)
     p = vector_to_array(F.col("probability"))[1]
     out = scored.select(id_col, p.alias("fraud_probability"), (p > 0.5).cast("int").alias("predicted"))
 
-    def sink(batch: DataFrame, bid: int):
-        batch.write.mode("append").parquet(out_path)
-
-    _run(out, sink, ckpt)
-    return spark.read.parquet(out_path)
+    return _run(out, out_path, ckpt).drop("batch_id")
