@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     those without words, go.
     """
     share = (mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies"), F.sum("size").alias("_size"))
+             .agg(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias("_copies"), F.sum("size").alias("_size"))
              .filter("_size > 0 AND _copies > 0"))
     return (docs.join(share.select("_id", "_copies"), docs["doc_id"].eqNullSafe(F.col("_id")))
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
