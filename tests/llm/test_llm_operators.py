@@ -137,6 +137,14 @@ def test_minhash_on_awkward_rows(docs, empty):
     assert rows(minhash.near_duplicates(empty)) == []
 
 
+@pytest.mark.parametrize("n", range(8))
+def test_minhash_of_a_few_words_alone(spark, n):
+    text = " ".join(WORDS[:n])
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").coalesce(1)
+    got = rows(minhash.near_duplicates(df).orderBy("doc_id"))
+    assert got == [(1, len(shingles(text, 5)), 1, True), (2, 0, 2, True)]
+
+
 def test_hyperminhash_estimate_is_close():
     r = np.random.default_rng(3)
     pool = r.permutation(np.unique(r.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2)))

@@ -63,7 +63,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.nd
     factor = mix64(np.arange(1, width + 1, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
     rolled = np.zeros(max(0, len(h) - width + 1), np.uint64)
     for j in range(width):
-        rolled += h[j: len(h) - width + 1 + j] * factor[j]
+        rolled += h[j: j + len(rolled)] * factor[j]
     rolled = mix64(rolled)
     out = []
     for d in range(n):
