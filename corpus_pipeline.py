@@ -44,12 +44,12 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, in whole copies (a part counts from one half on).
+    """Each document as many times as the mix takes it, in whole copies that come to each source's words.
 
     Rows of one id are taken alike.  Documents that the mix does not take, and
     those without words, go.
     """
-    share = (mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"))
+    share = (mixing.mix_whole(docs).groupBy(F.col("doc_id").alias("_id"))
              .agg(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias("_copies"), F.sum("size").alias("_size"))
              .filter("_size > 0 AND _copies > 0"))
     return (docs.join(share.select("_id", "_copies"), docs["doc_id"].eqNullSafe(F.col("_id")))

@@ -308,6 +308,28 @@ def test_mixing_on_awkward_rows(docs, empty):
     assert [r.taken for r in mixing.mix(docs.filter("doc_id < 3")).collect()] == [0, 0, 0]
 
 
+def test_pipeline_mix_meets_its_targets_at_any_number_of_partitions(spark):
+    docs = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet")
+    size = mixing.word_count(F.col("text"))
+    aims = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id")
+    aims = {r.source: r for r in aims.groupBy("source").agg(F.max("target").alias("target"), F.max("size").alias("most"))
+            .collect()}
+    was, got = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for n in (8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            mixed = corpus_pipeline.mix_sources(spark, docs, "").select("doc_id", "source", size.alias("size")).collect()
+            words = collections.Counter()
+            for r in mixed:
+                words[r.source] += r.size
+            for s, aim in aims.items():
+                assert abs(words[s] - aim.target) <= aim.most / 2 + 2 * mixing.BLOCK_WORDS, (n, s)
+            got[n] = collections.Counter(r.doc_id for r in mixed)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[8] == got[200]
+
+
 # -- vectors --------------------------------------------------------------------------------------
 VECTORS = "vec_id long, embedding array<double>, label int, score double"
 

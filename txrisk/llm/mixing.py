@@ -6,6 +6,8 @@ words.  Sainte-Lague gives the blocks to the sources by the highest quotients
 target / (2 * quota + 1), and each source's quota to its shards in the same way
 by shard size.  Inside a shard the documents lie in a seeded order, end to end
 and round after round; the shard's quota is the first so many blocks of them.
+Where whole copies are asked for, the one document that a shard takes in part is
+taken or left so that what rounding adds and drops evens out over the source.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import Scratch, partitions, table
+from txrisk.llm.common import Scratch, table
 
 #: Words of a block, rounds over a source at most, seed of the order, weights in turn.
 BLOCK_WORDS, EPOCHS, SEED, WEIGHTS = 16, 3, 17, (1, 2, 3)
@@ -85,22 +87,14 @@ def targets(sizes: DataFrame, source: str, weights: tuple[int, ...], epochs: int
         .otherwise(F.col("source_size") * epochs).cast("double").alias("target"))
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK_WORDS,
-        seed: int = SEED) -> DataFrame:
-    """``key``, size, source_size, target, taken of every row.
+def _laid(df: DataFrame, scratch: Scratch, key: str, text: str, source: str, weights: tuple[int, ...], epochs: int,
+          block: int, seed: int) -> DataFrame:
+    """(key, source, size, source_size, target, shard, rounds, part): a row's words come ``rounds`` times and ``part`` more.
 
-    Sources by code point, null as a source of its own and last, weigh
-    ``weights`` in turn.  Null and empty texts have size 0 and nothing is taken;
-    rows with equal keys are rows of their own; an empty table gives an empty
-    result; a table without words takes nothing.  Other columns are not read.
-
-    A source has so many shards that all together there are about four per
-    shuffle partition, so that no task holds a hot source; one row per shard
-    enters the apportionment.
+    A source of n rows has ceil(sqrt(n)) shards, whatever the cluster's settings,
+    so that neither a shard's rows nor a source's shards, of which one row each
+    enters the apportionment, fill a task.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "mixing")
     sized = scratch.keep(
         df.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
                   F.xxhash64(F.lit(seed), F.col(key)).alias("order")), "sized")
@@ -110,8 +104,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         .join(per.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s")))
         .select(F.xxhash64("source").alias("id"), F.isnull("source").alias("none"), "source", "source_size",
                 "target", "rows"), "targets")
-    total = aims.agg(F.sum("rows")).first()[0] or 1
-    shards = F.ceil(F.lit(4 * partitions(spark)) * F.col("rows") / F.lit(total))
+    shards = F.ceil(F.sqrt("rows"))
 
     def to_sources(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["none", "source"]).reset_index(drop=True)
@@ -132,8 +125,12 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     def to_shards(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard").reset_index(drop=True)
         size = pdf.shard_size.to_numpy()
-        got = sainte_lague(size, -(-size * epochs // block), int(pdf.quota.iloc[0]))
-        pdf["words"] = np.minimum(got * block, size * epochs)
+        quota = int(pdf.quota.iloc[0])
+        got = sainte_lague(size, -(-size * epochs // block), quota)
+        given = np.minimum(got * block, size * epochs)
+        room = size * epochs - given  # what full shards leave of their last blocks goes to the others
+        left = min(quota * block, int(size.sum()) * epochs) - given.sum()
+        pdf["words"] = given + np.clip(left - (np.cumsum(room) - room), 0, room)
         return pdf[["source", "shard", "shard_size", "words"]]
 
     dealt = (placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
@@ -146,9 +143,57 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     left = F.col("words") - rounds * F.col("shard_size") - F.col("at")
     return (laid.join(dealt.select(F.col("source").alias("s"), F.col("shard").alias("h"), "shard_size", "words"),
                       F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
+            .select("key", "source", "size", "source_size", "target", "shard", rounds.alias("rounds"),
+                    F.greatest(F.lit(0), F.least(left, F.col("size"))).alias("part")))
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+        weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK_WORDS,
+        seed: int = SEED) -> DataFrame:
+    """``key``, size, source_size, target, taken of every row.
+
+    Sources by code point, null as a source of its own and last, weigh
+    ``weights`` in turn.  Null and empty texts have size 0 and nothing is taken;
+    rows with equal keys are rows of their own; an empty table gives an empty
+    result; a table without words takes nothing.  Other columns are not read.
+    The result depends on the rows and the arguments alone.
+    """
+    laid = _laid(df, Scratch(df.sparkSession, "mixing"), key, text, source, weights, epochs, block, seed)
+    return laid.select(F.col("key").alias(key), "size", "source_size", "target",
+                       (F.col("rounds") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+
+
+def mix_whole(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+              weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK_WORDS,
+              seed: int = SEED) -> DataFrame:
+    """``key``, size, source_size, target, taken as in ``mix``, but each row is taken in whole copies.
+
+    Of the documents that a source's shards take in part (one a shard), the
+    largest first, each is taken once more if that brings the words so far nearer
+    to what the parts before it and its own come to.  So a source's words differ
+    from ``mix`` by at most half of the largest of these documents.
+    """
+    scratch = Scratch(df.sparkSession, "mixing")
+    laid = scratch.keep(_laid(df, scratch, key, text, source, weights, epochs, block, seed), "laid")
+
+    def to_copies(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "shard"], ascending=[False, True]).reset_index(drop=True)
+        owed, more = 0, []
+        for size, part in zip(pdf["size"].tolist(), pdf["part"].tolist(), strict=True):
+            more.append(int(2 * (owed + part) >= size))
+            owed += part - more[-1] * size
+        pdf["more"] = more
+        return pdf[["source", "shard", "more"]]
+
+    parts = (laid.filter("0 < part AND part < size").select("source", "shard", "size", "part").groupBy("source")
+             .applyInPandas(to_copies, "source string, shard long, more int"))
+    parts = scratch.keep(parts, "parts")
+    whole = F.when(F.col("part") < F.col("size"), F.col("more")).otherwise(F.lit(1))
+    more = F.when(F.col("part") > 0, whole).otherwise(F.lit(0))
+    return (laid.join(parts.select(F.col("source").alias("s"), F.col("shard").alias("h"), "more"),
+                      F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")), "left")
             .select(F.col("key").alias(key), "size", "source_size", "target",
-                    (rounds * F.col("size") + F.greatest(F.lit(0), F.least(left, F.col("size"))))
-                    .cast("long").alias("taken")))
+                    ((F.col("rounds") + more) * F.col("size")).cast("long").alias("taken")))
 
 
 def op10_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
