@@ -481,6 +481,17 @@ def test_url_lists(spark):
     assert rows(url_filter.apply_lists(df.limit(0), log)) == []
 
 
+def test_url_rule_listed_by_two_categories(spark):
+    log = spark.sql("""SELECT 'h:bad.com' AS key, category, CAST(concat('2024-01-', d) AS DATE) AS at, action FROM VALUES
+        ('spam', '01', 'add'), ('malware', '02', 'add'), ('spam', '03', 'remove'), ('malware', '06', 'remove'),
+        ('adult', '08', 'add'), ('phish', '08', 'add'), ('adult', '09', 'remove') AS t(category, d, action)""")
+    seen = spark.sql("""SELECT id AS page_id, 'http://bad.com/' AS url, date_add(DATE '2024-01-01', CAST(id - 1 AS INT))
+        AS fetched FROM range(1, 11)""")
+    got = dict(rows(url_filter.apply_lists(seen, log).select("page_id", "category")))
+    assert got == {1: "spam", 2: "malware", 3: "malware", 4: "malware", 5: "malware", 6: None, 7: None, 8: "adult",
+                   9: "phish", 10: "phish"}
+
+
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_sql_twins(spark, key):
     problems, _, _ = compare(spark, duck(SF_SMALL), key, QUERIES[key], SQL[key], SF_SMALL)

@@ -69,11 +69,12 @@ def rule_key(kind: Column, value: Column) -> Column:
 def validity(log: DataFrame) -> DataFrame:
     """(key, category, valid_from, valid_to) of a log (key, category, at, action: add or remove).
 
-    Entries of one key and date are taken in the order add, remove.  An
-    addition while a rule is active starts a new interval (its category may
-    differ); a removal without one has no effect.
+    Each category of a key is an entry of its own, which only its own removal
+    ends.  Its actions of one date are taken in the order add, remove.  An
+    addition while it is active starts a new interval; a removal without one has
+    no effect.
     """
-    turn = Window.partitionBy("key").orderBy("at", "action", "category")
+    turn = Window.partitionBy("key", "category").orderBy("at", "action")
     ends = log.filter("key IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')").withColumn(
         "next", F.lead("at").over(turn))
     return (ends.filter("action = 'add'")
