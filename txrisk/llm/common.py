@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from txrisk.session import materialize, run_folder
 
@@ -47,6 +48,29 @@ class Scratch:
         return materialize(df, f"{self.root}/{name}-{uuid.uuid4().hex[:8]}")
 
 
+def number_rows(df: DataFrame, scratch: Scratch, group: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``pos`` (from 0, gapless, by ``order``) and ``total`` (number of rows) inside each ``group``.
+
+    Rows are sorted by range, so a group of any size lies over many tasks; the counts
+    by (group, range), at most groups + ranges rows, give each range's first
+    position.  Nulls of a group column are a group; no group column: all rows are one.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in group]
+    dealt = scratch.keep(
+        df.repartitionByRange(partitions(df.sparkSession), *keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)), "dealt")
+    per = dealt.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_count"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_r"),
+        (F.coalesce(F.sum("_count").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_count").over(Window.partitionBy(*group)).alias("total"))
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(group):
+        same &= dealt[c].eqNullSafe(F.col(f"_g{i}"))
+    return dealt.join(starts, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("pos"), "total")
+
+
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column end to end, and its n + 1 offsets (null: empty)."""
     if arr.null_count:
