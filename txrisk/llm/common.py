@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,25 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes for what is run inside; restored after it.
+
+    For jobs that end inside the block: a query that is still to run reads the
+    settings of its own time.
+    """
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+              "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Numbered Parquet tables of one run in the shared checkpoint folder."""
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from txrisk.llm import (chat_format, embed_dedup, merkle, minhash, mixing, quality, sentencepiece_codec, sharding,
-                        suffix_dedup, topk_search, url_filter)
+from txrisk.llm import (chat_format, embed_dedup, merkle, minhash, mixing, packing, quality, sentencepiece_codec,
+                        sharding, suffix_dedup, topk_search, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": minhash.op1_hyperminhash,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_targets": chat_format.op9_prefix_targets,
     "op10_sainte_lague": mixing.op10_sainte_lague,
     "op12_merkle_windows": merkle.op12_merkle_windows,
+    "op13_best_fit": packing.op13_best_fit,
     "pipeline": corpus_pipeline.run,
 }
 
