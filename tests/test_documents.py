@@ -105,7 +105,7 @@ def test_null_feature_is_an_error_that_names_the_column(spark):
 def test_changed_data_changes_the_model_table(spark):
     d = tempfile.mkdtemp(prefix="txrisk-data-")
     for t in ("region", "nation", "customer", "events"):
-        shutil.copy(f"{SF_SMALL}/{t}.parquet", d)
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", f"{d}/{t}.parquet")
     n = P.model_ready(spark, d).count()
     before = P.fitted(spark, d)
     assert P.fitted(spark, d) is before

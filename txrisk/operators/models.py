@@ -7,21 +7,17 @@ a short lineage and a lost executor only recomputes Parquet splits.
 
 from __future__ import annotations
 
-import itertools
-import json
 import os
-import random
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.operators.linear import LinearModel, fit_logistic
 from txrisk.operators.risk import with_class_weight
 from txrisk.session import checkpoint_dir
 
@@ -29,8 +25,6 @@ from txrisk.session import checkpoint_dir
 BASE_FEATURES = ["amount", "hour", "day_of_week", "month", "merchant_risk_score",
                  "composite_risk", "age_numeric", "amount_sum_24h", "amount_vs_mean_ratio_safe"]
 RF_PARAMS = dict(numTrees=100, maxDepth=10, minInstancesPerNode=50)
-LR_MAX_ITER = 1000
-LR_TOL = 1e-4  # scikit-learn's default tolerance used by the reference
 VERDICT_DELTA = 0.002
 SEED = 42
 
@@ -58,58 +52,42 @@ def scale_features(df: DataFrame, features: list[str], fit_on: DataFrame | None
          .otherwise(F.col(f"__s_{c}"))).alias(f"{c}{suffix}") for c in features])
 
 
-def _weighted(train: DataFrame, label: str) -> DataFrame:
+def weighted(train: DataFrame, label: str) -> DataFrame:
     return with_class_weight(train, label, "weight")
 
 
 # op 92
-def train_lr(train: DataFrame, features: list[str], label: str = "is_fraud",
-             c_param: float = 1.0) -> PipelineModel:
-    """L2 logistic regression with balanced weights after standard scaling.
-
-    sklearn's objective 0.5|w|^2 + C * sum(w_i loss_i) equals MLlib's
-    mean-weighted loss + regParam/2 |w|^2 with regParam = 1 / (C * sum(w_i));
-    with balanced weights sum(w_i) = n.
-    """
-    from txrisk.operators.risk import class_weights
-
-    cw = class_weights(train, label).persist()
-    # balanced weights sum to the row count: read it from the (one row per class) table
-    n = cw.agg(F.sum(F.col("n") * F.col("weight"))).first()[0]
-    tw = train.join(F.broadcast(cw.select(label, "weight")), label)  # one row per class
-    stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="error"),
-              StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-              LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
-                                 regParam=1.0 / (c_param * n), elasticNetParam=0.0,
-                                 standardization=False, maxIter=LR_MAX_ITER, tol=LR_TOL,
-                                 family="binomial")]
-    return Pipeline(stages=stages).fit(tw)
+def train_lr(train: DataFrame, features: list[str], label: str = "is_fraud", c_param: float = 1.0) -> LinearModel:
+    """L2 logistic regression with balanced weights after standard scaling (population deviation), to its optimum."""
+    return fit_logistic(train, features, label, c_param)
 
 
 # op 93
-def lr_coefficients(model: PipelineModel, features: list[str]) -> DataFrame:
+def lr_coefficients(model: LinearModel, features: list[str]) -> DataFrame:
     from pyspark.sql import SparkSession
 
-    lr = model.stages[-1]
-    s = SparkSession.getActiveSession()
-    rows = list(zip(features, [float(x) for x in lr.coefficients.toArray()]))
-    df = s.createDataFrame(rows, "feature string, coefficient double")
+    df = SparkSession.getActiveSession().createDataFrame(
+        list(zip(features, model.coefficients, strict=True)), "feature string, coefficient double")
     return df.select("*", F.abs("coefficient").alias("abs_coefficient")).orderBy(
         F.col("coefficient").desc(), "feature")
 
 
+def forest_classifier(label: str, max_bins: int = 256, **params) -> RandomForestClassifier:
+    """The one forest estimator of training and search; ``params`` are its settings."""
+    return RandomForestClassifier(**dict(dict(
+        featuresCol="features", labelCol=label, weightCol="weight", seed=SEED, maxBins=max_bins,
+        featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10), **params))
+
+
 # op 94
 def train_rf(train: DataFrame, features: list[str], label: str = "is_fraud",
              max_bins: int = 256, **params) -> PipelineModel:
     p = dict(RF_PARAMS)
     p.update(params)
     train.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(train.sparkSession))  # node ids
-    tw = _weighted(train, label)
+    tw = weighted(train, label)
     stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"),
-              RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
-                                     seed=SEED, maxBins=max_bins, featureSubsetStrategy="sqrt",
-                                     maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10,
-                                     **p)]
+              forest_classifier(label, max_bins, **p)]
     return Pipeline(stages=stages).fit(tw)
 
 
@@ -125,16 +103,25 @@ def rf_importance(model: PipelineModel, features: list[str], top: int = 15) -> D
 
 
 # op 96
-def score_table(model: PipelineModel, df: DataFrame, keep: list[str],
+def score_table(model: PipelineModel | LinearModel, df: DataFrame, keep: list[str],
                 threshold: float = 0.5) -> DataFrame:
-    out = model.transform(df)
-    p = vector_to_array(F.col("probability"))[1]
+    if isinstance(model, LinearModel):
+        out, p = df, model.probability()
+    else:
+        out, p = model.transform(df), vector_to_array(F.col("probability"))[1]
     return out.select(*keep, p.alias("fraud_probability"),
                       (p > threshold).cast("int").alias("predicted"))
 
 
 # op 8
-def model_persist(model: PipelineModel, path: str) -> PipelineModel:
+def model_persist(model: PipelineModel | LinearModel, path: str) -> PipelineModel | LinearModel:
+    """The model as read back from ``path``."""
+    if isinstance(model, LinearModel):
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        model.save(spark, path)
+        return LinearModel.load(spark, path)
     model.write().overwrite().save(path)
     return PipelineModel.load(path)
 
@@ -144,41 +131,3 @@ def verdict(auc_delta) -> F.Column:
     d = F.col(auc_delta) if isinstance(auc_delta, str) else auc_delta
     return (F.when(d > VERDICT_DELTA, "IMPROVED")
             .when(F.abs(d) <= VERDICT_DELTA, "NO MEANINGFUL CHANGE").otherwise("WORSE"))
-
-
-# op 99
-# The reference's search grid and number of draws.
-SEARCH_GRID = {
-    "n_estimators": [50, 100, 200],
-    "max_depth": [8, 10, 12, 15],
-    "min_samples_split": [50, 100, 200],
-    "min_samples_leaf": [25, 50, 100],
-    "max_features": ["sqrt", "log2", None],
-}
-SEARCH_DRAWS = 100
-
-
-def random_search_cv(train: DataFrame, features: list[str], label: str = "is_fraud",
-                     fold_col: str = "fold", n_draws: int = SEARCH_DRAWS, seed: int = SEED,
-                     parallelism: int = 2, grid: dict = SEARCH_GRID) -> DataFrame:
-    """``n_draws`` different settings of the grid, evaluated by k-fold AUC (folds given).
-
-    MLlib has no smallest node to split.  Leaves of at least max(min_samples_leaf,
-    min_samples_split / 2) rows meet both bounds: a split node then holds twice as many rows.
-    """
-    names = list(grid)
-    settings = [dict(zip(names, v)) for v in itertools.product(*grid.values())]
-    draws = random.Random(seed).sample(settings, min(n_draws, len(settings)))
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", seed=SEED)
-    maps = [{rf.numTrees: p["n_estimators"], rf.maxDepth: p["max_depth"],
-             rf.minInstancesPerNode: max(p["min_samples_leaf"], -(-p["min_samples_split"] // 2)),
-             rf.featureSubsetStrategy: p["max_features"] or "all"} for p in draws]
-    tw = assemble_features(_weighted(train, label), features)
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
-                                       metricName="areaUnderROC")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
-    m = cv.fit(tw)
-    rows = [(i, json.dumps(p), float(avg), float(std))
-            for i, (p, avg, std) in enumerate(zip(draws, m.avgMetrics, m.stdMetrics))]
-    return train.sparkSession.createDataFrame(rows, "draw int, params string, mean_auc double, std_auc double")

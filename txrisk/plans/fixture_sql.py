@@ -36,6 +36,8 @@ scored AS (
 
 def with_fixture(body: str) -> str:
     body = body.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE" + FIXTURE_CTES[4:] + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return FIXTURE_CTES + ",\n" + body[4:].lstrip()
     return FIXTURE_CTES + "\n" + body

@@ -7,9 +7,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.operators import encode, history as H, metrics as M, models as ML, shap as SH, split
+from txrisk.operators import encode, history as H, metrics as M, models as ML, search, shap as SH, split
 from txrisk.plans.common import finish
 from txrisk.plans.history import _FEAT_SQL, risk_features
+from txrisk.plans.lr_sql import newton_ctes, probability
 from txrisk.registry import query
 from txrisk.session import data_signature, materialize
 from txrisk.sources import sinks
@@ -92,24 +93,37 @@ def test_rows(spark, d) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sources / sinks
-_MR_SQL = _FEAT_SQL + """,
+def _mr_select(r) -> str:
+    """The model-ready rows from the CTEs before; ``r`` wraps what is not a whole number."""
+    share = " + ".join(f"(CASE WHEN h{i} > l{i} THEN ({v} - l{i}) / (h{i} - l{i}) ELSE 0.0 END) * (1.0 / 3)"
+                       for i, v in (("v", "velocity_score"), ("r", "amount_vs_mean_ratio_safe"), ("c", "chr")))
+    week = "OVER (PARTITION BY customer_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)"
+    risk_score = ("CASE merchant_category WHEN 'AUTOMOBILE' THEN 0.1 WHEN 'BUILDING' THEN 0.2 WHEN 'FURNITURE' THEN 0.3 "
+                  "WHEN 'HOUSEHOLD' THEN 0.4 WHEN 'MACHINERY' THEN 0.5 END")
+    mean_7d = f"CAST(sum(CAST(amount AS DECIMAL(24,6))) {week} AS DOUBLE) / count(amount) {week}"
+    return f"""SELECT transaction_id, {r('amount')} AS amount, hour, day_of_week, month,
+  {r(risk_score)} AS merchant_risk_score, {r(share)} AS composite_risk,
+  CASE age_group WHEN '<20' THEN 1 WHEN '20-29' THEN 2 WHEN '30-39' THEN 3 WHEN '40+' THEN 4 END AS age_numeric,
+  {r('amount_sum_24h')} AS amount_sum_24h, {r('amount_vs_mean_ratio_safe')} AS amount_vs_mean_ratio_safe,
+  {", ".join(f"CAST(CASE WHEN bank = '{b}' THEN 1 ELSE 0 END AS INT) AS bank_{b}" for b in BANKS)},
+  tx_count_24h, {r(mean_7d)} AS amount_mean_7d, is_fraud
+FROM c, m"""
+
+
+_MR_CTES = _FEAT_SQL + """,
 c AS (SELECT *, avg(CAST(is_fraud AS DOUBLE)) OVER (PARTITION BY channel) AS chr FROM feat),
 m AS (SELECT min(velocity_score) AS lv, max(velocity_score) AS hv, min(amount_vs_mean_ratio_safe) AS lr,
    max(amount_vs_mean_ratio_safe) AS hr, min(chr) AS lc, max(chr) AS hc FROM c)
-SELECT transaction_id, round(amount, 6) AS amount, hour, day_of_week, month,
-  round(CASE merchant_category WHEN 'AUTOMOBILE' THEN 0.1 WHEN 'BUILDING' THEN 0.2 WHEN 'FURNITURE' THEN 0.3
-    WHEN 'HOUSEHOLD' THEN 0.4 WHEN 'MACHINERY' THEN 0.5 END, 6) AS merchant_risk_score,
-  round((CASE WHEN hv > lv THEN (velocity_score - lv) / (hv - lv) ELSE 0.0 END) * (1.0 / 3)
-   + (CASE WHEN hr > lr THEN (amount_vs_mean_ratio_safe - lr) / (hr - lr) ELSE 0.0 END) * (1.0 / 3)
-   + (CASE WHEN hc > lc THEN (chr - lc) / (hc - lc) ELSE 0.0 END) * (1.0 / 3), 6) AS composite_risk,
-  CASE age_group WHEN '<20' THEN 1 WHEN '20-29' THEN 2 WHEN '30-39' THEN 3 WHEN '40+' THEN 4 END AS age_numeric,
-  round(amount_sum_24h, 6) AS amount_sum_24h, round(amount_vs_mean_ratio_safe, 6) AS amount_vs_mean_ratio_safe,
-  """ + ", ".join(f"CAST(CASE WHEN bank = '{b}' THEN 1 ELSE 0 END AS INT) AS bank_{b}" for b in BANKS) + """,
-  tx_count_24h, round(CAST(sum(CAST(amount AS DECIMAL(24,6))) OVER (PARTITION BY customer_id ORDER BY ts
-    RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE) / count(amount) OVER (PARTITION BY
-    customer_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW), 6) AS amount_mean_7d,
-  is_fraud
-FROM c, m"""
+"""
+_MR_SQL = _MR_CTES + _mr_select(lambda e: f"round({e}, 6)")
+
+#: The fitted regression, found again in SQL from the unrounded model-ready rows.
+_LR_CTES = _MR_CTES.strip().replace("WITH", "WITH RECURSIVE", 1) + f""",
+mr AS ({_mr_select(lambda e: e)}),
+parted AS (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY md5(CAST(transaction_id AS VARCHAR)), transaction_id)
+   <= round(0.2 * count(*) OVER (PARTITION BY is_fraud)) AS is_test FROM mr),
+{newton_ctes('parted', FEATURES, 'NOT is_test')}
+"""
 
 
 @query("sink_model_ready", _MR_SQL)
@@ -134,21 +148,23 @@ def q_scale_features(spark, d):
                   .select("transaction_id", "amount_scaled", "hour_scaled"))
 
 
-# ---------------------------------------------------------------- models (rows-only checks)
+# ---------------------------------------------------------------- models
 @query("assemble_features")
 def q_assemble_features(spark, d):
     a = ML.assemble_features(model_ready(spark, d), FEATURES)
     return a.select("transaction_id", "is_fraud", vector_to_array("features").alias("features"))
 
 
-@query("train_lr")
+@query("train_lr", _LR_CTES + f"""SELECT transaction_id, is_fraud, round({probability(FEATURES)}, 6) AS fraud_probability,
+  CAST({probability(FEATURES)} > 0.5 AS INT) AS predicted FROM lr_rows, lr_beta WHERE is_test""")
 def q_train_lr(spark, d):
-    return ML.score_table(lr_model(spark, d), test_rows(spark, d), ["transaction_id", "is_fraud"])
+    return finish(ML.score_table(lr_model(spark, d), test_rows(spark, d), ["transaction_id", "is_fraud"]))
 
 
-@query("lr_coefficients")
+@query("lr_coefficients", _LR_CTES + f"""SELECT feature, round(c, 6) AS coefficient, round(abs(c), 6) AS abs_coefficient
+FROM (SELECT unnest({FEATURES}) AS feature, unnest(beta[1:{len(FEATURES)}]) AS c FROM lr_beta) q""")
 def q_lr_coefficients(spark, d):
-    return ML.lr_coefficients(lr_model(spark, d), FEATURES)
+    return finish(ML.lr_coefficients(lr_model(spark, d), FEATURES))
 
 
 @query("train_rf")
@@ -273,10 +289,10 @@ def q_verdict(spark, d):
 
 @query("random_search_cv")
 def q_random_search_cv(spark, d):
-    """Two of the search's 100 draws over all training rows: the draws are a setting of the search."""
+    """The search's 100 draws over all training rows, three folds."""
     tr = split_frame(spark, d).filter(~F.col("is_test")).drop("is_test")
     folds = split.stratified_kfold(tr, 3)
-    return ML.random_search_cv(folds, FEATURES, n_draws=2)
+    return search.random_search_cv(folds, FEATURES)
 
 
 # ---------------------------------------------------------------- TreeSHAP

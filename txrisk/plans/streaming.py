@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from txrisk.operators import models as ML
 from txrisk.plans.common import finish
 from txrisk.plans.history import W24, msum
+from txrisk.plans.lr_sql import newton_ctes, probability
 from txrisk.registry import query
 from txrisk.sources import fixtures as fx
 from txrisk.streaming import stream as ST
@@ -39,17 +40,24 @@ def q_stream_velocity_24h(spark, d):
     return finish(out)
 
 
-@query("stream_score")
+_STREAM_FEATURES = ["amount", "hour", "day_of_week", "merchant_risk_score", "age_numeric"]
+
+
+@query("stream_score", f"""WITH RECURSIVE feats AS (SELECT transaction_id, is_fraud, amount, hour, day_of_week,
+  CASE merchant_category WHEN 'AUTOMOBILE' THEN 0.1 WHEN 'BUILDING' THEN 0.2 WHEN 'FURNITURE' THEN 0.3
+    WHEN 'HOUSEHOLD' THEN 0.4 WHEN 'MACHINERY' THEN 0.5 END AS merchant_risk_score,
+  CASE age_group WHEN '<20' THEN 1 WHEN '20-29' THEN 2 WHEN '30-39' THEN 3 WHEN '40+' THEN 4 END AS age_numeric FROM tx),
+{newton_ctes('feats', _STREAM_FEATURES, 'TRUE')}
+SELECT transaction_id, round({probability(_STREAM_FEATURES)}, 6) AS fraud_probability,
+  CAST({probability(_STREAM_FEATURES)} > 0.5 AS INT) AS predicted FROM lr_rows, lr_beta""")
 def q_stream_score(spark, d):
     from txrisk.functions import scalar as S
 
-    feats = ["amount", "hour", "day_of_week", "merchant_risk_score", "age_numeric"]
-
     def with_feats(df):
         return df.select("*", fx.merchant_risk_col().alias("merchant_risk_score"),
                          S.age_ordinal("age_group").alias("age_numeric"))
 
-    model = ML.train_lr(with_feats(fx.tx(spark, d)), feats)
+    model = ML.train_lr(with_feats(fx.tx(spark, d)), _STREAM_FEATURES)
     model = ML.model_persist(model, ML.shared_path(spark, "stream_model"))
-    return ST.stream_score(with_feats(_tx_stream(spark, d)), model, ML.shared_path(spark, "stream_scores"),
-                           ML.shared_path(spark, "stream_scores_ckpt"))
+    return finish(ST.stream_score(with_feats(_tx_stream(spark, d)), model, ML.shared_path(spark, "stream_scores"),
+                                  ML.shared_path(spark, "stream_scores_ckpt")))

@@ -140,13 +140,9 @@ def stream_velocity_24h(tx_stream: DataFrame, out_path: str, ckpt: str, key: str
 # op 135
 def stream_score(tx_stream: DataFrame, model, out_path: str, ckpt: str, id_col: str = "transaction_id",
                  ts: str = "ts", watermark: str = "2 hours") -> DataFrame:
-    """Drop re-delivered transactions within the watermark, score with a saved pipeline."""
-    from pyspark.ml.functions import vector_to_array
+    """Drop re-delivered transactions within the watermark, score with a saved model."""
+    from txrisk.operators.models import score_table
 
     s = (tx_stream.withColumn("event_time", F.col(ts).cast("timestamp"))
          .withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([id_col]))
-    scored = model.transform(s)
-    p = vector_to_array(F.col("probability"))[1]
-    out = scored.select(id_col, p.alias("fraud_probability"), (p > 0.5).cast("int").alias("predicted"))
-
-    return _run(out, out_path, ckpt).drop("batch_id")
+    return _run(score_table(model, s, [id_col]), out_path, ckpt).drop("batch_id")
