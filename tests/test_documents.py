@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from conftest import SF_SMALL
 from txrisk.functions import text as X
-from txrisk.operators import models as ML
+from txrisk.operators import models as ML, search
 from txrisk.plans import discovery as D, models as P
 
 Q = queries()
@@ -89,9 +89,9 @@ def test_csv_keeps_quotes_and_line_breaks(spark):
 
 
 def test_search_draws_different_settings_of_the_grid():
-    assert ML.SEARCH_DRAWS == 100
+    assert search.SEARCH_DRAWS == 100
     n = 1
-    for v in ML.SEARCH_GRID.values():
+    for v in search.SEARCH_GRID.values():
         n *= len(v)
     assert n == 324
 

@@ -1,10 +1,12 @@
-"""TreeSHAP recursion vs brute-force Shapley values on random small trees (no Spark)."""
+"""TreeSHAP path tables vs brute-force Shapley values on random small trees (no Spark)."""
 
 import itertools
 import math
 
 import numpy as np
+import pytest
 
+from txrisk.operators import shap
 from txrisk.operators.shap import expected_value, forest_predict, forest_shap
 
 
@@ -49,7 +51,9 @@ def brute(t, x, m):
     return phi
 
 
-def test_tree_shap_matches_brute_force():
+@pytest.mark.parametrize("full", [10, 1])
+def test_tree_shap_matches_brute_force(monkeypatch, full):
+    monkeypatch.setattr(shap, "FULL_TABLE", full)
     rng = np.random.default_rng(7)
     m = 4
     for _ in range(5):
@@ -62,3 +66,23 @@ def test_tree_shap_matches_brute_force():
         # additivity
         pred = forest_predict(X, trees)
         assert np.allclose(expected_value(trees) + phi.sum(axis=1), pred, atol=1e-9)
+
+
+def test_deep_paths_and_lone_leaves():
+    """More conditions than a full table holds; additivity is exact, a tree of one leaf explains nothing."""
+    rng = np.random.default_rng(3)
+    m = 14
+    n = 2 * m + 1  # a chain: one leaf on the left of every node
+    chain = dict(left=np.full(n, -1), right=np.full(n, -1), feat=np.zeros(n, int), thr=np.zeros(n),
+                 val=rng.random(n), cov=np.ones(n))
+    for i in range(m):
+        chain["left"][2 * i], chain["right"][2 * i] = 2 * i + 1, 2 * i + 2
+        chain["feat"][2 * i], chain["thr"][2 * i] = i, 0.3
+    for i in range(m - 1, -1, -1):
+        chain["cov"][2 * i] = chain["cov"][2 * i + 1] + chain["cov"][2 * i + 2]
+    lone = dict(left=np.array([-1]), right=np.array([-1]), feat=np.array([0]), thr=np.zeros(1), val=np.array([0.4]),
+                cov=np.ones(1))
+    X = rng.random((200, m))
+    phi = forest_shap(X, [chain, lone])
+    assert np.allclose(expected_value([chain, lone]) + phi.sum(axis=1), forest_predict(X, [chain, lone]), atol=1e-12)
+    assert not forest_shap(X, [lone]).any()

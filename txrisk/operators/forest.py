@@ -36,9 +36,11 @@ def forest_trees(spark, rf_model, path: str) -> list[dict]:
 
 def leaves_of(x: np.ndarray, tree: dict) -> np.ndarray:
     """The leaf of every row."""
+    left, right, feat, thr = (tree[k] for k in ("left", "right", "feat", "thr"))
     node, at = np.zeros(len(x), np.int64), np.arange(len(x))
-    for _ in range(int(tree["depth"].max())):
-        inner = tree["left"][node] >= 0
-        go = x[at, np.where(inner, tree["feat"][node], 0)] <= tree["thr"][node]
-        node = np.where(inner, np.where(go, tree["left"][node], tree["right"][node]), node)
+    inner = left[node] >= 0
+    while inner.any():
+        go = x[at, np.where(inner, feat[node], 0)] <= thr[node]
+        node = np.where(inner, np.where(go, left[node], right[node]), node)
+        inner = left[node] >= 0
     return node

@@ -54,19 +54,19 @@ class LinearModel:
 
 
 def standardisation(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """(means, population deviations with 1 for 0, rows per class) in one pass.  A null or NaN feature is an error."""
+    """(means, population deviations, 1 for a constant feature, rows per class) in one pass.  A null or NaN feature is an error."""
     value = [F.col(c).cast("double") for c in features]
     bad = [F.count_if(v.isNull() | F.isnan(v)).alias(f"bad{i}") for i, v in enumerate(value)]
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"), *bad,
                *[F.avg(v).alias(f"m{i}") for i, v in enumerate(value)],
-               *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(value)]).first()
+               *[F.when(F.min(v) < F.max(v), F.stddev_pop(v)).otherwise(1.0).alias(f"s{i}") for i, v in enumerate(value)]).first()
     wrong = [f for i, f in enumerate(features) if r[f"bad{i}"]]
     if wrong:
         raise ValueError(f"null or NaN in feature columns {wrong}")
     if not r["n"] or r["pos"] in (0, r["n"]):
         raise ValueError("training rows of both classes are needed")
-    scale = np.array([r[f"s{i}"] or 1.0 for i in range(len(features))])
-    return np.array([r[f"m{i}"] for i in range(len(features))]), scale, {0: r["n"] - r["pos"], 1: r["pos"]}
+    mean, scale = (np.array([r[f"{k}{i}"] for i in range(len(features))]) for k in "ms")
+    return mean, scale, {0: r["n"] - r["pos"], 1: r["pos"]}
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str = "is_fraud", c_param: float = 1.0) -> LinearModel:

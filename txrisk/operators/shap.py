@@ -1,60 +1,36 @@
-"""Distributed path-dependent TreeSHAP for MLlib random forests (ops 118-124).
+"""Distributed path-dependent TreeSHAP for random forests (ops 118-124).
 
 * The forest's node table is read from the model's saved ``data/`` Parquet
-  (a distributed read), turned into NumPy arrays and broadcast.  Its size is
-  bounded by the model parameters: numTrees x (2^(maxDepth+1) - 1) nodes.
-* Rows are scored with ``mapInPandas``: every Arrow batch runs the
-  path-dependent TreeSHAP recursion (Lundberg, Erion & Lee 2018, Alg. 2)
-  once per tree, vectorised over all rows of the batch -- the path structure
-  (features, zero fractions) is shared, only the one-fractions and path
-  weights are per-row vectors.
+  (``forest.forest_trees``) and broadcast.  Its size is bounded by the model
+  parameters: numTrees x (2^(maxDepth+1) - 1) nodes.
+* Every leaf is a path of conditions.  Repeated features are merged, so that a
+  path has one condition per feature, which a row meets or not, and one share of
+  the weight that goes its way.  A row's values depend on a leaf only through the
+  bit pattern of the conditions it meets: a table per path, by pattern, holds what
+  each feature gets, and rows look their pattern up.  The patterns of all leaves
+  come from one walk over the tree that changes one bit per node.
+* Shapley weights s!(d-1-s)!/d! are the integrals of t^s (1-t)^(d-1-s) over 0..1.
+  So the sum over all subsets of the other features is the integral of a product
+  with one factor per feature, a polynomial of degree d - 1, and Gauss-Legendre
+  quadrature with ceil(d / 2) points is exact.
 * Per-tree values are leaf class-1 shares and covers are the weighted
   ``impurityStats`` sums, so ``base + sum(phi)`` equals MLlib's probability.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.operators.forest import forest_trees, leaves_of
 from txrisk.operators.history import rank_within
 
-
-# ---------------------------------------------------------------- node table
-def forest_arrays(spark, rf_model, path: str) -> list[dict]:
-    """Save the RF stage, read its node table and build per-tree arrays."""
-    rf_model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", F.col("nodeData.id").alias("id"),
-        F.col("nodeData.impurityStats").alias("stats"),
-        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"))
-    pdf = nodes.toPandas()  # bounded by numTrees * 2^(maxDepth+1)
-    trees = []
-    for _, g in pdf.groupby("treeID"):
-        g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        left = np.full(n, -1, np.int64)
-        right = np.full(n, -1, np.int64)
-        feat = np.full(n, -1, np.int64)
-        thr = np.zeros(n)
-        val = np.zeros(n)
-        cov = np.zeros(n)
-        for r in g.itertuples(index=False):
-            i = int(r.id)
-            st = np.asarray(r.stats, dtype=float)
-            tot = st.sum()
-            cov[i] = tot
-            val[i] = (st[1] / tot) if (tot > 0 and len(st) > 1) else 0.0
-            left[i], right[i] = int(r.left), int(r.right)
-            if r.left >= 0:
-                feat[i] = int(r.feature)
-                thr[i] = float(r.thr[0])
-        trees.append(dict(left=left, right=right, feat=feat, thr=thr, val=val, cov=cov))
-    return trees
+#: Conditions up to which a path's table holds every pattern; longer paths get those that occur in a batch.
+FULL_TABLE = 10
 
 
 def expected_value(trees: list[dict]) -> float:
@@ -65,138 +41,107 @@ def expected_value(trees: list[dict]) -> float:
     return float(np.mean(ev))
 
 
-# ---------------------------------------------------------------- TreeSHAP (vectorised over rows)
-def _extend(feat, zf, of, pw, d, pz, po, pf, n):
-    feat[d], zf[d], of[d] = pf, pz, po
-    pw[d] = np.ones(n) if d == 0 else np.zeros(n)
-    for i in range(d - 1, -1, -1):
-        pw[i + 1] = pw[i + 1] + po * pw[i] * ((i + 1.0) / (d + 1.0))
-        pw[i] = pz * pw[i] * ((d - i) / (d + 1.0))
-
-
-def _unwind(feat, zf, of, pw, d, k):
-    o, z = of[k], zf[k]
-    nz = o != 0
-    osafe = np.where(nz, o, 1.0)
-    nxt = pw[d]
-    for i in range(d - 1, -1, -1):
-        tmp = pw[i]
-        a = nxt * (d + 1) / ((i + 1) * osafe)
-        b = tmp * (d + 1) / (z * (d - i))
-        new = np.where(nz, a, b)
-        nxt = np.where(nz, tmp - new * z * (d - i) / (d + 1), nxt)
-        pw[i] = new
-    for i in range(k, d):
-        feat[i], zf[i], of[i] = feat[i + 1], zf[i + 1], of[i + 1]
-
-
-def _unwound_sums(O: np.ndarray, Z: np.ndarray, pw: list, d: int) -> np.ndarray:
-    """``_unwound_sum`` for every path element 1..d at once (rows of O/Z)."""
-    nz = O != 0
-    osafe = np.where(nz, O, 1.0)
-    nxt = np.broadcast_to(pw[d], O.shape)
-    total = np.zeros(O.shape)
-    for i in range(d - 1, -1, -1):
-        a = nxt * ((d + 1) / (i + 1)) / osafe
-        b = pw[i] / Z * ((d + 1) / (d - i))
-        total += np.where(nz, a, b)
-        nxt = np.where(nz, pw[i] - a * Z * ((d - i) / (d + 1)), nxt)
-    return total
+# ---------------------------------------------------------------- TreeSHAP by path tables
+@lru_cache(maxsize=64)
+def _quadrature(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points in 0..1 and weights, exact up to degree d - 1."""
+    t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
+    return (t + 1) / 2, w / 2
 
 
-def tree_shap(X: np.ndarray, t: dict, phi: np.ndarray) -> None:
-    """Add one tree's path-dependent SHAP values for all rows of X into phi (n x m).
+@lru_cache(maxsize=64)
+def _all_patterns(d: int) -> np.ndarray:
+    return _bits(np.arange(1 << d), d)
+
+
+def _bits(patterns: np.ndarray, d: int) -> np.ndarray:
+    return (patterns[None] >> np.arange(d)[:, None]) & 1 == 1
+
+
+def path_table(share: np.ndarray, value: float, met: np.ndarray) -> np.ndarray:
+    """What each of a path's d features gets (rows) for each pattern of met conditions (``met``: d x patterns).
 
-    A row's recursion state (one fractions, path weights) depends only on the
-    sequence of path conditions it met, so the recursion runs on *patterns*:
-    per node it keeps one state column per distinct pattern (at most
-    2^depth, at most n) plus a row -> pattern index.  Rows are touched only
-    by the split test, the O(n) pattern refinement and the leaf scatter.
+    ``share`` is the part of the weight that goes the path's way where the feature
+    is unknown; ``value`` the leaf's value.
     """
-    left, right, feat_, thr, val, cov = (t[k] for k in ("left", "right", "feat", "thr", "val", "cov"))
+    t, w = _quadrature(len(share))
+    share = np.maximum(share, 1e-200)[:, None]
+    unmet = share * (1 - t)                      # d x points: a feature's factor, condition not met
+    factor = (unmet, unmet + t)
+    product = np.broadcast_to(w[:, None], (len(t), met.shape[1]))
+    for j in range(len(share)):
+        product = product * np.where(met[j], factor[1][j][:, None], factor[0][j][:, None])
+    without = [(1 / f) @ product for f in factor]  # d x patterns: the integral without the feature's own factor
+    return value * np.where(met, (1 - share) * without[1], -share * without[0])
 
-    def rec(node, d, feat, zf, of, pw, pz, po, pf, pid):
-        u = po.shape[0]
-        feat, zf, of, pw = feat[:d] + [None], zf[:d] + [None], of[:d] + [None], pw[:d] + [None]
-        _extend(feat, zf, of, pw, d, pz, po, pf, u)
+
+def tree_shap(X: np.ndarray, t: dict, phi: np.ndarray) -> None:
+    """Add one tree's path-dependent SHAP values for all rows of X (n x m) into phi (m x n)."""
+    left, right, feat, thr, val, cov = (t[k] for k in ("left", "right", "feat", "thr", "val", "cov"))
+    columns = X.T
+
+    def walk(node: int, place: dict[int, int], share: list[float], pattern: np.ndarray) -> None:
         if left[node] < 0:
-            if d > 0:
-                O = np.stack(of[1:d + 1])                 # (d, u) one fractions per path element
-                Z = np.asarray(zf[1:d + 1])[:, None]      # (d, 1) zero fractions
-                w = _unwound_sums(O, Z, pw, d)
-                phi[:, feat[1:d + 1]] += ((O - Z) * w * val[node])[:, pid].T
+            d = len(share)
+            if d and val[node]:
+                if d <= FULL_TABLE:
+                    met, at = _all_patterns(d), pattern
+                else:
+                    seen, at = np.unique(pattern, return_inverse=True)
+                    met = _bits(seen, d)
+                table = path_table(np.array(share), val[node], met)
+                for f, j in place.items():
+                    phi[f] += table[j][at]
             return
-        f = int(feat_[node])
-        go = X[:, f] <= thr[node]
-        iz, io = 1.0, np.ones(u)
-        k = next((p for p in range(d + 1) if feat[p] == f), None)
-        if k is not None:
-            iz, io = zf[k], of[k]
-            _unwind(feat, zf, of, pw, d, k)
-            d -= 1
-        active = io[pid] != 0                             # rows whose one fraction can still be 1
-        for child, hot in ((left[node], go & active), (right[node], ~go & active)):
-            code = pid * 2 + hot
-            seen = np.zeros(2 * u, dtype=bool)
-            seen[code] = True
-            rep = np.flatnonzero(seen)                    # kept patterns: parent * 2 + bit
-            remap = np.cumsum(seen) - 1
-            parent = rep // 2
-            rec(child, d + 1, feat, zf, [o[parent] for o in of[:d + 1]],
-                [p[parent] for p in pw[:d + 1]], cov[child] / cov[node] * iz,
-                io[parent] * (rep % 2), f, remap[code])
-
-    rec(0, 0, [], [], [], [], 1.0, np.ones(1), -1, np.zeros(X.shape[0], dtype=np.int64))
+        f = int(feat[node])
+        goes_left = columns[f] <= thr[node]
+        j = place.get(f, len(share))
+        bit = np.int64(1 << j)
+        for child, goes in ((left[node], goes_left), (right[node], ~goes_left)):
+            part = cov[child] / cov[node]
+            if j == len(share):  # a feature that is new to the path
+                walk(child, place | {f: j}, [*share, part], pattern | (goes * bit))
+            else:                # met only if all of its conditions are
+                walk(child, place, [*share[:j], share[j] * part, *share[j + 1:]], np.where(goes, pattern, pattern & ~bit))
+
+    walk(0, {}, [], np.zeros(X.shape[0], dtype=np.int64))
 
 
 def forest_shap(X: np.ndarray, trees: list[dict]) -> np.ndarray:
-    phi = np.zeros((X.shape[0], X.shape[1]))
+    """SHAP values (n x m) of the mean over the trees."""
+    phi = np.zeros((X.shape[1], X.shape[0]))
+    X = np.asfortranarray(X)
     for t in trees:
         tree_shap(X, t, phi)
-    return phi / len(trees)
+    return phi.T / len(trees)
 
 
 def forest_predict(X: np.ndarray, trees: list[dict]) -> np.ndarray:
-    out = np.zeros(X.shape[0])
-    for t in trees:
-        node = np.zeros(X.shape[0], dtype=np.int64)
-        for _ in range(64):
-            internal = t["left"][node] >= 0
-            if not internal.any():
-                break
-            f = np.where(internal, t["feat"][node], 0)
-            goes_left = X[np.arange(len(node)), f] <= t["thr"][node]
-            nxt = np.where(goes_left, t["left"][node], t["right"][node])
-            node = np.where(internal, nxt, node)
-        out += t["val"][node]
-    return out / len(trees)
+    return np.mean([t["val"][leaves_of(X, t)] for t in trees], axis=0)
 
 
 # op 118
 def tree_shap_values(df: DataFrame, rf_model, features: list[str], id_col: str,
                      model_path: str) -> DataFrame:
     """Wide SHAP table: id, base_value, shap_prediction, shap_<feature>..."""
-    spark = df.sparkSession
-    trees = forest_arrays(spark, rf_model, model_path)
+    return shap_of_trees(df, forest_trees(df.sparkSession, rf_model, model_path), features, id_col)
+
+
+def shap_of_trees(df: DataFrame, trees: list[dict], features: list[str], id_col: str) -> DataFrame:
+    """The wide SHAP table of any forest given as trees (``forest.forest_trees``)."""
     base = expected_value(trees)
-    bc = spark.sparkContext.broadcast(trees)
-    cols = [id_col] + features
-    out_schema = (f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, base_value double, "
-                  f"shap_prediction double, "
-                  + ", ".join(f"`shap_{c}` double" for c in features))
+    shared = df.sparkSession.sparkContext.broadcast(trees)
+    schema = (f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, base_value double, shap_prediction double, "
+              + ", ".join(f"`shap_{c}` double" for c in features))
 
     def run(batches):
-        tr = bc.value
         for pdf in batches:
-            X = pdf[features].to_numpy(dtype=float)
-            phi = forest_shap(X, tr)
+            phi = forest_shap(pdf[features].to_numpy(dtype=float), shared.value)
             res = pd.DataFrame({id_col: pdf[id_col].values, "base_value": base,
                                 "shap_prediction": base + phi.sum(axis=1)})
-            for j, c in enumerate(features):
-                res[f"shap_{c}"] = phi[:, j]
-            yield res
+            yield res.assign(**{f"shap_{c}": phi[:, j] for j, c in enumerate(features)})
 
-    return df.select(*cols).mapInPandas(run, out_schema)
+    return df.select(id_col, *features).mapInPandas(run, schema)
 
 
 def shap_long(wide: DataFrame, features: list[str], id_col: str) -> DataFrame:
