@@ -44,3 +44,48 @@ def leaves_of(x: np.ndarray, tree: dict) -> np.ndarray:
         node = np.where(inner, np.where(go, left[node], right[node]), node)
         inner = left[node] >= 0
     return node
+
+
+# ---------------------------------------------------------------- forests of given rules
+def leaf_paths(rule, path=()):
+    """((feature, threshold, goes left), ...) of every leaf of a nested (feature, threshold, left, right) rule; None is a leaf."""
+    if rule is None:
+        return [path]
+    f, threshold, left, right = rule
+    return leaf_paths(left, (*path, (f, threshold, True))) + leaf_paths(right, (*path, (f, threshold, False)))
+
+
+def fit_rules(df, rules: list, features: list[str], label: str) -> list[dict]:
+    """Trees of given splits whose covers and values come from ``df`` in one pass.
+
+    A leaf covers its rows plus one and holds (frauds + 1/2) / (rows + 1), so that empty leaves do no harm.
+    """
+    paths = [leaf_paths(r) for r in rules]
+
+    def meets(path):
+        cond = F.lit(True)
+        for f, threshold, goes in path:
+            cond &= (F.col(f) <= threshold) if goes else (F.col(f) > threshold)
+        return cond
+    counts = df.agg(*[agg.alias(f"{kind}{i}_{j}") for i, leaves in enumerate(paths) for j, p in enumerate(leaves)
+                      for kind, agg in (("n", F.count_if(meets(p))), ("pos", F.count_if(meets(p) & (F.col(label) == 1))))]).first()
+    trees = []
+    for i, rule in enumerate(rules):
+        nodes, leaves = [], iter(range(len(paths[i])))
+
+        def build(r) -> int:
+            at = len(nodes)
+            nodes.append(None)
+            if r is None:
+                j = next(leaves)
+                n, pos = counts[f"n{i}_{j}"] + 1, counts[f"pos{i}_{j}"] + 0.5
+                nodes[at] = (-1, -1, -1, 0.0, pos / n, n)
+            else:
+                left, right = build(r[2]), build(r[3])
+                n = nodes[left][5] + nodes[right][5]
+                nodes[at] = (left, right, features.index(r[0]), r[1], 0.0, n)
+            return at
+        build(rule)
+        trees.append({k: np.array(v, dtype=float if k in ("thr", "val", "cov") else np.int64)
+                      for k, v in zip(("left", "right", "feat", "thr", "val", "cov"), zip(*nodes, strict=True), strict=True)})
+    return trees

@@ -1,3 +1,3 @@
 """Registered queries (one module per area); importing this package registers them."""
 
-from txrisk.plans import checks, discovery, eda, evaluation, history, models, streaming, text  # noqa: F401
+from txrisk.plans import checks, discovery, eda, evaluation, history, models, rule_shap, streaming, text  # noqa: F401
