@@ -59,16 +59,51 @@ def test_velocity_over_five_files_with_null_amounts_equals_batch(spark, tx):
         assert (g[r[0]] is None) == (r[3] is None) and g[r[0]] == pytest.approx(r[3], abs=1e-6)
 
 
-def test_velocity_keeps_text_ids_and_leaves_out_rows_without_key_or_time(spark, tx):
-    t = tx.withColumn("transaction_id", F.concat(F.lit("t"), F.col("transaction_id")))
-    n = t.count()
-    odd = t.limit(1).select(F.lit("none").alias("transaction_id"), F.lit(None).cast("bigint").alias("customer_id"),
-                            "ts", "amount", "channel", "is_fraud")
-    t = t.withColumn("customer_id", F.col("customer_id").cast("string")).unionByName(
-        odd.withColumn("customer_id", F.col("customer_id").cast("string")))
-    got = ST.stream_velocity_24h(stream(spark, write_files(t, 2)), folder(), folder())
+def test_velocity_keeps_text_ids_and_rows_without_key_or_time(spark, tx):
+    """Nulls as in the batch window: no key is a group, rows without a time are peers."""
+    t = tx.select(F.concat(F.lit("t"), "transaction_id").alias("transaction_id"),
+                  F.when(F.col("transaction_id") % 7 != 0, F.col("customer_id")).cast("string").alias("customer_id"),
+                  F.when(F.col("transaction_id") % 5 != 0, F.col("ts")).alias("ts"), "amount", "channel", "is_fraud")
+    got = ST.stream_velocity_24h(stream(spark, write_files(t, 1)), folder(), folder())
+    want = H.win_24h(t.select("transaction_id", "customer_id", "ts", "amount"))
     assert dict(got.dtypes)["transaction_id"] == "string" and dict(got.dtypes)["customer_id"] == "string"
-    assert got.count() == n and got.filter("transaction_id = 'none'").count() == 0
+    assert got.filter("customer_id IS NULL").count() > 0
+    key = lambda r: (r[0], r[1], r[2], None if r[3] is None else round(r[3], 6))
+    assert sorted(map(key, got.select(*VEL).collect()), key=repr) == sorted(map(key, want.select(*VEL).collect()), key=repr)
+
+
+def test_velocity_state_is_removed_behind_the_watermark(spark):
+    """A key's minutes go once the watermark has passed their use, and a returning key starts anew."""
+    def frame(*r):
+        return spark.createDataFrame(r, "transaction_id bigint, customer_id bigint, ts string, amount double").select(
+            "transaction_id", "customer_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "amount")
+
+    path = write_files(frame((1, 7, "2024-01-01 10:00:00", 1.0), (2, 7, "2024-01-01 10:00:30", 2.0), (3, 8, "2024-01-01 10:00:00", 5.0)), 1)
+    write_files(frame((4, 8, "2024-01-09 10:00:00", 1.0)), 1, path, first=1)
+    write_files(frame((5, 7, "2024-01-09 11:00:00", 4.0), (6, 8, "2024-01-10 10:00:00", 1.0)), 1, path, first=2)
+    ckpt = folder()
+    got = ST.stream_velocity_24h(stream(spark, path), folder(), ckpt, watermark="1 hour")
+    assert rows(got, *VEL) == [(1, 7, 1, 1.0), (2, 7, 2, 3.0), (3, 8, 1, 5.0), (4, 8, 1, 1.0), (5, 7, 1, 4.0), (6, 8, 2, 2.0)]
+    state = (spark.read.format("statestore").option("path", ckpt).option("stateVarName", "totals").load()
+             .select("key.key", F.col("user_map_key.minute").alias("minute")).collect())
+    first = 1704103200_000_000 // ST.MINUTE  # 2024-01-01 10:00
+    assert len(state) == 3 and all(r["minute"] > first + 1 for r in state)
+
+
+def test_velocity_runs_on_with_a_trigger(spark, tx):
+    middle = tx.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    path = write_files(tx.filter(F.col("ts") <= middle), 2)
+    running = ST.stream_velocity_24h(stream(spark, path), folder(), folder(), trigger={"processingTime": "1 second"})
+    try:
+        running.query.processAllAvailable()
+        first = running.read().count()
+        write_files(tx.filter(F.col("ts") > middle), 2, path, first=2)
+        running.query.processAllAvailable()
+        got = running.read()
+        want = H.win_24h(tx.select("transaction_id", "customer_id", "ts", "amount"))
+        assert 0 < first < got.count() and rows(got, *VEL[:3]) == rows(want, *VEL[:3])
+    finally:
+        running.stop()
 
 
 def test_velocity_late_row_finds_the_rows_before_it(spark):

@@ -4,18 +4,24 @@ Sources are file streams over the transaction table; dimensions are joined
 stream-static.  Every micro-batch overwrites its own ``batch_id=`` folder of
 the output, so a batch that is replayed after a failure replaces its rows
 instead of adding them again; checkpoints lie in the shared folder.
-Triggers default to ``availableNow`` (process what is there, then stop),
-which is also how the tests compare them with their batch twins.
+By default an operator processes what is there, stops and returns the result
+(``availableNow``), which is also how the tests compare them with their batch
+twins.  With a ``trigger``, such as ``{"processingTime": "10 seconds"}``, it goes
+on until it is stopped and returns a ``Running`` stream whose results can be read
+at any time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from txrisk.operators.history import US_PER_HOUR, epoch_micros
 
@@ -31,25 +37,59 @@ def file_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
     return r.parquet(directory)
 
 
-def _run(df: DataFrame, out_path: str, ckpt: str, mode: str = "append", trigger_now: bool = True) -> DataFrame:
-    """Run ``df`` into ``out_path``, one folder per micro-batch, and read all of them back."""
+@dataclass
+class Running:
+    """A stream that goes on: its query and what it has written so far."""
+
+    query: StreamingQuery
+    read: Callable[[], DataFrame]
+
+    def stop(self) -> None:
+        self.query.stop()
+
+
+#: Keyed state of any size lies on the executors' disks, and the map states of op 134 need this store.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass":
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _run(df: DataFrame, out_path: str, ckpt: str, trigger: dict | None, mode: str = "append",
+         result: Callable[[DataFrame], DataFrame] = lambda df: df.drop("batch_id"),
+         settings: dict | None = None) -> DataFrame | Running:
+    """Run ``df`` into ``out_path``, one folder per micro-batch; ``result`` of all of them.
+
+    ``settings`` hold for this query alone (a query takes those of its start).
+    """
     spark = df.sparkSession
+    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
     # a stream without rows has an output too
     spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{out_path}/batch_id=-1")
 
     def sink(batch: DataFrame, bid: int):
         batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={bid}")
 
+    def read() -> DataFrame:
+        return result(spark.read.schema(schema).parquet(out_path))
+
     w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
-    q = (w.trigger(availableNow=True) if trigger_now else w).start()
-    q.awaitTermination()
-    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out_path)
+    before = {k: spark.conf.get(k) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = w.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    if trigger:
+        return Running(query, read)
+    query.awaitTermination()
+    return read()
 
 
 # op 133
 def stream_risk_windows(tx_stream: DataFrame, out_path: str, ckpt: str, watermark: str = "2 hours",
                         window: str = "1 hour", ts: str = "ts", group: str = "channel",
-                        label: str = "is_fraud") -> DataFrame:
+                        label: str = "is_fraud", trigger: dict | None = None) -> DataFrame | Running:
     """Fraud count/rate per group per tumbling window; rows later than the
     watermark are dropped by the state store.  Every micro-batch writes its
     updates; the final table keeps the latest version of each window."""
@@ -59,90 +99,152 @@ def stream_risk_windows(tx_stream: DataFrame, out_path: str, ckpt: str, watermar
            .agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("long").alias("fraud_cases")))
     out = agg.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                      F.col("window.end").cast("timestamp_ntz").alias("window_end"), group, "n", "fraud_cases")
-    res = _run(out, out_path, ckpt, mode="update")
-    latest = res.groupBy("window_start", "window_end", group).agg(
-        F.max_by(F.struct("n", "fraud_cases"), "batch_id").alias("v"))
-    return latest.select("window_start", "window_end", group, "v.n", "v.fraud_cases",
-                         (F.col("v.fraud_cases").cast("double") / F.col("v.n") * 100)
-                         .alias("fraud_rate_pct"))
+
+    def latest(res: DataFrame) -> DataFrame:
+        last = res.groupBy("window_start", "window_end", group).agg(
+            F.max_by(F.struct("n", "fraud_cases"), "batch_id").alias("v"))
+        return last.select("window_start", "window_end", group, "v.n", "v.fraud_cases",
+                           (F.col("v.fraud_cases").cast("double") / F.col("v.n") * 100).alias("fraud_rate_pct"))
+
+    return _run(out, out_path, ckpt, trigger, mode="update", result=latest)
 
 
 # op 134
-UNITS = 1_000_000  # amounts are summed as whole millionths: exact, up to 9.2e12 in a customer's state
-VELOCITY_STATE = T.StructType([
-    T.StructField("t", T.ArrayType(T.LongType())), T.StructField("units", T.ArrayType(T.LongType()))])
-
-
-def _velocity_fn(window_us: int, id_col: str, key: str):
-    def fn(key_values, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ids, times, units, known = [], [], [], []
-        for pdf in pdfs:  # Arrow batches of one customer: only the columns that are needed are kept
-            a = pdf["amount"].to_numpy(np.float64)
-            ids.append(pdf[id_col].to_numpy())
-            times.append(pdf["t"].to_numpy(np.int64))
-            known.append(~np.isnan(a))
-            units.append(np.rint(np.nan_to_num(a) * UNITS).astype(np.int64))
-        if not ids:
-            return
-        ti, ok = np.concatenate(times), np.concatenate(known)
-        old_t, old_u = (np.array(state.get[0], dtype=np.int64), np.array(state.get[1], dtype=np.int64)) \
-            if state.exists else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        # null amounts neither count nor add; their rows still get the frame of the others
-        all_t = np.concatenate([old_t, ti[ok]])
-        all_u = np.concatenate([old_u, np.concatenate(units)[ok]])
-        order = np.argsort(all_t, kind="stable")
-        all_t, all_u = all_t[order], all_u[order]
-        csum = np.concatenate([[0], np.cumsum(all_u)])
-        hi = np.searchsorted(all_t, ti, side="right")          # peers included (RANGE frame)
-        lo = np.searchsorted(all_t, ti - window_us, side="left")
-        n = (hi - lo).astype(np.int64)
-        total = pd.Series((csum[hi] - csum[lo]) / UNITS).where(n > 0)
-        # keep what a row at or after the watermark can still need
-        newest = int(max(ti.max(), all_t.max() if len(all_t) else ti.max()))
-        keep = all_t >= min(state.getCurrentWatermarkMs() * 1000, newest) - window_us
-        state.update((all_t[keep].tolist(), all_u[keep].tolist()))
-        # the state may go when the watermark passes the newest row's frame
-        state.setTimeoutTimestamp(max((newest + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({id_col: np.concatenate(ids), key: [key_values[0]] * len(ti),
-                            "tx_count_24h": n, "amount_sum_24h": total})
-
-    return fn
+UNITS = 1_000_000  # amounts are summed as whole millionths: exact, up to 9.2e12 in a customer's frame
+MINUTE = 60_000_000
+
+
+class Velocity(StatefulProcessor):
+    """Count and sum of a key's rows in the frame [t - window, t] of each row.
+
+    State per key: the totals of every minute that a row can still need, at most
+    window + watermark minutes, and minute by minute the times in it with their own
+    totals.  A batch reads the totals and, of the times, those of the minutes in
+    which its rows' frames begin or end; it writes the minutes of its own rows.  A
+    timer at the end of the oldest minute's use removes what the watermark has
+    passed, and sets itself anew while minutes are left.
+    """
+
+    def __init__(self, window_us: int, columns: list[str]):
+        self.window, self.columns = window_us, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getMapState("totals", "minute long", "n long, units long")
+        self.times = handle.getMapState("times", "minute long", "t array<long>, n array<long>, units array<long>")
+        self.untimed = handle.getValueState("untimed", "n long, units long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _set_timer(self, minute: int) -> None:
+        at = ((minute + 1) * MINUTE + self.window) // 1000 + 1
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def _times(self, minute: int) -> np.ndarray:
+        """t, n, units (rows) of a minute."""
+        found = self.times.getValue((int(minute),))
+        return np.array(found, np.int64).reshape(3, -1) if found is not None else np.zeros((3, 0), np.int64)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)  # one key's rows of a batch
+        amount = pdf["amount"].to_numpy(np.float64)
+        known = ~np.isnan(amount)  # null amounts neither count nor add; their rows have frames like others
+        units = np.rint(np.nan_to_num(amount) * UNITS).astype(np.int64)
+        timed = pdf["timed"].to_numpy(bool)
+        n, total = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        if not timed.all():
+            seen = self.untimed.get() or (0, 0)
+            here = ~timed & known
+            seen = (int(seen[0] + here.sum()), int(seen[1] + units[here].sum()))
+            self.untimed.update(seen)
+            n[~timed], total[~timed] = seen
+        if timed.any():
+            n[timed], total[timed] = self._frames(pdf["t"].to_numpy(np.int64)[timed], units[timed], known[timed])
+        out = pd.DataFrame({"id": pdf["id"], "key": pd.Series([key[0]] * len(pdf), dtype=object), "n": n,
+                            "sum": pd.Series(total / UNITS).where(n > 0)})
+        out.columns = self.columns
+        yield out
+
+    def _frames(self, t: np.ndarray, units: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        totals = {k[0]: tuple(v) for k, v in self.totals.iterator()}
+        times: dict[int, np.ndarray] = {}
+        for minute in np.unique(t[known] // MINUTE).tolist():
+            mine = known & (t // MINUTE == minute)
+            old = self._times(minute)
+            at, place = np.unique(np.concatenate([old[0], t[mine]]), return_inverse=True)
+            count, add = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            np.add.at(count, place, np.concatenate([old[1], np.ones(mine.sum(), np.int64)]))
+            np.add.at(add, place, np.concatenate([old[2], units[mine]]))
+            times[minute] = np.stack([at, count, add])
+            totals[minute] = (int(count.sum()), int(add.sum()))
+            self.totals.updateValue((minute,), totals[minute])
+            self.times.updateValue((minute,), (at.tolist(), count.tolist(), add.tolist()))
+        if totals and not self.timer.exists():
+            self._set_timer(min(totals))
+        minutes = np.array(sorted(totals), np.int64)
+        before = np.concatenate([[[0, 0]], np.cumsum([totals[m] for m in minutes.tolist()], axis=0).reshape(-1, 2)])
+
+        def upto(point: np.ndarray, side: str) -> np.ndarray:
+            """(n, units) at times before (side left) or up to (right) each point."""
+            minute = point // MINUTE
+            out = before[np.searchsorted(minutes, minute)].copy()
+            for m in np.intersect1d(minute, minutes).tolist():
+                if m not in times:
+                    times[m] = self._times(m)
+                mine = minute == m
+                inside = np.concatenate([[[0, 0]], np.cumsum(times[m][1:].T, axis=0)])
+                out[mine] += inside[np.searchsorted(times[m][0], point[mine], side)]
+            return out
+        frame = upto(t, "right") - upto(t - self.window, "left")
+        return frame[:, 0], frame[:, 1]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        needed = (timerValues.getCurrentWatermarkInMs() * 1000 - self.window) // MINUTE
+        minutes = [k[0] for k in self.totals.keys()]
+        for minute in minutes:
+            if minute < needed:
+                self.totals.removeKey((minute,))
+                self.times.removeKey((minute,))
+        left = [m for m in minutes if m >= needed]
+        self.timer.clear()
+        if left:
+            self._set_timer(min(left))
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_velocity_24h(tx_stream: DataFrame, out_path: str, ckpt: str, key: str = "customer_id",
                         ts: str = "ts", window_us: int = 24 * US_PER_HOUR, watermark: str = "24 hours",
-                        id_col: str = "transaction_id") -> DataFrame:
-    """Live per-customer 24 h count/sum with a bounded (TTL-evicted) state buffer.
+                        id_col: str = "transaction_id", trigger: dict | None = None) -> DataFrame | Running:
+    """Live per-customer 24 h count/sum; state by minute, removed by event-time timers (``Velocity``).
 
     Equal to the batch 24 h window when rows arrive in event-time order.  A row that is late by less
     than the watermark still finds the rows before it; rows already emitted are not emitted again
     and rows later than the watermark are dropped.
-    Ids and keys keep their types.  Rows without a key or a time are left out: they have no frame.
+    Ids and keys keep their types.  Rows without a key are one group, as in the batch window.  Rows
+    without a time are peers of each other: a row's frame holds those of its key that have come so far.
     Re-delivered rows count again: send them through ``dropDuplicatesWithinWatermark`` before, in a
     query of its own, where the source may repeat rows.
     """
-    s = (tx_stream.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-         .select(id_col, key, F.col(ts).cast("timestamp").alias("event_time"),
-                 epoch_micros(ts).alias("t"), F.col("amount").cast("double").alias("amount"))
+    s = (tx_stream.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("event_time"),
+                          F.col(ts).isNotNull().alias("timed"), F.coalesce(epoch_micros(ts), F.lit(0)).alias("t"),
+                          F.col("amount").cast("double").alias("amount"))
          .withWatermark("event_time", watermark))
-    schema = T.StructType([T.StructField(c, s.schema[c].dataType) for c in (id_col, key)]
-                          + [T.StructField("tx_count_24h", T.LongType()),
-                             T.StructField("amount_sum_24h", T.DoubleType())])
-    out = s.groupBy(key).applyInPandasWithState(
-        _velocity_fn(window_us, id_col, key), schema, VELOCITY_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-    return _run(out, out_path, ckpt).drop("batch_id")
+    columns = [id_col, key, "tx_count_24h", "amount_sum_24h"]
+    schema = T.StructType([T.StructField(id_col, s.schema["id"].dataType), T.StructField(key, s.schema["key"].dataType),
+                           T.StructField(columns[2], T.LongType()), T.StructField(columns[3], T.DoubleType())])
+    out = s.groupBy("key").transformWithStateInPandas(Velocity(window_us, columns), schema, "append", "EventTime")
+    return _run(out, out_path, ckpt, trigger, settings=STATE_STORE)
 
 
 # op 135
 def stream_score(tx_stream: DataFrame, model, out_path: str, ckpt: str, id_col: str = "transaction_id",
-                 ts: str = "ts", watermark: str = "2 hours") -> DataFrame:
+                 ts: str = "ts", watermark: str = "2 hours", trigger: dict | None = None) -> DataFrame | Running:
     """Drop re-delivered transactions within the watermark, score with a saved model."""
     from txrisk.operators.models import score_table
 
     s = (tx_stream.withColumn("event_time", F.col(ts).cast("timestamp"))
          .withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([id_col]))
-    return _run(score_table(model, s, [id_col]), out_path, ckpt).drop("batch_id")
+    return _run(score_table(model, s, [id_col]), out_path, ckpt, trigger)
