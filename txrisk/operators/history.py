@@ -286,6 +286,124 @@ def history_features(df: DataFrame, key: str = "customer_id", ts: str = "ts",
                     *div.keys())
 
 
+# ---------------------------------------------------------------------------
+# one pass for range frames, prior rows and lifetime totals
+# ---------------------------------------------------------------------------
+
+def history_pass(df: DataFrame, key: str = "customer_id", ts: str = "ts", tiebreak: str = "transaction_id",
+                 amount: str = "amount", frames: dict[int, dict[str, str]] | None = None,
+                 flags: dict[str, Column] | None = None, distinct: dict[str, str] | None = None,
+                 bucket_us: int = US_PER_HOUR) -> DataFrame:
+    """``df`` with range frames, statistics of prior rows and lifetime totals of its key, from one event log.
+
+    ``frames`` maps a width to {output: count, sum, avg or stddev of the amount} over
+    [t - width, t].  Columns ``before_...`` and ``total_...`` are over the key's strictly
+    earlier rows (by time, then ``tiebreak``) and over all of its rows: rows, n (amounts),
+    s and q (sum of amounts and of squares) and each flag (number of rows where it is
+    true); ``total_...`` also each distinct column's number of values (nulls are none).  Rows
+    without a key form one group; rows without a time come first and are each other's peers.
+
+    Three narrow reads of ``df``: two reduce it map-side to points (key, time) and to
+    values (key, value), which become events (one for the sums over a key's buckets, one
+    for those inside a bucket, which give every point what stands before it); the last
+    fetches the points by (key, time) and adds peers of equal time.  No exchange is keyed by the key alone,
+    and every reduction is a hash aggregate over numbers.
+    """
+    frames, flags, distinct = frames or {}, flags or {}, distinct or {}
+    widths, kinds = sorted(frames), list(distinct)
+    group = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v"))
+    value = {"rows": F.lit(1).cast("long"), "n": F.col(amount).isNotNull().cast("long"),
+             "s": F.coalesce(F.col(amount).cast(MONEY), F.lit(0)), "q": F.coalesce(square(F.col(amount)), F.lit(0)),
+             **{f: F.coalesce(c.cast("long"), F.lit(0)) for f, c in flags.items()}}
+    sums = list(value)
+
+    def at(k: Column, t: Column) -> Column:
+        return F.struct(k.alias("k"), t.isNull().alias("n"), t.alias("t")).alias("__at")
+
+    # kind -1: a row at its time; kind i: a value of distinct column i, at its first time
+    entry = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("string").alias("x")),
+                    *[F.struct(F.lit(i).alias("kind"), F.col(distinct[o]).cast("string").alias("x")) for i, o in enumerate(kinds)])
+    log = (df.select(group.alias("k"), epoch_micros(ts).alias("t"), *[c.alias(f"v_{n}") for n, c in value.items()],
+                     F.explode(entry).alias("e"))
+           .filter("e.kind < 0 OR e.x IS NOT NULL")
+           .groupBy("k", F.col("e.kind").alias("kind"), "e.x", F.when(F.col("e.kind") < 0, F.col("t")).alias("own"))
+           .agg(F.min("t").alias("t"),
+                *[F.sum(F.when(F.col("e.kind") < 0, F.col(f"v_{n}")).otherwise(0)).alias(f"v_{n}") for n in sums]))
+    points = log.groupBy(at(F.col("k"), F.col("t"))).agg(
+        *[F.sum(f"v_{n}").alias(f"v_{n}") for n in sums],
+        *[F.sum((F.col("kind") == i).cast("long")).alias(f"v_{o}") for i, o in enumerate(kinds)])
+    t = F.col("__at.t")
+    offsets = F.array(F.struct(F.lit(-1).alias("frame"), t.alias("e")),
+                      *[F.struct(F.lit(i).alias("frame"), (t - w).alias("e")) for i, w in enumerate(widths)])
+    events = points.select("*", F.explode(offsets).alias("__x")).select(
+        "__at", F.col("__at.k").alias("__k"), F.col("__x.frame").alias("__frame"), F.col("__x.e").alias("__e"),
+        F.coalesce(F.floor(F.col("__x.e") / F.lit(bucket_us)), F.lit(-(1 << 62))).alias("__b"),
+        *[F.when(F.col("__x.frame") < 0, F.col(f"v_{n}")).otherwise(F.lit(0)).alias(f"v_{n}") for n in [*sums, *kinds]])
+    earlier = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = events.groupBy("__k", "__b").agg(*[F.sum(f"v_{n}").alias(f"v_{n}") for n in [*sums, *kinds]]).select(
+        "__k", "__b", *[F.coalesce(F.sum(f"v_{n}").over(earlier), F.lit(0)).alias(f"o_{n}") for n in sums],
+        *[F.sum(f"v_{n}").over(Window.partitionBy("__k")).alias(f"t_{n}") for n in [*sums, *kinds]])
+    # probes carry no weight and stand before the points of their time
+    inside = (Window.partitionBy("__k", "__b").orderBy("__e", F.when(F.col("__frame") < 0, 1).otherwise(0))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = events.join(buckets, ["__k", "__b"]).select(
+        "__at", "__frame", *[f"v_{n}" for n in sums], *[f"t_{n}" for n in [*sums, *kinds]],
+        *[(F.col(f"o_{n}") + F.sum(f"v_{n}").over(inside)).alias(f"r_{n}") for n in sums])
+
+    def of(frame: int, c: str) -> Column:
+        return F.max(F.when(F.col("__frame") == frame, F.col(c)))
+
+    found = running.groupBy("__at").agg(
+        *[of(-1, f"r_{n}").alias(f"r_{n}") for n in sums], *[of(-1, f"v_{n}").alias(f"v_{n}") for n in sums],
+        *[F.max(f"t_{n}").alias(f"t_{n}") for n in [*sums, *kinds]],
+        *[of(i, f"r_{n}").alias(f"f{i}_{n}") for i in range(len(widths)) for n in ("n", "s", "q")])
+    peers = Window.partitionBy("__at").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (df.select("*", F.col(tiebreak).alias("__i"), at(group, epoch_micros(ts)), *[c.alias(f"p_{n}") for n, c in value.items()])
+            .join(found, "__at"))
+    before = [(F.col(f"r_{n}") - F.col(f"v_{n}") + F.coalesce(F.sum(f"p_{n}").over(peers), F.lit(0))).alias(f"before_{n}") for n in sums]
+    out = [_statistic(fn, *[F.col(f"r_{n}") - F.col(f"f{i}_{n}") for n in "nsq"]).alias(name)
+           for i, w in enumerate(widths) for name, fn in frames[w].items()]
+    return rows.select(*df.columns, *out, *before, *[F.col(f"t_{n}").alias(f"total_{n}") for n in [*sums, *kinds]])
+
+
+def _statistic(fn: str, n: Column, s: Column, q: Column) -> Column:
+    """count, sum, avg or stddev from the number, the exact sum and the exact sum of squares."""
+    s, q = s.cast("double"), q.cast("double")
+    if fn == "count":
+        return n
+    if fn == "sum":
+        return F.when(n > 0, s)
+    if fn == "avg":
+        return F.when(n > 0, s / n)
+    if fn == "stddev":
+        return F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
+    raise ValueError(fn)
+
+
+def customer_history(df: DataFrame, key: str = "customer_id", amount: str = "amount", channel: str = "channel",
+                     location: str = "location", online_channels: list[str] = ("view", "click", "signup")) -> DataFrame:
+    """What ops 30, 49, 66 and 73-77 add to a row (but prior distinct counts), from one ``history_pass``."""
+    frames = {24 * US_PER_HOUR: {"tx_count_24h": "count", "amount_sum_24h": "sum"},
+              7 * US_PER_DAY: {"tx_count_7d": "count", "amount_mean_7d": "avg", "amount_std_7d": "stddev"}}
+    h = history_pass(df, key=key, amount=amount, frames=frames, flags={"online": F.col(channel).isin(list(online_channels))},
+                     distinct={"channels": channel, "locations": location})
+    b, t = ([F.col(f"{part}_{n}") for n in "nsq"] for part in ("before", "total"))
+    known = F.col(key).isNotNull()
+    mean = F.coalesce(_statistic("avg", *b), F.col(amount))
+    h = h.select("*", F.when(known, _statistic("avg", *t)).alias("amount_mean_total"), mean.alias("customer_mean_amount_prior"))
+    return h.select(
+        *[c for c in h.columns if not c.startswith(("before_", "total_"))],
+        F.coalesce(F.col(amount) / F.nullif("customer_mean_amount_prior", F.lit(0.0)), F.lit(1.0)).alias("amount_vs_mean_ratio_safe"),
+        F.col("before_rows").alias("tx_count_prior"), _statistic("avg", *b).alias("amount_mean_prior"),
+        _statistic("stddev", *b).alias("amount_std_prior"),
+        F.when(F.col("before_rows") > 0, F.col("before_online").cast("double") / F.col("before_rows")).alias("online_channel_ratio_prior"),
+        F.when(known, F.col("total_rows")).alias("tx_count_total"), F.when(known, _statistic("stddev", *t)).alias("amount_std_total"),
+        F.when(known, F.col("total_channels")).alias("channel_diversity"),
+        F.when(known, F.col("total_locations")).alias("location_diversity"),
+        F.when(known, F.col("total_online").cast("double") / F.col("total_rows")).alias("online_channel_ratio"),
+        (F.col(amount) / F.nullif("amount_mean_total", F.lit(0.0))).alias("amount_vs_mean_ratio"))
+
+
 # op 66
 def customer_lifetime(df: DataFrame, key: str = "customer_id", amount: str = "amount",
                       channel: str = "channel", location: str = "location",

@@ -419,7 +419,7 @@ _PRIOR = ("OVER (PARTITION BY customer_id ORDER BY ts, transaction_id "
 
 
 def _history_scored(spark, d):
-    return H.history_features(scored_pred(spark, d))
+    return H.customer_history(scored_pred(spark, d))
 
 
 @query("fn_amount_share", f"""
@@ -449,7 +449,5 @@ SELECT profile, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OV
 FROM p GROUP BY profile""")
 def q_fp_profiles(spark, d):
     s = _history_scored(spark, d)
-    s = H.win_24h(s)
-    s = H.prior_mean_ratio(s)
     s = s.select("*", S.is_weekend("day_of_week").alias("is_weekend"))
     return finish(E.fp_profiles(s))

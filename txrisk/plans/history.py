@@ -141,15 +141,9 @@ def q_amount_vs_lifetime_ratio(spark, d):
 # ---------------------------------------------------------------- derived risk features
 def risk_features(spark, d) -> DataFrame:
     """tx + 24 h / 7 d windows + lifetime + prior ratio + velocity + merchant risk + age."""
-    t = fx.tx(spark, d)
-    w = H.win_24h_7d(t)
-    w = H.prior_mean_ratio(w)
-    life = H.customer_lifetime(t)
-    w = w.join(life, "customer_id", "left")
-    w = H.amount_vs_lifetime_ratio(w)
-    return w.select("*", H.velocity_score().alias("velocity_score"),
-                    fx.merchant_risk_col().alias("merchant_risk_score"),
-                    S.age_ordinal("age_group").alias("age_numeric"))
+    return H.customer_history(fx.tx(spark, d)).select(
+        "*", H.velocity_score().alias("velocity_score"), fx.merchant_risk_col().alias("merchant_risk_score"),
+        S.age_ordinal("age_group").alias("age_numeric"))
 
 
 _FEAT_SQL = f"""
@@ -185,7 +179,7 @@ SELECT transaction_id, round(
  + (CASE WHEN hc > lc THEN (chr - lc) / (hc - lc) ELSE 0.0 END) * (1.0 / 3), 6) AS composite_risk
 FROM c, m""")
 def q_composite_risk(spark, d):
-    f = risk_features(spark, d)
+    f = risk_features(spark, d).select("transaction_id", "channel", "is_fraud", "velocity_score", "amount_vs_mean_ratio_safe")
     return finish(H.composite_risk(f).select("transaction_id", "composite_risk"))
 
 

@@ -63,7 +63,8 @@ def release() -> None:
 
 
 def model_ready_frame(spark, d) -> DataFrame:
-    f = H.composite_risk(risk_features(spark, d))
+    needed = [c for c in ML.BASE_FEATURES + CANDIDATES if c != "composite_risk"]
+    f = H.composite_risk(risk_features(spark, d).select("transaction_id", "is_fraud", "channel", "bank", "velocity_score", *needed))
     f = encode.one_hot(f, "bank", values=BANKS)
     return f.select("transaction_id", *FEATURES, *CANDIDATES, "is_fraud")
 
