@@ -156,7 +156,7 @@ WITH hosts AS (
 log AS ({_LOG}),
 spans AS (
   SELECT * FROM (
-    SELECT *, lead(day, 1, DATE '{OPEN_END}') OVER (PARTITION BY kind, value ORDER BY day, action, category) AS until
+    SELECT *, lead(day, 1, DATE '{OPEN_END}') OVER (PARTITION BY kind, value, category ORDER BY day, action, category) AS until
     FROM log) AS l WHERE action = 'add' AND day < until),
 captures AS (SELECT c.*, h.host, h.part FROM ({_CAPTURES}) AS c JOIN hosts AS h USING (page_id, url)),
 matched AS (
