@@ -484,16 +484,10 @@ def _merge(length: int):
     """Receiving side of steps 2 to 4: spans decided by the senders, and those of the merged ranges."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "blob"]
-        ranges: dict[int, list[bytes]] = {}
-        for batch in batches:
-            docs, blobs, slots = batch.column("doc"), batch.column("blob"), batch.column("slot").to_pylist()
-            direct = pa.array([i for i in range(len(batch)) if docs[i].is_valid], pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.take(direct), blobs.take(direct)], names=names)
-            for i in range(len(batch)):
-                if not docs[i].is_valid:
-                    ranges.setdefault(slots[i], []).append(blobs[i].as_py())
-        for blobs in ranges.values():
-            runs = [_decode_run(b) for b in blobs]
+        slot, held = None, []  # the runs of one range, which come together
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            runs = [_decode_run(b) for b in held]
             order, shared = merge_runs([r[0] for r in runs], [r[2] for r in runs])
             base = np.cumsum([0, *(len(r[0]) for r in runs)])
             at = np.array([base[r] + i for r, i in order], np.int64)
@@ -504,6 +498,20 @@ def _merge(length: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()),
                                                   pa.array([b for _, b in rows], pa.binary())], names=names)
+
+        for batch in batches:
+            docs, blobs, slots = batch.column("doc"), batch.column("blob"), batch.column("slot").to_pylist()
+            direct = pa.array([i for i in range(len(batch)) if docs[i].is_valid], pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.take(direct), blobs.take(direct)], names=names)
+            for i in range(len(batch)):
+                if not docs[i].is_valid:
+                    if slots[i] != slot and held:
+                        yield from merged()
+                        held = []
+                    slot = slots[i]
+                    held.append(blobs[i].as_py())
+        if held:
+            yield from merged()
     return work
 
 
@@ -538,7 +546,9 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     splitters = _splitters(docs, anchors_of, known["n"], parts, length)
     runs = (docs.join(anchors_of, "doc").select("doc", "text", "blobs")
             .mapInArrow(_make_runs(length, splitters, hot, slots), _RUN))
-    spans = scratch.keep(runs.repartition(parts, "slot").mapInArrow(_merge(length), "doc long, blob binary"), "spans")
+    # sorted by range, so that a task holds the runs of one range at a time
+    spans = scratch.keep(runs.repartition(parts, "slot").sortWithinPartitions("slot")
+                         .mapInArrow(_merge(length), "doc long, blob binary"), "spans")
     whole = copies.select("doc", F.lit(_pack(np.array([0], np.int64), np.array([WHOLE], np.int64))).alias("blob"))
     return scratch.keep(spans.unionByName(whole).groupBy("doc").agg(F.collect_list("blob").alias("spans")), "cuts")
 
