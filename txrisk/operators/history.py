@@ -24,8 +24,11 @@ Time is handled as microseconds since the epoch computed from the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txrisk.operators.joins import lookup_join
 from txrisk.session import materialize, run_folder
@@ -513,6 +516,89 @@ def prefix_safety(full: DataFrame, prefix: DataFrame, id_col: str, feature: str,
         "*", (F.col("n_changed") == 0).alias("is_prefix_safe"))
 
 
+def _share(seed: str, *parts: Column) -> Column:
+    """A seeded whole number from 0 to 65,535 that only the parts decide."""
+    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("long")
+
+
+def prefix_audit(df: DataFrame, build: Callable[[DataFrame], DataFrame], features: list[str],
+                 key: str = "customer_id", ts: str = "ts", id_col: str = "transaction_id",
+                 markers: dict[str, object] | None = None, cutoff: Column | None = None,
+                 seed: str = "42", tol: float = 1e-9) -> DataFrame:
+    """Which features of a row depend on later rows of its key: all features, all keys, one pass.
+
+    Every key gets a seeded cut inside its own span of time (``cutoff``: one time for all, rows
+    from it on are later ones).  A second version of the table keeps the rows up to the cut, drops
+    a seeded half of the later ones (all, if there are no ``markers``) and overwrites the
+    ``markers`` columns of the others, so that a feature that looks ahead at values, at times or at
+    the number of rows differs between the versions.  Both versions go through ``build`` once, as
+    one table whose key is (key, version); a hot key is spread as ``build`` spreads it.
+
+    ``build`` must keep the columns that it is given and may relate rows by key and time only (a
+    statistic over all keys would mix the versions; compare those by ``prefix_safety``).  Rows without a
+    key form one group.  Rows without a time are no later ones.  Rows that share id, key and time
+    are compared by their smallest and largest values.  Numbers are equal within ``tol``,
+    other types if equal; null equals null alone.  One row per feature: n_prefix_rows (rows up to
+    the cut), n_changed, n_keys (keys that have later rows), n_keys_changed, is_prefix_safe.
+
+    Reads ``df`` once for the cuts (not with ``cutoff``) and as often as ``build`` reads its input.
+    """
+    group = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v"))
+    t = epoch_micros(ts)
+    if cutoff is None:
+        lo, hi = F.min(t), F.max(t)
+        # steps of 1/65536 of the span keep the product inside a long, and the cut before the last row
+        cut = lo + F.floor((hi - lo) / 65536) * _share(seed, F.first("__g")["v"])
+        cuts = df.select(group.alias("__g"), F.col(ts).alias(ts)).groupBy("__g").agg(cut.alias("__cut"))
+        rows = lookup_join(df.select("*", group.alias("__g")), cuts, "__g", "left")
+        later = t > F.col("__cut")
+    else:
+        rows = df.select("*", group.alias("__g"))
+        later = F.col(ts) >= cutoff
+    rows = rows.select(*df.columns, F.coalesce(later, F.lit(False)).alias("__later"),
+                       F.explode(F.array(F.lit(0), F.lit(1))).alias("__version"))
+    altered = F.col("__later") & (F.col("__version") == 1)
+    gone = altered & (_share(f"{seed}:drop", F.col(id_col)) < 32768) if markers else altered
+    markers = markers or {}
+    types = dict(zip(df.columns, (f.dataType for f in df.schema.fields)))
+    tagged = rows.filter(~gone).select(
+        *[F.struct(F.col(key).alias("v"), F.col("__version").alias("version")).alias(key) if c == key
+          else F.when(altered, F.lit(markers[c]).cast(types[c])).otherwise(F.col(c)).alias(c) if c in markers
+          else F.col(c) for c in df.columns], "__later")
+    built = build(tagged)
+    number = {f.name for f in built.schema.fields if isinstance(f.dataType, T.NumericType)}
+    version = F.col(key)["version"]
+
+    def side(fn, i: int, c: str, v: int) -> Column:
+        return fn(F.when(version == v, F.col(c))).alias(f"{fn.__name__}{i}_{v}")
+
+    # later rows meet here too: they tell which keys have any
+    met = built.groupBy(F.struct(F.col(key)["v"].alias("v")).alias("g"), F.col("__later").alias("later"),
+                        F.col(id_col).alias("id"), F.col(ts).alias("t")).agg(
+        F.sum((version == 0).cast("long")).alias("rows"),
+        *[side(fn, i, c, v) for i, c in enumerate(features) for fn in (F.min, F.max) for v in (0, 1)])
+
+    def differs(i: int, c: str) -> Column:
+        pairs = [(F.col(f"{fn}{i}_0"), F.col(f"{fn}{i}_1")) for fn in ("min", "max")]
+        same = [a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= tol, F.lit(False)) if c in number else a.eqNullSafe(b)
+                for a, b in pairs]
+        return ~(same[0] & same[1])
+
+    kept = ~F.col("later")
+    per_key = met.groupBy("g").agg(
+        F.sum(F.when(kept, F.col("rows")).otherwise(0)).alias("rows"), F.max(F.col("later").cast("int")).alias("open"),
+        *[F.sum(F.when(kept & differs(i, c), F.col("rows")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(features)])
+    one = per_key.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("open"), F.lit(0)).cast("long").alias("open"),
+        *[F.struct(F.lit(c).alias("feature"), F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias("n_changed"),
+                   F.count(F.when(F.col(f"c{i}") > 0, 1)).alias("n_keys_changed")).alias(f"e{i}")
+          for i, c in enumerate(features)])
+    e = one.select("rows", "open", F.explode(F.array(*[f"e{i}" for i in range(len(features))])).alias("e"))
+    return e.select("e.feature", F.col("rows").alias("n_prefix_rows"), "e.n_changed", F.col("open").alias("n_keys"),
+                    "e.n_keys_changed", (F.col("e.n_changed") == 0).alias("is_prefix_safe"))
+
+
 # op 81
 def rank_within(values: Column, k: int = 3) -> Column:
     """Top-k (feature, value) structs by |value| descending from an array of structs."""

@@ -267,17 +267,54 @@ FROM (SELECT 'amount_sum_24h' AS feature, round(a1, 9) AS a, round(b1, 9) AS b F
       UNION ALL SELECT 'customer_mean_amount_prior', round(a3, 9), round(b3, 9) FROM j) GROUP BY feature""")
 def q_prefix_safety(spark, d):
     t = _narrow(spark, d).select("transaction_id", "customer_id", "ts", "amount", "channel", "location")
-
-    def feats(x):
-        w = H.prior_mean_ratio(H.win_24h(x))
-        w = w.join(H.customer_lifetime(x).select("customer_id", "amount_mean_total"), "customer_id")
-        return finish(w, 9)
-
-    full = feats(t)
-    pre = feats(t.filter(F.col("ts") < F.lit(f"{_CUTOFF} 00:00:00").cast("timestamp_ntz")))
-    parts = [H.prefix_safety(full, pre, "transaction_id", c)
-             for c in ["amount_sum_24h", "amount_mean_total", "customer_mean_amount_prior"]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    audit = H.prefix_audit(t, H.customer_history, ["amount_sum_24h", "amount_mean_total", "customer_mean_amount_prior"],
+                           cutoff=F.lit(f"{_CUTOFF} 00:00:00").cast("timestamp_ntz"))
+    return audit.select("feature", "n_prefix_rows", "n_changed", "is_prefix_safe")
+
+
+_MARKERS = {"amount": 54321.0, "channel": "later", "location": "LATER"}
+_SHARE = "CAST('0x' || substr(md5('{seed}:' || CAST({c} AS VARCHAR)), 1, 4) AS BIGINT)"
+
+
+def _versions(over: str) -> str:
+    return over.replace("PARTITION BY customer_id", "PARTITION BY version, customer_id")
+
+
+_AUDITED = {
+    "tx_count_24h": f"count(amount) {_versions(W24)}",
+    "amount_sum_24h": msum(_versions(W24)),
+    "tx_count_7d": f"count(amount) {_versions(W7)}",
+    "amount_mean_7d": mavg(_versions(W7)),
+    "customer_mean_amount_prior": f"coalesce({mavg(_versions(WPRIOR))}, amount)",
+    "tx_count_prior": f"count(*) {_versions(WPRIOR)}",
+    "amount_mean_prior": mavg(_versions(WPRIOR)),
+    "online_channel_ratio_prior": f"avg(CASE WHEN channel IN {ONLINE} THEN 1.0 ELSE 0.0 END) {_versions(WPRIOR)}",
+    "amount_mean_total": mavg("OVER (PARTITION BY version, customer_id)"),
+    "tx_count_total": "count(*) OVER (PARTITION BY version, customer_id)",
+    "channel_diversity": "count(DISTINCT channel) OVER (PARTITION BY version, customer_id)",
+    "amount_vs_mean_ratio": f"amount / nullif({mavg('OVER (PARTITION BY version, customer_id)')}, 0)",
+}
+
+
+@query("prefix_audit", f"""
+WITH c AS (SELECT customer_id, min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM tx GROUP BY 1),
+r AS (SELECT tx.*, epoch_us(ts) > lo + (hi - lo) // 65536 * {_SHARE.format(seed='42', c='c.customer_id')} AS later
+   FROM tx JOIN c USING (customer_id)),
+v AS (SELECT 0 AS version, transaction_id, customer_id, ts, amount, channel, location, later FROM r
+   UNION ALL SELECT 1, transaction_id, customer_id, ts, CASE WHEN later THEN {_MARKERS['amount']} ELSE amount END,
+     CASE WHEN later THEN '{_MARKERS['channel']}' ELSE channel END,
+     CASE WHEN later THEN '{_MARKERS['location']}' ELSE location END, later FROM r
+   WHERE NOT (later AND {_SHARE.format(seed='42:drop', c='transaction_id')} < 32768)),
+f AS (SELECT version, transaction_id, customer_id, later,
+  {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _AUDITED.items())} FROM v),
+j AS (SELECT a.customer_id, x.feature, abs(x.a - x.b) <= 1e-9 OR (x.a IS NULL AND x.b IS NULL) AS same
+  FROM f a JOIN f b ON a.transaction_id = b.transaction_id AND a.version = 0 AND b.version = 1,
+  LATERAL (VALUES {", ".join(f"('{c}', a.{c}, b.{c})" for c in _AUDITED)}) x(feature, a, b) WHERE NOT a.later)
+SELECT feature, count(*) AS n_prefix_rows, count(*) FILTER (WHERE same IS NOT TRUE) AS n_changed,
+  (SELECT count(DISTINCT customer_id) FROM r WHERE later) AS n_keys,
+  count(DISTINCT customer_id) FILTER (WHERE same IS NOT TRUE) AS n_keys_changed,
+  count(*) FILTER (WHERE same IS NOT TRUE) = 0 AS is_prefix_safe
+FROM j GROUP BY feature""")
+def q_prefix_audit(spark, d):
+    t = _narrow(spark, d).select("transaction_id", "customer_id", "ts", "amount", "channel", "location")
+    return H.prefix_audit(t, H.customer_history, list(_AUDITED), markers=_MARKERS)
