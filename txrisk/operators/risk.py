@@ -127,10 +127,13 @@ def top_risk_cells(df: DataFrame, dims=("bank", "location"), n: int = 5,
 # op 60
 def risk_cube(df: DataFrame, dims=("bank", "location", "channel"), label: str = "is_fraud",
               min_volume: int = 0) -> DataFrame:
+    """Rate and volume of every cell of the cube (gid: grouping id).
+
+    Rows are reduced map-side to the finest cells; the cube expands and sums those alone."""
     dims = list(dims)
-    g = (df.cube(*dims).agg(F.grouping_id(*dims).alias("gid"),
-                            F.count(F.col(label)).alias("total"),
-                            F.sum(F.col(label)).cast("long").alias("fraud_cases")))
+    cells = df.groupBy(*dims).agg(F.count(F.col(label)).alias("__n"), F.sum(F.col(label)).cast("long").alias("__y"))
+    g = cells.cube(*dims).agg(F.grouping_id(*dims).alias("gid"), F.sum("__n").alias("total"),
+                              F.sum("__y").alias("fraud_cases"))
     g = g.filter(F.col("total") >= min_volume)
     return g.select(*dims, "gid", "total", "fraud_cases",
                     _rate(F.col("fraud_cases"), F.col("total")).alias("fraud_rate_pct"))

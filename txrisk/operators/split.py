@@ -4,12 +4,16 @@ Determinism across engines and re-runs comes from ranking by
 ``md5(CAST(id AS STRING))`` (optionally salted with a seed), never from
 ``rand``.  Exact per-class quotas without a window over a whole class:
 
-* bucket = first ``hex_digits`` hex digits of the md5 (65,536 buckets by
-  default); the md5 string order is the bucket order, then the rest;
-* rows per (class, bucket) are counted map-side; their per-class prefix sum
-  is a bounded table (classes x buckets rows) that is broadcast back;
-* buckets entirely below a class's quota are taken whole, buckets above are
-  skipped, and only the single cut bucket of each class is ranked.
+* a split needs only the hash at which its class's quota is reached.  One job
+  counts the rows of every (class, first ``hex_digits`` hex digits), which gives the
+  bucket that holds the cut; a second job writes the ids of these buckets
+  alone (one row in 65,536) and counts them by their next digits; what is ranked
+  in the end is one row in 4 billion.  The rows then compare their hash with the
+  cut of their class;
+* a fold needs every row's rank: the rows of a bucket are ranked in one task, from
+  the number of the class's rows in earlier buckets.
+
+Rows without a class are a class of their own.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.operators.joins import lookup_join
+from txrisk.session import materialize, run_folder
+
 
 def hash_key(id_col: str, seed: str | None = None) -> Column:
     s = F.col(id_col).cast("string")
@@ -25,22 +32,45 @@ def hash_key(id_col: str, seed: str | None = None) -> Column:
     return F.md5(s)
 
 
-def _bucketed(df: DataFrame, id_col: str, hex_digits: int, seed: str | None) -> DataFrame:
-    h = hash_key(id_col, seed)
-    return df.select("*", h.alias("__h"),
-                     F.conv(F.substring(h, 1, hex_digits), 16, 10).cast("long").alias("__bk"))
+def _digits(h: Column, first: int, n: int) -> Column:
+    return F.conv(F.substring(h, first + 1, n), 16, 10).cast("long")
+
 
+def _before(counts: DataFrame, bucket: str) -> DataFrame:
+    """``counts`` (class ``__g``, bucket, ``__c``) with the class's rows in earlier buckets and in all."""
+    w = Window.partitionBy("__g").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("*", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__before"),
+                         F.sum("__c").over(Window.partitionBy("__g")).alias("__n"))
 
-def _ranked(df: DataFrame, id_col: str, label: str, hex_digits: int,
-            seed: str | None) -> tuple[DataFrame, DataFrame]:
-    """Rows with bucket + per-class bucket offsets (rows of the class in earlier buckets)."""
-    b = _bucketed(df, id_col, hex_digits, seed)
-    cnt = b.groupBy(label, "__bk").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(label).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select(label, "__bk", "__c",
-                     F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__before"),
-                     F.sum("__c").over(Window.partitionBy(label)).alias("__n"))
-    return b, off
+
+def _holds(rank: Column) -> Column:
+    return (F.col("__before") < rank) & (rank <= F.col("__before") + F.col("__c"))
+
+
+def cut_hashes(df: DataFrame, id_col: str, label: str, frac: float, hex_digits: int = 4,
+               seed: str | None = None) -> DataFrame:
+    """One row per class ``__g``: the (md5, id) of its round(frac * n)-th row in that order.
+
+    Classes whose quota is 0 have none.  Runs two jobs: the counts, and the ids in the
+    buckets that hold a cut, which go to a table in the shared checkpoint folder.
+    """
+    r = df.select(F.struct(F.col(label).alias("v")).alias("__g"), hash_key(id_col, seed).alias("__h"),
+                  F.col(id_col).alias("__id"))
+    first = r.select("__g", _digits(F.col("__h"), 0, hex_digits).alias("__bk"))
+    quota = F.round(F.col("__n") * F.lit(frac)).cast("long")
+    at = (_before(first.groupBy("__g", "__bk").agg(F.count(F.lit(1)).alias("__c")), "__bk")
+          .filter(_holds(quota)).select("__g", "__bk", (quota - F.col("__before")).alias("__rank")))
+    # at: one row per class
+    near = lookup_join(r.select("*", _digits(F.col("__h"), 0, hex_digits).alias("__bk")), at, ["__g", "__bk"], "inner")
+    near = materialize(near.select("__g", "__h", "__id", "__rank", _digits(F.col("__h"), hex_digits, 4).alias("__b2")),
+                       run_folder(df.sparkSession, "split-cut"))
+    counts = near.groupBy("__g", "__b2").agg(F.count(F.lit(1)).alias("__c"), F.first("__rank").alias("__rank"))
+    inner = (_before(counts, "__b2").filter(_holds(F.col("__rank")))
+             .select("__g", "__b2", (F.col("__rank") - F.col("__before")).alias("__left")))
+    last = near.select("__g", "__b2", "__h", "__id").join(inner, ["__g", "__b2"])
+    w = Window.partitionBy("__g", "__b2").orderBy("__h", "__id")
+    return (last.select("*", F.row_number().over(w).alias("__r")).filter(F.col("__r") == F.col("__left"))
+            .select("__g", F.struct(F.col("__h").alias("h"), F.col("__id").alias("id")).alias("__cut")))
 
 
 # op 85
@@ -48,32 +78,32 @@ def stratified_split(df: DataFrame, id_col: str = "transaction_id", label: str =
                      test_frac: float = 0.2, hex_digits: int = 4, seed: str | None = None,
                      out: str = "is_test") -> DataFrame:
     """Exactly round(test_frac * n_class) rows of each class go to test: the ones
-    with the smallest md5(id)."""
-    b, off = _ranked(df, id_col, label, hex_digits, seed)
-    quota = F.round(F.col("__n") * F.lit(test_frac)).cast("long")
-    # bounded: (#classes x 16**hex_digits) rows; broadcast
-    info = off.select(label, "__bk", "__before", quota.alias("__q"), "__c")
-    j = b.join(F.broadcast(info), [label, "__bk"])
-    whole_in = F.col("__before") + F.col("__c") <= F.col("__q")
-    whole_out = F.col("__before") >= F.col("__q")
-    cut = j.filter(~whole_in & ~whole_out)
-    wl = Window.partitionBy(label, "__bk").orderBy("__h", id_col)
-    cut = cut.select(*df.columns, (F.col("__before") + F.row_number().over(wl) <= F.col("__q"))
-                     .alias(out))
-    rest = j.filter(whole_in | whole_out).select(*df.columns, whole_in.alias(out))
-    return rest.unionByName(cut)
+    with the smallest md5(id).  Rows that repeat the id of the last of them go with it.
+
+    The rows are read once after the two jobs of ``cut_hashes`` and are not shuffled
+    unless the classes are too many to broadcast."""
+    cuts = cut_hashes(df, id_col, label, test_frac, hex_digits, seed)
+    own = F.struct(hash_key(id_col, seed).alias("h"), F.col(id_col).alias("id"))
+    rows = df.select("*", F.struct(F.col(label).alias("v")).alias("__g"))
+    return lookup_join(rows, cuts, "__g", "left").select(
+        *df.columns, F.coalesce(own <= F.col("__cut"), F.lit(False)).alias(out))
 
 
 # op 87
 def stratified_kfold(df: DataFrame, k: int = 3, id_col: str = "transaction_id",
                      label: str = "is_fraud", hex_digits: int = 4, seed: str | None = None,
                      out: str = "fold") -> DataFrame:
-    """fold = (rank within class by md5 - 1) % k; ranks from bucket offsets + local rank."""
-    b, off = _ranked(df, id_col, label, hex_digits, seed)
-    j = b.join(F.broadcast(off.select(label, "__bk", "__before")), [label, "__bk"])
-    wl = Window.partitionBy(label, "__bk").orderBy("__h", id_col)
+    """fold = (rank within class by md5 - 1) % k; ranks from bucket offsets + local rank.
+
+    Rows meet the offset of their bucket where the bucket is ranked: both are dealt by
+    (class, bucket), and nothing is broadcast unless it is measured to be small."""
+    h = hash_key(id_col, seed)
+    b = df.select("*", F.struct(F.col(label).alias("v")).alias("__g"), h.alias("__h"), _digits(h, 0, hex_digits).alias("__bk"))
+    off = _before(b.groupBy("__g", "__bk").agg(F.count(F.lit(1)).alias("__c")), "__bk")
+    wl = Window.partitionBy("__g", "__bk").orderBy("__h", id_col)
     rank = F.col("__before") + F.row_number().over(wl)
-    return j.select(*df.columns, ((rank - 1) % k).cast("int").alias(out))
+    return b.join(off.select("__g", "__bk", "__before"), ["__g", "__bk"]).select(
+        *df.columns, ((rank - 1) % k).cast("int").alias(out))
 
 
 # op 86
