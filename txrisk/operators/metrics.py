@@ -19,6 +19,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txrisk.session import materialize, run_folder
+
 LEAST_BUCKETS = 64
 
 
@@ -258,41 +260,39 @@ def alert_cost(df: DataFrame, score: str = "score", label: str = "is_fraud", thr
 
 
 # op 48
-def roc_interp_join(curve_a: DataFrame, curve_b: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """np.interp(fpr_b, fpr_a, tpr_a) as an as-of lookup, plus the gap tpr_b - interp.
-
-    Curve A points are ordered by (fpr, tpr), so among equal fpr the last
-    (largest tpr) wins, as in numpy.  Partitioned by fpr bucket; each bucket
-    gets its carry-in (last A point before it) and carry-out (first A point
-    after it) from a bounded per-bucket summary.
+def roc_interp_join(curve_a: DataFrame, curve_b: DataFrame, n_ranges: int | None = None) -> DataFrame:
+    """np.interp(fpr_b, fpr_a, tpr_a) as an ordered as-of merge, plus the gap tpr_b - interp.
+
+    The points of both curves are put in one order (fpr, curve A first, tpr), so among
+    equal fpr the last (largest tpr) of A wins, as in numpy.  The points are written once and cut
+    into ranges of that whole order, which hold equal shares however many points lie at
+    one fpr; the ranges' first and last points of A (a row a range) are carried over
+    the ranges without one.  Points without an fpr take no part; without points of A the
+    interpolated value is null.
     """
-    n_buckets = _buckets(curve_a, n_buckets)
-    bk = F.floor(F.col("fpr") * n_buckets).cast("int")
-    a = curve_a.select(F.col("fpr").alias("x"), F.col("tpr").alias("y")).distinct()
-    a = a.select("*", F.floor(F.col("x") * n_buckets).cast("int").alias("bk"))
-    b = curve_b.select(F.col("fpr").alias("x"), F.col("tpr").alias("tpr_b"), bk.alias("bk"))
-    summ = a.groupBy("bk").agg(F.max(F.struct("x", "y")).alias("last"),
-                               F.min(F.struct("x", "y")).alias("first"))
-    # buckets holding B points, with or without A points (bounded: <= n_buckets + 1 rows)
-    allb = b.select("bk").distinct().join(summ.select("bk"), "bk", "full")
-    wp2 = Window.orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
-    wn2 = Window.orderBy("bk").rowsBetween(1, Window.unboundedFollowing)
-    cr = (allb.join(summ, "bk", "left")
-          .select("bk", F.last("last", ignorenulls=True).over(wp2).alias("cin"),
-                  F.first("first", ignorenulls=True).over(wn2).alias("cout")))
-    u = (a.select("bk", "x", "y", F.lit(0).alias("src"), F.lit(None).cast("double").alias("tpr_b"))
-         .unionByName(b.select("bk", "x", F.lit(None).cast("double").alias("y"),
-                               F.lit(1).alias("src"), "tpr_b")))
-    u = u.join(F.broadcast(cr), "bk", "left")
-    order = [F.col("x"), F.col("src"), F.col("y")]
-    wl = Window.partitionBy("bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    wr = Window.partitionBy("bk").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    pt = F.struct(F.col("x").alias("x"), F.col("y").alias("y"))
-    ptn = F.when(F.col("src") == 0, pt)
-    left = F.coalesce(F.last(ptn, ignorenulls=True).over(wl), F.col("cin"))
-    right = F.coalesce(F.first(F.when((F.col("src") == 0), pt), ignorenulls=True).over(wr),
-                       F.col("cout"))
-    r = u.select("x", "src", "tpr_b", left.alias("l"), right.alias("r")).filter(F.col("src") == 1)
+    spark = curve_a.sparkSession
+    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["x", "src", "y"]
+    points = (curve_a.select(F.col("fpr").alias("x"), F.lit(0).alias("src"), F.col("tpr").alias("y"))
+              .unionByName(curve_b.select(F.col("fpr").alias("x"), F.lit(1).alias("src"), F.col("tpr").alias("y")))
+              .filter(F.col("x").isNotNull()))
+    folder = run_folder(spark, "roc-merge")
+    points = materialize(points, f"{folder}/points")  # cutting ranges reads them twice
+    u = materialize(points.repartitionByRange(n_ranges, *order)
+                    .select("*", F.spark_partition_id().alias("range")), f"{folder}/ranges")
+    a_point = F.when(F.col("src") == 0, F.struct("x", "y"))
+    ends = u.groupBy("range").agg(F.min(a_point).alias("first"), F.max(a_point).alias("last"))
+    # one row per range
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select("range", F.last("last", ignorenulls=True).over(earlier).alias("cin"),
+                          F.first("first", ignorenulls=True).over(later).alias("cout"))
+    w = Window.partitionBy("range").orderBy(*order)
+    upto, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    r = u.join(F.broadcast(carried), "range").select(
+        "x", "src", F.col("y").alias("tpr_b"),
+        F.coalesce(F.last(a_point, ignorenulls=True).over(upto), "cin").alias("l"),
+        F.coalesce(F.first(a_point, ignorenulls=True).over(on), "cout").alias("r")).filter(F.col("src") == 1)
     x0, y0, x1, y1 = F.col("l.x"), F.col("l.y"), F.col("r.x"), F.col("r.y")
     interp = (F.when(F.col("l").isNull(), y1)
               .when(F.col("r").isNull() | (F.col("x") == x0), y0)

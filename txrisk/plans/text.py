@@ -308,7 +308,9 @@ def q_sink_jsonl_resume(spark, d):
        "SELECT transaction_id AS row_index, case_type FROM cases WHERE transaction_id % 3 <> 0")
 def q_anti_resume(spark, d):
     recs = case_records(spark, d)
-    done = recs.filter(F.col("row_index") % 3 == 0).select("row_index")
+    path = ML.shared_path(spark, "resumed_jsonl")
+    sinks.sink_jsonl_resume(recs.filter(F.col("row_index") % 3 == 0), path)
+    done = sinks.logged_ids(spark, path, "row_index long")
     return recs.join(done, "row_index", "left_anti").select("row_index", "case_type")
 
 
