@@ -7,6 +7,8 @@ long table.  Nothing is collected except where a result is O(1).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,54 +43,127 @@ def profile_schema(df: DataFrame) -> DataFrame:
 
 #: Items kept by the sketch that brackets a quantile; its error in rank is one part in as many.
 SKETCH = 10_000
+#: Most distinct values in a bracket that are ranked in one task.
+RANKED = 1_000_000
+
+
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Ascending brackets without overlaps."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _in_cells(clean: DataFrame, brackets: list[list[tuple[float, float]]]) -> DataFrame:
+    """One row per value: column ``m``, value ``x`` and cell ``cell``, odd inside a bracket, even between brackets."""
+    def entry(i: int, of: list[tuple[float, float]]) -> Column:
+        x = F.col(f"x{i}")
+        cell = F.lit(0)
+        for lo, hi in of:
+            cell = cell + (x >= F.lit(lo)).cast("int") + (x > F.lit(hi)).cast("int")
+        return F.when(x.isNotNull(), F.struct(F.lit(i).alias("m"), x.alias("x"), cell.alias("cell")))
+
+    entries = [entry(i, of) for i, of in enumerate(brackets) if of]
+    return clean.select(F.explode(F.array(*entries)).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
+
 
+def _narrowed(cells: DataFrame, brackets: list[list[tuple[float, float]]], ranks: list[list[int]],
+              ranked: int) -> list[list[tuple[float, float]]] | None:
+    """Brackets of the same ranks inside the given ones; None if none holds more than ``ranked`` distinct values.
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    Two aggregates over (column, cell): what each cell holds, and a sketch of the values
+    of the cells that hold too many.
+    """
+    per = cells.groupBy("m", "cell").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct("x", 0.02).alias("d")).collect()
+    held = {(r["m"], r["cell"]): (r["c"], r["d"]) for r in per}
+    # 1.1: the distinct count is an estimate
+    wide = [k for k, (_, d) in held.items() if k[1] % 2 and d * 1.1 > ranked]
+    if not wide:
+        return None
+    asked, probs = [], {}
+    for m, cell in wide:
+        below = sum(c for (i, j), (c, _) in held.items() if i == m and j < cell)
+        n = held[m, cell][0]
+        inside = [r - below for r in ranks[m] if below < r <= below + n]
+        probs[m, cell] = [min(max(r / n + d, 0.0), 1.0) for r in inside for d in (-4 / SKETCH, 4 / SKETCH)]
+        if inside:
+            here = (F.col("m") == m) & (F.col("cell") == cell)
+            asked.append(F.percentile_approx(F.when(here, F.col("x")), F.array(*[F.lit(p) for p in probs[m, cell]]), SKETCH)
+                         .alias(f"b{m}_{cell}"))
+    near = cells.agg(*asked).first() if asked else {}
+    out = []
+    for m, of in enumerate(brackets):
+        new = []
+        for k, bracket in enumerate(of):
+            cell = 2 * k + 1
+            if (m, cell) not in probs:
+                new.append(bracket)
+            elif probs[m, cell]:
+                b = near[f"b{m}_{cell}"]
+                new += list(zip(b[::2], b[1::2]))
+        out.append(_merged(new))
+    return None if out == brackets else out
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], ranked: int = RANKED) -> DataFrame:
     """One row with an array of the exact, linearly interpolated quantiles per column (``q0``, ``q1``, ...).
 
     Nulls and NaN are left out; a column without values gives null elements.
-    No task holds a column's values: a sketch of bounded size brackets each
-    quantile between two values (four times its error apart on either side), one
-    aggregate counts the rows below the bracket and finds the nearest values
-    outside it, and the distinct values inside, counted map-side, are ranked.
+
+    Distributed selection: a sketch of bounded size brackets each quantile between two
+    values, four times its error apart on either side; while a bracket may hold more than ``ranked``
+    distinct values, counts tell the quantile's rank inside it and a sketch of its values gives
+    a bracket 1,250 times narrower.  One aggregate then counts the values between brackets
+    and the distinct values inside them, and these, at most ``ranked`` a bracket, are ranked in a
+    task per column.  Up to 1,000 times ``ranked`` rows (10^9) that is one small job
+    beforehand and one pass; ten million times as many take one round more.
     """
-    pairs = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
-    slack = 4 / SKETCH
-    near = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs for d in (-slack, slack)])
     clean = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"x{i}")
                         for i, c in enumerate(cols)])
+    slack = 4 / SKETCH
+    near = F.array(*[F.lit(min(max(p + d, 0.0), 1.0)) for p in probs for d in (-slack, slack)])
     sketch = clean.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(cols))],
-                       *[F.percentile_approx(f"x{i}", near, SKETCH).alias(f"b{i}") for i in range(len(cols))])
-    seen = clean.crossJoin(F.broadcast(sketch))  # one row
-
-    def at(i: int, j: int) -> tuple[Column, Column, Column]:
-        return F.col(f"x{i}"), F.col(f"b{i}")[2 * j], F.col(f"b{i}")[2 * j + 1]
-
-    outside, inside = [], []
-    for m, (i, j) in enumerate(pairs):
-        x, lo, hi = at(i, j)
-        outside.append(F.struct(F.first(f"n{i}").alias("n"), F.count(F.when(x < lo, 1)).alias("less"),
-                                F.max(F.when(x < lo, x)).alias("below"), F.min(F.when(x > hi, x)).alias("above"),
-                                F.lit(probs[j]).alias("p")).alias(f"o{m}"))
-        inside.append(F.when(x.between(lo, hi), F.struct(F.lit(m).alias("m"), x.alias("x"))))
-    around = seen.agg(*outside).select(F.posexplode(F.array(*[f"o{m}" for m in range(len(pairs))])).alias("m", "o"))
-    values = (seen.select(F.explode(F.array_compact(F.array(*inside))).alias("v")).groupBy("v.m", "v.x")
-              .agg(F.count(F.lit(1)).alias("c")))
-    upto = Window.partitionBy("m").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = values.select("m", "x", F.sum("c").over(upto).alias("upto")).join(F.broadcast(around), "m")
-    where = F.col("o.p") * (F.col("o.n") - 1)  # from 0
-
-    def pick(rank: Column) -> Column:  # from 1; the sketch may miss a rank by one on few rows
-        found = F.min(F.when(F.col("o.less") + F.col("upto") >= rank, F.col("x")))
-        return F.when(F.first(rank) <= F.first("o.less"), F.first("o.below")).otherwise(
-            F.coalesce(found, F.first("o.above")))
-
-    low, high = F.floor(where), F.ceil(where)
-    per = ranked.groupBy("m").agg(pick(low + 1).alias("lo"), pick(high + 1).alias("hi"),
-                                  F.first(where - low).alias("part"))
-    q = per.select("m", (F.col("lo") * (1 - F.col("part")) + F.col("hi") * F.col("part")).alias("q"))
-    return q.agg(*[F.array(*[F.max(F.when(F.col("m") == i * len(probs) + j, F.col("q"))) for j in range(len(probs))])
-                   .alias(f"q{i}") for i in range(len(cols))])
+                       *[F.percentile_approx(f"x{i}", near, SKETCH).alias(f"b{i}") for i in range(len(cols))]).first()
+    n = [sketch[f"n{i}"] for i in range(len(cols))]
+    brackets = [_merged(list(zip(b[::2], b[1::2]))) if (b := sketch[f"b{i}"]) else [] for i in range(len(cols))]
+    # ranks from 1 of the values on either side of a quantile
+    where = [[p * (n[i] - 1) for p in probs] for i in range(len(cols))]
+    ranks = [sorted({r for w in ws for r in (math.floor(w) + 1, math.ceil(w) + 1)}) if n[i] else []
+             for i, ws in enumerate(where)]
+    if not any(n):
+        return df.sparkSession.range(1).select(*[F.array(*[F.lit(None).cast("double")] * len(probs)).alias(f"q{i}")
+                                                 for i in range(len(cols))])
+    # a bracket spans at most ten times the sketch's error in ranks, and a tie is one value
+    while max(n) * 10 / SKETCH > ranked and (less := _narrowed(_in_cells(clean, brackets), brackets, ranks, ranked)):
+        brackets = less
+    inside = F.when(F.col("cell") % 2 == 1, F.col("x"))
+    values = (_in_cells(clean, brackets).groupBy("m", "cell", inside.alias("v"))
+              .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+    upto = Window.partitionBy("m").orderBy("cell", "lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = values.select("*", F.sum("c").over(upto).alias("upto"))
+
+    asked = F.create_map(*[e for i, of in enumerate(ranks) if of
+                           for e in (F.lit(i), F.array(*[F.lit(r).cast("long") for r in of]))])
+    hits = runs.select("*", F.explode(F.filter(
+        asked[F.col("m")], lambda r: (F.col("upto") - F.col("c") < r) & (r <= F.col("upto")))).alias("rank"))
+    # a bracket's value, or an end of the gap beside a bracket
+    value = (F.when((F.col("lo") == F.col("hi")) | (F.col("rank") == F.col("upto") - F.col("c") + 1), F.col("lo"))
+             .when(F.col("rank") == F.col("upto"), F.col("hi"))
+             .otherwise(F.raise_error(F.lit("a quantile's rank lies outside its bracket")).cast("double")))
+    # one entry per column and rank asked for
+    found = hits.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("_", "m", "rank"), value))).alias("v"))
+
+    def quantile(i: int, w: float) -> Column:
+        low, high = (F.col("v")[f"{i}_{r(w) + 1}"] for r in (math.floor, math.ceil))
+        part = w - math.floor(w)
+        return low * F.lit(1 - part) + high * F.lit(part) if part else low
+
+    return found.select(*[F.array(*[quantile(i, w) if n[i] else F.lit(None).cast("double") for w in where[i]])
+                          .alias(f"q{i}") for i in range(len(cols))])
 
 
 # op 10
