@@ -1,11 +1,12 @@
 """Exact top-k inner-product search by columnar branch and bound.
 
-Vectors lie in vertical layout (one row per dimension).  A tile of queries meets
-a tile of candidates dimension block by block: the inner products gathered so
-far, plus or minus the product of the two remaining norms (Cauchy-Schwarz),
-bound every final score.  Candidates whose upper bound is below the k-th best
-lower bound of every query in the tile are compacted away before the next
-block.  Tiles have fixed sizes, and only each tile's k best leave its task.
+Vectors lie in vertical layout (one row per dimension).  A query meets a tile of
+candidates dimension block by block, its heaviest dimensions first: the inner
+products gathered so far, plus or minus the product of the two remaining norms
+(Cauchy-Schwarz), bound every final score.  After the first block the candidates
+that lead are scored in full, which gives the query's bar; candidates whose upper
+bound is below it are compacted away before the next block, for each query
+on its own.  Tiles have fixed sizes, and only each tile's k best leave its task.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.common import table
 
-#: Rows of a candidate and of a query tile, queries compared at a time, dimensions of a block.
-CANDIDATE_ROWS, QUERY_ROWS, QUERY_STEP, BLOCK = 4096, 8192, 256, 16
+#: Rows of a candidate and of a query tile, dimensions of a block, leaders scored in full for each place of the result.
+CANDIDATE_ROWS, QUERY_ROWS, BLOCK, PROBES = 4096, 8192, 16, 8
 _EXACT = float(1 << 53)
 
 _BLOCKS = "tile_q long, tile_c long, dims int, is_query boolean, ids binary, data binary"
@@ -79,47 +80,57 @@ def _exact_scores(q: np.ndarray, x: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in out], dtype=np.int64)
 
 
-def search_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, x: np.ndarray, k: int
-                ) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best of this tile; q, x: dims x rows."""
-    dims = len(x)
+def _survivors(q: np.ndarray, x: np.ndarray, mass: np.ndarray, cols: np.ndarray, k: int, exact: bool,
+               seen: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates among ``cols`` that can be of the query's k best, and their scores; ``mass``: squared norms."""
+    order = np.argsort(-np.abs(q), kind="stable")
+    got, x_rest, q_rest, bar = np.zeros(len(cols)), mass[cols], float(q @ q), -np.inf
+    for b in range(0, len(q), BLOCK):
+        at = order[b: b + BLOCK]
+        if seen is not None:
+            seen.append(len(cols))
+        xb = x[at] if len(cols) == x.shape[1] else x[at[:, None], cols]
+        got = got + q[at] @ xb
+        x_rest = np.maximum(x_rest - np.einsum("ij,ij->j", xb, xb), 0)
+        q_rest = max(q_rest - float(q[at] @ q[at]), 0.0)
+        if len(cols) <= k or b + BLOCK >= len(q):
+            continue
+        if b == 0:
+            n = min(PROBES * k, len(cols))
+            lead = cols[np.argpartition(-got, n - 1)[:n]]
+            score = q @ x[:, lead]
+            # sums beyond double's whole numbers are rounded: far below one part in 2^40 of the norms
+            score = score if exact else score - np.sqrt(float(q @ q) * mass[lead]) * 2.0 ** -40
+            bar = np.partition(score, n - k)[n - k]
+        rest = np.sqrt(q_rest) * np.sqrt(x_rest)
+        slack = rest * (1 + 2.0 ** -20) + (0 if exact else np.sqrt(float(q @ q) * mass[cols]) * 2.0 ** -40) + 2.0 ** -10
+        bar = np.fmax(bar, np.partition(got - slack, len(cols) - k)[len(cols) - k])
+        alive = ~(got + slack < bar)
+        cols, got, x_rest = cols[alive], got[alive], x_rest[alive]
+    return cols, got
+
+
+def search_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, x: np.ndarray, k: int,
+                seen: list[list[int]] | None = None) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of each query's k best of this tile; q, x: dims x rows.
+
+    ``seen`` receives, per query, the number of candidates that each dimension block met."""
     if not len(q_ids) or not len(c_ids):
         return []
-    # the dimensions that hold most of the candidates' mass go first
-    order = np.argsort(-(x * x).sum(axis=1), kind="stable")
-    q, x = q[order], x[order]
-    exact = float(np.sqrt((q * q).sum(axis=0).max()) * np.sqrt((x * x).sum(axis=0).max())) < _EXACT
+    mass = (x * x).sum(axis=0)
+    exact = float(np.sqrt((q * q).sum(axis=0).max()) * np.sqrt(mass.max())) < _EXACT
     hits = []
-    for lo in range(0, len(q_ids), QUERY_STEP):
-        qs, ids = q[:, lo: lo + QUERY_STEP], q_ids[lo: lo + QUERY_STEP]
-        cols = np.arange(len(c_ids))  # candidates that survive
-        got = np.zeros((len(ids), len(cols)))
-        own = ids[:, None] == c_ids[None, :]
-        q_rest, x_rest = (qs * qs).sum(axis=0), (x * x).sum(axis=0)
-        for b in range(0, dims, BLOCK):
-            qb, xb = qs[b: b + BLOCK], x[b: b + BLOCK, cols]
-            got += qb.T @ xb
-            q_rest = np.maximum(q_rest - (qb * qb).sum(axis=0), 0)
-            x_rest = np.maximum(x_rest - (xb * xb).sum(axis=0), 0)
-            if len(cols) <= k + 1:
-                continue
-            # rounding of the partial sums: far below one part in 2^40 of the masses
-            rest = np.sqrt(q_rest)[:, None] * np.sqrt(x_rest)[None, :]
-            slack = rest * (1 + 2.0 ** -20) + (0 if exact else np.abs(got) * 2.0 ** -40) + 2.0 ** -10
-            low, high = got - slack, got + slack
-            low[own], high[own] = -np.inf, -np.inf
-            bar = np.partition(low, len(cols) - k, axis=1)[:, len(cols) - k]
-            alive = (high >= bar[:, None]).any(axis=0)
-            if not alive.all():
-                cols, got, own, x_rest = cols[alive], got[:, alive], own[:, alive], x_rest[alive]
-        for j in range(len(ids)):
-            at = np.flatnonzero(~own[j])
-            score = got[j, at].astype(np.int64) if exact else _exact_scores(qs[:, j], x, cols[at])
-            if len(at) > k:
-                bar = np.partition(score, len(at) - k)[len(at) - k]
-                at, score = at[score >= bar], score[score >= bar]
-            best = np.lexsort((c_ids[cols[at]], -score.astype(np.float64) if exact else -score))[:k]
-            hits += [(int(ids[j]), int(c_ids[cols[at[i]]]), int(score[i])) for i in best]
+    for query, one in zip(q_ids, np.ascontiguousarray(q.T), strict=True):
+        met = None if seen is None else []
+        cols, got = _survivors(one, x, mass, np.flatnonzero(c_ids != query), k, exact, met)
+        score = got.astype(np.int64) if exact else _exact_scores(one, x, cols)
+        if len(cols) > k:
+            bar = np.partition(score, len(cols) - k)[len(cols) - k]
+            cols, score = cols[score >= bar], score[score >= bar]
+        best = np.lexsort((c_ids[cols], -score.astype(np.float64) if exact else -score))[:k]
+        hits += [(int(query), int(c_ids[cols[i]]), int(score[i])) for i in best]
+        if seen is not None:
+            seen.append(met)
     return hits
 
 
