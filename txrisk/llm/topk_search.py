@@ -102,10 +102,10 @@ def _survivors(q: np.ndarray, x: np.ndarray, mass: np.ndarray, cols: np.ndarray,
             # sums beyond double's whole numbers are rounded: far below one part in 2^40 of the norms
             score = score if exact else score - np.sqrt(float(q @ q) * mass[lead]) * 2.0 ** -40
             bar = np.partition(score, n - k)[n - k]
-        rest = np.sqrt(q_rest) * np.sqrt(x_rest)
-        slack = rest * (1 + 2.0 ** -20) + (0 if exact else np.sqrt(float(q @ q) * mass[cols]) * 2.0 ** -40) + 2.0 ** -10
-        bar = np.fmax(bar, np.partition(got - slack, len(cols) - k)[len(cols) - k])
-        alive = ~(got + slack < bar)
+        high = got + np.sqrt(x_rest) * (np.sqrt(q_rest) * (1 + 2.0 ** -20)) + 2.0 ** -10
+        if not exact:
+            high += np.sqrt(float(q @ q) * mass[cols]) * 2.0 ** -40
+        alive = np.flatnonzero(~(high < bar))
         cols, got, x_rest = cols[alive], got[alive], x_rest[alive]
     return cols, got
 
