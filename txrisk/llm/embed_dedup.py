@@ -3,17 +3,20 @@
 A unit vector u is stored as s * q (q: int8, s: its scale) with the exact norm e
 of what the rounding lost.  For two vectors the product of the stored forms
 differs from the cosine by at most e1 + e2 + e1 * e2, so whole tiles of pairs
-are decided by small-integer products, and only pairs whose bound reaches the
-threshold are computed again from the original components in double.
+are decided by small-integer products: linked, not linked, or open.
 
-Vectors of one label are dealt into tiles of bounded size; a task holds one
-pair of tiles.  It returns per vector its number of links and one link towards
-the smallest vector of its local group, never the pairs.
+Vectors are quantised once.  Those of one label are dealt into tiles of bounded
+size; a task holds one pair of tiles, and only the int8 forms are sent to it.
+The ends of open pairs meet once more, pair of tiles by pair of tiles, with
+their original components, and only open pairs are computed in double.  Tasks
+return per vector its number of links and one link towards the smallest vector
+of its local group, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,19 @@ from txrisk.llm.topk_search import usable
 #: Vectors of a tile, and rows of a product computed at a time.
 TILE_ROWS, STEP = 2048, 512
 
-_BLOCKS = "label string, left long, right long, side int, dims int, ids binary, data binary"
-_LINKS = "vec_id long, n_links long, towards long"
+_STORED = "id long, label string, dims int, quantised binary, scale double, lost double, data binary"
+_LINKS = "label string, left long, right long, dims int, vec_id long, n_links long, towards long, open boolean"
+
+
+@dataclass
+class Tile:
+    """Rows of a tile: ids, int8 forms, scales, error norms, and original components (None: not sent)."""
+
+    ids: np.ndarray
+    q: np.ndarray
+    scale: np.ndarray
+    lost: np.ndarray
+    x: np.ndarray | None = None
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,27 +55,41 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.sqrt((lost * lost).sum(axis=1)) * (1 + 1e-9) + 1e-12
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool
-               ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and column numbers of the linked pairs of two tiles (same: of x with itself, row < column)."""
-    (qx, sx, ex), (qy, sy, ey) = quantise(x), quantise(y)
+def tile_of(ids: np.ndarray, x: np.ndarray) -> Tile:
+    """The tile of the rows of x, components included."""
+    return Tile(ids, *quantise(x), x)
+
+
+def bounded_pairs(x: Tile, y: Tile, threshold: float, same: bool
+                  ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row and column numbers of pairs that may reach the threshold, and which of them surely do.
+
+    same: of x with itself, row < column.
+    """
     # int8 products add up exactly in float32 up to 2^24, in float64 beyond
-    kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    fx, fy = qx.astype(kind), qy.astype(kind)
-    nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-    for lo in range(0, len(x), STEP):
-        hi = min(lo + STEP, len(x))
-        near = (fx[lo:hi] @ fy.T).astype(np.float64) * sx[lo:hi, None] * sy[None, :]
-        room = ex[lo:hi, None] + ey[None, :] + ex[lo:hi, None] * ey[None, :] + 1e-9
+    kind = np.float32 if x.q.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    fx, fy = x.q.astype(kind), y.q.astype(kind)
+    for lo in range(0, len(fx), STEP):
+        hi = min(lo + STEP, len(fx))
+        near = (fx[lo:hi] @ fy.T).astype(np.float64) * x.scale[lo:hi, None] * y.scale[None, :]
+        room = x.lost[lo:hi, None] + y.lost[None, :] + x.lost[lo:hi, None] * y.lost[None, :] + 1e-9
         r, c = np.nonzero(near + room >= threshold)
+        sure = (near - room)[r, c] >= threshold
         r += lo
         if same:
-            r, c = r[r < c], c[r < c]
-        for at in range(0, len(r), 1 << 17):
-            i, j = r[at: at + (1 << 17)], c[at: at + (1 << 17)]
-            cosine = np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j])
-            linked = cosine >= threshold
-            yield i[linked], j[linked]
+            once = r < c
+            r, c, sure = r[once], c[once], sure[once]
+        yield r, c, sure
+
+
+def exact_links(x: Tile, y: Tile, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) have a cosine of the threshold or more in double."""
+    out = np.zeros(len(i), bool)
+    nx, ny = np.sqrt((x.x * x.x).sum(axis=1)), np.sqrt((y.x * y.x).sum(axis=1))
+    for at in range(0, len(i), 1 << 17):
+        a, b = i[at: at + (1 << 17)], j[at: at + (1 << 17)]
+        out[at: at + (1 << 17)] = np.einsum("ij,ij->i", x.x[a], y.x[b]) / (nx[a] * ny[b]) >= threshold
+    return out
 
 
 def _local_groups(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -80,85 +108,139 @@ def _local_groups(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def link_tile(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None,
-              threshold: float) -> pd.DataFrame:
-    """(vec_id, n_links, towards) of the linked vectors of one pair of tiles (right None: of one tile).
+def link_tile(left: Tile, right: Tile | None, threshold: float) -> pd.DataFrame:
+    """(vec_id, n_links, towards, open) of one pair of tiles (right None: of one tile with itself).
 
-    The pairs of a step are folded into counts and local groups at once.
+    Without original components: the links that the bound makes sure, and a row
+    (no links, open) for each end of a pair that it leaves open.  With them: the
+    links among these open pairs alone.  The pairs of a step are folded into
+    counts and local groups at once.
     """
     same = right is None
-    ids_x, x = left
-    ids_y, y = left if same else right
-    ids = ids_x if same else np.concatenate([ids_x, ids_y])
-    shift = 0 if same else len(ids_x)
+    right = left if same else right
+    ids = left.ids if same else np.concatenate([left.ids, right.ids])
+    shift = 0 if same else len(left.ids)
     order = np.argsort(ids, kind="stable")  # positions by id: the smallest position is the smallest id
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
     count = np.zeros(len(ids), np.int64)
     group = np.arange(len(ids))
-    for i, j in tile_links(x, y, threshold, same):
-        j = j + shift
+    unsure = np.zeros(len(ids), bool)
+    for i, j, sure in bounded_pairs(left, right, threshold, same):
+        if left.x is None:
+            unsure[i[~sure]] = unsure[j[~sure] + shift] = True
+            i, j = i[sure], j[sure] + shift
+        else:
+            i, j = i[~sure], j[~sure]
+            linked = exact_links(left, right, i, j, threshold)
+            i, j = i[linked], j[linked] + shift
         count += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-        a, b = group[place[i]], group[place[j]]
-        group = _local_groups(a, b, len(ids))[group]
-    hit = np.flatnonzero(count)
-    return pd.DataFrame({"vec_id": ids[hit], "n_links": count[hit], "towards": ids[order[group[place[hit]]]]})
+        group = _local_groups(group[place[i]], group[place[j]], len(ids))[group]
+    hit, again = np.flatnonzero(count), np.flatnonzero(unsure)
+    return pd.DataFrame({"vec_id": np.concatenate([ids[hit], ids[again]]),
+                         "n_links": np.concatenate([count[hit], np.zeros(len(again), np.int64)]),
+                         "towards": np.concatenate([ids[order[group[place[hit]]]], ids[again]]),
+                         "open": np.repeat([False, True], [len(hit), len(again)])})
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["label", "left", "right", "side", "dims"]
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Quantises rows (id, label, vector) of one or several lengths."""
     for batch in batches:
-        keys = pd.DataFrame({n: batch.column(n).to_pandas() for n in (*names[:4], "id")})
         vectors = batch.column("vector")
-        keys["dims"] = vectors.value_lengths().to_numpy(zero_copy_only=False)
-        starts = np.cumsum(keys.dims.to_numpy()) - keys.dims.to_numpy()
-        flat = vectors.flatten().to_numpy(zero_copy_only=False)
-        made = []
-        for group, rows in keys.groupby(names):
-            at = starts[rows.index.to_numpy()][:, None] + np.arange(group[4])
-            made.append((*group, rows.id.to_numpy(np.int64).tobytes(), flat[at].astype(np.float64).tobytes()))
-        yield pa.RecordBatch.from_pandas(
-            pd.DataFrame(made, columns=[*names, "ids", "data"]).astype(
-                {"left": "int64", "right": "int64", "side": "int32", "dims": "int32"}),
-            schema=pa.schema([("label", pa.string()), ("left", pa.int64()), ("right", pa.int64()),
-                              ("side", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()),
-                              ("data", pa.binary())]), preserve_index=False)
-
-
-def embedding_links(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
+        dims = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(dims) - dims
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        for d in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == d)
+            x = flat[starts[rows][:, None] + np.arange(d)]
+            # by a power of two: cosines stay the same, squares neither overflow nor vanish
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+            q, scale, lost = quantise(x)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(take), batch.column("label").take(take), pa.array([d] * len(rows), pa.int32()),
+                 pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(lost),
+                 pa.array([r.tobytes() for r in x], pa.binary())],
+                names=["id", "label", "dims", "quantised", "scale", "lost", "data"])
+
+
+_GROUP = ["label", "left", "right", "dims"]
+
+
+def _pack(exact: bool):
+    """Rows of a tile pair's side as blocks: fewer, larger rows for the exchange."""
+    parts = {"id": pa.int64(), "quantised": pa.binary(), "scale": pa.float64(), "lost": pa.float64()}
+    if exact:
+        parts["data"] = pa.binary()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*_GROUP, "side"]
+        for batch in batches:
+            keys = batch.select(names).to_pandas()
+            made: list[tuple] = []
+            for group, rows in keys.groupby(names):
+                some = batch.take(pa.array(rows.index.to_numpy()))
+                made.append((*group, *(b"".join(some.column(p).to_pylist()) if pa.types.is_binary(kind)
+                                       else some.column(p).to_numpy().tobytes() for p, kind in parts.items())))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *([pa.binary()] * len(parts))]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)],
+                                                 names=[*names, *parts])
+    return work, "label string, left long, right long, dims int, side int, " + ", ".join(f"{p} binary" for p in parts)
+
+
+def _linked(dealt: DataFrame, threshold: float, exact: bool) -> DataFrame:
+    """``link_tile`` for each pair of tiles of rows (label, left, right, dims, side, id, quantised, scale, lost[, data])."""
+    def work(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dims, tiles = int(group[3]), []
+        for side in (0, 1):
+            part = pdf[pdf.side == side]
+            if len(part):
+                read = lambda c, kind: np.frombuffer(b"".join(part[c]), kind)  # noqa: B023, E731
+                tiles.append(Tile(read("id", np.int64), read("quantised", np.int8).reshape(-1, dims),
+                                  read("scale", np.float64), read("lost", np.float64),
+                                  read("data", np.float64).reshape(-1, dims) if exact else None))
+        if group[1] != group[2] and len(tiles) < 2:
+            found = pd.DataFrame({"vec_id": [], "n_links": [], "towards": [], "open": []}).astype(
+                {"vec_id": "int64", "n_links": "int64", "towards": "int64", "open": "bool"})
+        else:
+            found = link_tile(tiles[0], tiles[1] if group[1] != group[2] else None, threshold)
+        for at, (name, value) in enumerate(zip(_GROUP, group, strict=True)):
+            found.insert(at, name, value)
+        return found
+
+    pack, schema = _pack(exact)
+    return dealt.mapInArrow(pack, schema).groupBy(*_GROUP).applyInPandas(work, _LINKS)
+
+
+def embedding_links(df: DataFrame, scratch: Scratch, threshold: float = 0.93, key: str = "vec_id",
                     vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, towards) pieces: sum n_links per vector, follow ``towards`` for groups.
 
     Tiles: as many per label as its rows need; a vector goes to the tile of its
-    id's hash and is sent to each tile pair of its label that holds its tile.
+    id's hash, and its int8 form is sent to each tile pair of its label that
+    holds its tile.  Its components go only to the pairs that leave it open.
     """
     rows = (df.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & usable(vector))
             .select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"),
                     F.col(vector).cast("array<double>").alias("vector"))
             .filter(F.exists("vector", lambda x: x != 0)))
-    tiles = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("tiles"))
-    dealt = (rows.join(tiles, "label")
-             .withColumn("own", F.pmod(F.xxhash64("id", F.lit("tile")), F.col("tiles")))
+    stored = scratch.keep(rows.mapInArrow(_store, _STORED), "stored")
+    tiles = stored.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("tiles"))
+    own = F.pmod(F.xxhash64("id", F.lit("tile")), F.col("tiles"))
+    dealt = (stored.join(tiles, "label").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-             .select("label", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-                     (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "vector"))
-
-    def work(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dims = int(group[3])
-        sides = []
-        for side in (0, 1):
-            part = pdf[pdf.side == side]
-            if len(part):
-                sides.append((np.concatenate([np.frombuffer(b, np.int64) for b in part.ids]),
-                              np.concatenate([np.frombuffer(b, np.float64).reshape(-1, dims) for b in part.data])))
-        if group[1] == group[2]:
-            return link_tile(sides[0], None, threshold)
-        if len(sides) < 2:
-            return pd.DataFrame({"vec_id": [], "n_links": [], "towards": []}, dtype="int64")
-        return link_tile(sides[0], sides[1], threshold)
-
-    return (dealt.mapInArrow(_pack, _BLOCKS).groupBy("label", "left", "right", "dims")
-            .applyInPandas(work, _LINKS))
+             .select("label", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "dims",
+                     (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "quantised", "scale", "lost"))
+    first = scratch.keep(_linked(dealt, threshold, False), "bounded")
+    # rows that share an id share a tile: all of them meet again, and the same pairs are open as before
+    ends = first.filter("open").select(*_GROUP, F.col("vec_id").alias("id")).distinct()
+    again = (stored.join(ends, ["label", "dims", "id"]).join(tiles, "label")
+             .select(*_GROUP, (own != F.col("left")).cast("int").alias("side"),
+                     "id", "quantised", "scale", "lost", "data"))
+    pieces = ["vec_id", "n_links", "towards"]
+    return first.filter("NOT open").select(*pieces).unionByName(
+        scratch.keep(_linked(again, threshold, True), "exact").select(*pieces))
 
 
 def embedding_components(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
@@ -174,7 +256,7 @@ def embedding_components(df: DataFrame, threshold: float = 0.93, key: str = "vec
     columns are not read.
     """
     scratch = Scratch(df.sparkSession, "embed-dedup")
-    pieces = scratch.keep(embedding_links(df, threshold, key, vector, label), "pieces")
+    pieces = embedding_links(df, scratch, threshold, key, vector, label)
     counts = pieces.groupBy("vec_id").agg(F.sum("n_links").alias("n"))
     groups = connected_components(
         pieces.select(F.col("vec_id").alias("a"), F.col("towards").alias("b")).distinct(), scratch)
