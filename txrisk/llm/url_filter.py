@@ -94,13 +94,13 @@ def apply_lists(captures: DataFrame, log: DataFrame, key: str = "page_id", url:
     not read.  Among equally specific matches the smallest category is reported.
     """
     spans = validity(log)
-    bounds = captures.agg(F.min(fetched).alias("lo"), F.max(fetched).alias("hi"))
     month = lambda c: F.trunc(c, "month")
-    # a rule enters the months that it shares with the captures' range
-    cut = (spans.join(F.broadcast(bounds), F.expr("valid_from <= hi AND valid_to > lo"))  # one row
-           .withColumn("month", F.explode(F.expr(
-               "sequence(trunc(greatest(valid_from, lo), 'month'), trunc(least(valid_to, hi), 'month'),"
-               " interval 1 month)")))
+    # one row: at most as many months as the calendar has, however many captures
+    seen = captures.agg(F.collect_set(month(F.col(fetched))).alias("months"))
+    # a rule enters the months of its span in which there are captures
+    cut = (spans.join(F.broadcast(seen))
+           .withColumn("month", F.explode(F.filter(
+               "months", lambda m: (m >= month(F.col("valid_from"))) & (m < F.col("valid_to")))))
            .select("key", "month", "category", "valid_from", "valid_to"))
     asked = (captures.filter(F.col(fetched).isNotNull()).select(F.col(url).alias("url"), F.col(fetched).alias("at"))
              .distinct().withColumn("k", F.explode(url_keys(F.col("url"))))
