@@ -41,6 +41,8 @@ CHANCE = 0.169919487159739093975315012348
 SIGMAS = 6.0
 #: Members of a key that are compared with as many others in one task.
 BLOCK = 256
+#: Shingles that the sets of a block's members hold on average (a set beyond it is a block's own), 8 bytes each.
+BLOCK_SHINGLES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -301,7 +303,7 @@ class _Dedup:
                                  .select("key", "band", "doc", "n", F.coalesce("c", "doc").alias("c")), "placed")
         mixed = self.scratch.keep(
             rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
-                                    F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+                                    F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
             .filter("lo < hi").select("key", "blocks"), "mixed")
         return self.scratch.keep(rows.join(mixed, "key"), "open")
 
