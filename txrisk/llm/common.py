@@ -32,11 +32,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts small: at most ``rows`` rows each."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Keep Arrow batches of long texts small: at most ``rows`` rows and about ``size`` bytes each.
+
+    Tighter settings stay.  The session keeps these: what is returned runs later
+    and reads them then.  For jobs that end at once see ``arrow_batches``.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    to_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < to_bytes(spark.conf.get(key)) <= to_bytes(size):
+        spark.conf.set(key, size)
 
 
 @contextmanager
@@ -58,11 +66,35 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> It
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Folders made inside each open ``scratch_scope``, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables of every ``Scratch`` made inside it.
+
+    What is read after it must have been written elsewhere inside it: results
+    of the operators read their tables only when they run.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for root in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Numbered Parquet tables of one run in the shared checkpoint folder."""
+    """Numbered Parquet tables of one run in the shared checkpoint folder; see ``scratch_scope``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.root = run_folder(spark, name)
+        if _SCOPES:
+            _SCOPES[-1].append(self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, f"{self.root}/{name}-{uuid.uuid4().hex[:8]}")

@@ -171,7 +171,12 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def score_documents(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """All columns of ``df`` and ``score``: one pass, no shuffle; null texts score as empty ones."""
+    """All columns of ``df`` and ``score``: one pass, no shuffle; null texts score as empty ones.
+
+    ``score`` must not be a column of ``df``.
+    """
+    if score.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"column exists already: {score}")
     spark = df.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: see Model
