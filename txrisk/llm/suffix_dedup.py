@@ -183,19 +183,8 @@ def _scan(length: int, slots: int):
 
 def _count(hot: int):
     """Receiving side of step 1: anchors of grams that occur elsewhere too, and the hashes of hot grams."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            docs, blobs = batch.column("doc"), batch.column("blob")
-            direct = [i for i in range(len(batch)) if docs[i].is_valid]
-            yield pa.RecordBatch.from_arrays(
-                [docs.take(pa.array(direct, pa.int64())), blobs.take(pa.array(direct, pa.int64())),
-                 pa.nulls(len(direct), pa.int64())], schema=_FOUND)
-            held += [_unpack(blobs[i].as_py(), *_GRAM) for i in range(len(batch)) if not docs[i].is_valid]
-        if not held:
-            return
-        h, doc, pos, lo, hi, places = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
+    def counted(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        h, doc, pos, lo, hi, places = (np.concatenate(x) for x in zip(*(_unpack(b, *_GRAM) for b in blobs), strict=True))
         order = np.argsort(h, kind="stable")
         head = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
         size = np.diff(np.append(head, len(h)))
@@ -208,6 +197,23 @@ def _count(hot: int):
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, held = None, []  # the grams of one slot, which come together: all places of each of them
+        for batch in batches:
+            docs, blobs, slots = batch.column("doc"), batch.column("blob"), batch.column("slot").to_pylist()
+            direct = pa.array([i for i in range(len(batch)) if docs[i].is_valid], pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.take(direct), blobs.take(direct), pa.nulls(len(direct), pa.int64())],
+                                             schema=_FOUND)
+            for i in range(len(batch)):
+                if not docs[i].is_valid:
+                    if slots[i] != slot and held:
+                        done, held = held, []
+                        yield from counted(done)
+                    slot = slots[i]
+                    held.append(blobs[i].as_py())
+        if held:
+            yield from counted(held)
     return work
 
 
@@ -484,26 +490,35 @@ def _merge(length: int):
     """Receiving side of steps 2 to 4: spans decided by the senders, and those of the merged ranges."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "blob"]
-        ranges: dict[int, list[bytes]] = {}
-        for batch in batches:
-            docs, blobs, slots = batch.column("doc"), batch.column("blob"), batch.column("slot").to_pylist()
-            direct = pa.array([i for i in range(len(batch)) if docs[i].is_valid], pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.take(direct), blobs.take(direct)], names=names)
-            for i in range(len(batch)):
-                if not docs[i].is_valid:
-                    ranges.setdefault(slots[i], []).append(blobs[i].as_py())
-        for blobs in ranges.values():
+        slot, held = None, []  # the runs of one range, which come together
+
+        def merged(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             runs = [_decode_run(b) for b in blobs]
             order, shared = merge_runs([r[0] for r in runs], [r[2] for r in runs])
             base = np.cumsum([0, *(len(r[0]) for r in runs)])
             at = np.array([base[r] + i for r, i in order], np.int64)
             left = [x for r in runs for x in r[1]]
             doc, pos, mask = (np.concatenate([r[c] for r in runs])[at] for c in (3, 4, 5))
+            del runs, order
             again = repeats(np.array(shared, np.int64), [left[i] for i in at.tolist()], doc, pos, mask, length)
             rows = list(_span_rows(doc, pos, again, length))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()),
                                                   pa.array([b for _, b in rows], pa.binary())], names=names)
+
+        for batch in batches:
+            docs, blobs, slots = batch.column("doc"), batch.column("blob"), batch.column("slot").to_pylist()
+            direct = pa.array([i for i in range(len(batch)) if docs[i].is_valid], pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.take(direct), blobs.take(direct)], names=names)
+            for i in range(len(batch)):
+                if not docs[i].is_valid:
+                    if slots[i] != slot and held:
+                        done, held = held, []
+                        yield from merged(done)
+                    slot = slots[i]
+                    held.append(blobs[i].as_py())
+        if held:
+            yield from merged(held)
     return work
 
 
@@ -528,7 +543,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     found = scratch.keep(
         docs.mapInArrow(_scan(length, slots), "slot long, doc long, blob binary")
-        .repartition(parts, "slot")
+        .repartition(parts, "slot").sortWithinPartitions("slot")
         .mapInArrow(_count(hot_count), "doc long, blob binary, gram long"), "found")
     # at most one gram per hot_count anchors, so at most about 4 per partition
     hot = frozenset(r.gram for r in found.filter("gram IS NOT NULL").select("gram").collect())
@@ -538,7 +553,9 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     splitters = _splitters(docs, anchors_of, known["n"], parts, length)
     runs = (docs.join(anchors_of, "doc").select("doc", "text", "blobs")
             .mapInArrow(_make_runs(length, splitters, hot, slots), _RUN))
-    spans = scratch.keep(runs.repartition(parts, "slot").mapInArrow(_merge(length), "doc long, blob binary"), "spans")
+    # sorted by range (above: by slot), so that a task holds the runs of one at a time
+    spans = scratch.keep(runs.repartition(parts, "slot").sortWithinPartitions("slot")
+                         .mapInArrow(_merge(length), "doc long, blob binary"), "spans")
     whole = copies.select("doc", F.lit(_pack(np.array([0], np.int64), np.array([WHOLE], np.int64))).alias("blob"))
     return scratch.keep(spans.unionByName(whole).groupBy("doc").agg(F.collect_list("blob").alias("spans")), "cuts")
 
