@@ -68,3 +68,24 @@ def test_three_reads_and_no_exchange_by_the_key_alone(spark, tmp_path):
 
 def test_empty_table(spark):
     assert H.customer_history(table(spark, 1).limit(0)).collect() == []
+
+
+def test_keys_with_few_rows_go_through_plain_windows(spark):
+    """No event of any row is made for them (three a row before), in the pass and in the frames alone."""
+    t = table(spark, 4)
+    for h in (H.customer_history(t), H.win_24h_7d(t)):
+        plan = h._jdf.queryExecution().sparkPlan().toString()
+        assert "Window" in plan and "Generate" not in plan
+
+
+def test_crowded_keys_are_spread_with_the_same_rows(spark, monkeypatch):
+    t = table(spark, 6).cache()
+    cols = [c for c in H.customer_history(t).columns if c not in ("transaction_id", "customer_id", "ts", "channel", "location")]
+    frames = [c for c in H.win_24h_7d(t).columns if c not in t.columns]
+    whole, alone = by_id(H.customer_history(t), *cols), by_id(H.win_24h_7d(t), *frames)
+    for rows_of_key, rows_of_frame in ((100_000, 20), (60, 128), (0, 0)):
+        monkeypatch.setattr(H, "KEY_ROWS", rows_of_key)
+        monkeypatch.setattr(H, "FRAME_ROWS", rows_of_frame)
+        h = H.customer_history(t)
+        assert "Generate" in h._jdf.queryExecution().sparkPlan().toString()
+        assert by_id(h, *cols) == whole and by_id(H.win_24h_7d(t), *frames) == alone
