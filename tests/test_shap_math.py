@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from txrisk.operators import shap
@@ -86,3 +87,31 @@ def test_deep_paths_and_lone_leaves():
     phi = forest_shap(X, [chain, lone])
     assert np.allclose(expected_value([chain, lone]) + phi.sum(axis=1), forest_predict(X, [chain, lone]), atol=1e-12)
     assert not forest_shap(X, [lone]).any()
+
+
+def test_subtrees_of_many_rows_are_looked_up_once():
+    """The values of single leaves, from far fewer rows of tables (a path with repeated features included)."""
+    r = np.random.default_rng(4)
+    nodes = []
+
+    def grow(depth):
+        at = len(nodes)
+        nodes.append(None)
+        if depth == 7 or (depth > 3 and r.random() < 0.2):
+            nodes[at] = (-1, -1, -1, 0.0, r.random(), float(r.integers(1, 50)))
+        else:
+            a, b = grow(depth + 1), grow(depth + 1)
+            nodes[at] = (a, b, int(r.integers(0, 5)), r.normal(), 0.0, nodes[a][5] + nodes[b][5])
+        return at
+    grow(0)
+    tree = {k: np.array(v) for k, v in zip(("left", "right", "feat", "thr", "val", "cov"), zip(*nodes, strict=True), strict=True)}
+    x = r.normal(size=(30_000, 5))
+    x[::7, 2] = np.nan  # meets no condition: goes right
+    by_leaf = np.concatenate([shap.forest_shap(part, [tree]) for part in np.array_split(x, 2000)])
+    assert np.allclose(shap.forest_shap(x, [tree]), by_leaf, atol=1e-12)
+
+
+def test_batches_are_joined_until_they_have_enough_rows():
+    parts = [pd.DataFrame({"a": range(i * 10, i * 10 + 10)}) for i in range(7)]
+    got = list(shap.together(iter(parts), 25))
+    assert [len(g) for g in got] == [30, 30, 10] and pd.concat(got)["a"].tolist() == list(range(70))

@@ -8,7 +8,8 @@
   the weight that goes its way.  A row's values depend on a leaf only through the
   bit pattern of the conditions it meets: a table per path, by pattern, holds what
   each feature gets, and rows look their pattern up.  The patterns of all leaves
-  come from one walk over the tree that changes one bit per node.
+  come from one walk over the tree that changes one bit per node; small subtrees are
+  one table each.
 * Shapley weights s!(d-1-s)!/d! are the integrals of t^s (1-t)^(d-1-s) over 0..1.
   So the sum over all subsets of the other features is the integral of a product
   with one factor per feature, a polynomial of degree d - 1, and Gauss-Legendre
@@ -19,6 +20,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +34,12 @@ from txrisk.operators.history import rank_within
 #: Conditions up to which a path's table holds every pattern; longer paths get those that occur in a batch.
 FULL_TABLE = 10
 
+#: A subtree's patterns are walked instead of the rows if there are this many rows to each of them.
+PATTERN_ROWS = 8
+
+#: Rows that share the tables of all paths: they cost as much for one row as for some ten thousand.
+ROWS_AT_ONCE = 50_000
+
 
 def expected_value(trees: list[dict]) -> float:
     ev = []
@@ -76,13 +84,21 @@ def path_table(share: np.ndarray, value: float, met: np.ndarray) -> np.ndarray:
 
 
 def tree_shap(X: np.ndarray, t: dict, phi: np.ndarray) -> None:
-    """Add one tree's path-dependent SHAP values for all rows of X (n x m) into phi (m x n)."""
+    """Add one tree's path-dependent SHAP values for all rows of X (n x m) into phi (m x n).
+
+    A subtree that many rows meet is walked once for every pattern of its splits and of the
+    path above it, as if the patterns were rows; the rows then look their pattern up once
+    instead of once per leaf.
+    """
     left, right, feat, thr, val, cov = (t[k] for k in ("left", "right", "feat", "thr", "val", "cov"))
-    columns = X.T
+    columns, n = X.T, len(X)
 
-    def walk(node: int, place: dict[int, int], share: list[float], pattern: np.ndarray) -> None:
+    def splits(node: int) -> list[int]:
+        return [] if left[node] < 0 else [node, *splits(left[node]), *splits(right[node])]
+
+    def walk(node: int, place: dict[int, int], share: list[float], pattern: np.ndarray, goes_left, out) -> None:
+        d = len(share)
         if left[node] < 0:
-            d = len(share)
             if d and val[node]:
                 if d <= FULL_TABLE:
                     met, at = _all_patterns(d), pattern
@@ -91,20 +107,35 @@ def tree_shap(X: np.ndarray, t: dict, phi: np.ndarray) -> None:
                     met = _bits(seen, d)
                 table = path_table(np.array(share), val[node], met)
                 for f, j in place.items():
-                    phi[f] += table[j][at]
+                    out[f] += table[j][at]
+            return
+        if out is phi and PATTERN_ROWS << (d + sizes[node]) <= n:
+            below = splits(node)
+            for i, s in enumerate(below, d):
+                pattern = pattern | (goes_left(s).astype(np.int64) << i)
+            bit = {s: i for i, s in enumerate(below, d)}
+            patterns = np.arange(1 << (d + len(below)))
+            found = {f: np.zeros(len(patterns)) for f in {*place, *(int(feat[s]) for s in below)}}
+            walk(node, place, share, patterns & ((1 << d) - 1), lambda s: (patterns >> bit[s]) & 1 == 1, found)
+            for f, v in found.items():
+                out[f] += v[pattern]
             return
         f = int(feat[node])
-        goes_left = columns[f] <= thr[node]
-        j = place.get(f, len(share))
-        bit = np.int64(1 << j)
-        for child, goes in ((left[node], goes_left), (right[node], ~goes_left)):
+        lefts = goes_left(node)
+        j = place.get(f, d)
+        b = np.int64(1 << j)
+        for child, goes in ((left[node], lefts), (right[node], ~lefts)):
             part = cov[child] / cov[node]
-            if j == len(share):  # a feature that is new to the path
-                walk(child, place | {f: j}, [*share, part], pattern | (goes * bit))
-            else:                # met only if all of its conditions are
-                walk(child, place, [*share[:j], share[j] * part, *share[j + 1:]], np.where(goes, pattern, pattern & ~bit))
+            if j == d:  # a feature that is new to the path
+                walk(child, place | {f: j}, [*share, part], pattern | (goes * b), goes_left, out)
+            else:       # met only if all of its conditions are
+                walk(child, place, [*share[:j], share[j] * part, *share[j + 1:]], np.where(goes, pattern, pattern & ~b), goes_left, out)
 
-    walk(0, {}, [], np.zeros(X.shape[0], dtype=np.int64))
+    sizes = [0] * len(left)  # splits of each subtree
+    for i in range(len(left) - 1, -1, -1):  # parents come first
+        if left[i] >= 0:
+            sizes[i] = 1 + sizes[left[i]] + sizes[right[i]]
+    walk(0, {}, [], np.zeros(n, dtype=np.int64), lambda s: columns[feat[s]] <= thr[s], phi)
 
 
 def forest_shap(X: np.ndarray, trees: list[dict]) -> np.ndarray:
@@ -120,6 +151,18 @@ def forest_predict(X: np.ndarray, trees: list[dict]) -> np.ndarray:
     return np.mean([t["val"][leaves_of(X, t)] for t in trees], axis=0)
 
 
+def together(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Batches joined until they have ``least`` rows."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= least:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 # op 118
 def tree_shap_values(df: DataFrame, rf_model, features: list[str], id_col: str,
                      model_path: str) -> DataFrame:
@@ -135,7 +178,7 @@ def shap_of_trees(df: DataFrame, trees: list[dict], features: list[str], id_col:
               + ", ".join(f"`shap_{c}` double" for c in features))
 
     def run(batches):
-        for pdf in batches:
+        for pdf in together(batches, ROWS_AT_ONCE):
             phi = forest_shap(pdf[features].to_numpy(dtype=float), shared.value)
             res = pd.DataFrame({id_col: pdf[id_col].values, "base_value": base,
                                 "shap_prediction": base + phi.sum(axis=1)})
