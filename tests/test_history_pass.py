@@ -89,3 +89,16 @@ def test_crowded_keys_are_spread_with_the_same_rows(spark, monkeypatch):
         h = H.customer_history(t)
         assert "Generate" in h._jdf.queryExecution().sparkPlan().toString()
         assert by_id(h, *cols) == whole and by_id(H.win_24h_7d(t), *frames) == alone
+
+
+def test_equal_amounts_deviate_as_by_prefix_sums(spark, monkeypatch):
+    """Squares are rounded to the digits that prefix sums leave, in plain windows too."""
+    t = table(spark, 8).withColumn("amount", F.lit(178.35)).cache()
+    passed = H.history_pass(t, frames={7 * H.US_PER_DAY: {"std": "stddev"}})
+    alone = H.win_7d(t).select("transaction_id", "amount_std_7d").collect()
+    monkeypatch.setattr(H, "KEY_ROWS", 0)
+    spread = H.history_pass(t, frames={7 * H.US_PER_DAY: {"std": "stddev"}})
+    assert dict(passed.dtypes)["before_q"] == dict(spread.dtypes)["before_q"]
+    in_order = lambda df: sorted(df.collect(), key=lambda r: r.transaction_id)
+    assert in_order(passed) == in_order(spread)
+    assert sorted(alone) == sorted(H.win_7d(t).select("transaction_id", "amount_std_7d").collect())

@@ -85,6 +85,9 @@ def money_avg(c: Column, w=None) -> Column:
 #: A key with more rows in all, or more in one stretch as long as the widest frame, is spread over tasks.
 KEY_ROWS, FRAME_ROWS = 100_000, 128
 
+#: Sums of squares have these digits where prefix sums gave them; plain windows round to the same.
+FRAME_SQUARE, BEFORE_SQUARE = "decimal(38,10)", "decimal(38,9)"
+
 
 def spread_crowded(df: DataFrame, key: str, ts: str, width: int, plain: Callable[[DataFrame], DataFrame],
                    spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -128,7 +131,7 @@ def range_windows(df: DataFrame, key: str, ts: str,
         by_time = Window.partitionBy("__k").orderBy("__t")
         rows = rows.select("*", *[F.sum(f"__{p}_{v}").over(by_time.rangeBetween(-w, 0)).alias(f"__f{w}_{p}_{v}")
                                   for w in sorted(frames) for v in values for p in "nsq"])
-        out = [_statistic(fn, *[F.col(f"__f{w}_{p}_{v}") for p in "nsq"]).alias(name)
+        out = [_statistic(fn, F.col(f"__f{w}_n_{v}"), F.col(f"__f{w}_s_{v}"), F.col(f"__f{w}_q_{v}").cast(FRAME_SQUARE)).alias(name)
                for w, aggs in sorted(frames.items()) for name, (fn, v) in aggs.items()]
         return rows.select(*keep, *out)
 
@@ -353,7 +356,7 @@ def history_pass(df: DataFrame, key: str = "customer_id", ts: str = "ts", tiebre
         rows = rows.select("*", epoch_micros(ts).alias("__t"), *[c.alias(f"p_{n}") for n, c in value.items()])
         key_rows = Window.partitionBy("__k")
         earlier = key_rows.orderBy("__t", tiebreak).rowsBetween(Window.unboundedPreceding, -1)
-        out = [_statistic(fn, *[F.col(f"f{w}_{n}") for n in "nsq"]).alias(name)
+        out = [_statistic(fn, F.col(f"f{w}_n"), F.col(f"f{w}_s"), F.col(f"f{w}_q").cast(FRAME_SQUARE)).alias(name)
                for w, aggs in sorted(frames.items()) for name, fn in aggs.items()]
         # by (time, tiebreak) first: that order serves the frames as well
         done = rows.select("*", *[F.coalesce(F.sum(f"p_{n}").over(earlier), F.lit(0)).alias(f"before_{n}") for n in value])
@@ -363,7 +366,8 @@ def history_pass(df: DataFrame, key: str = "customer_id", ts: str = "ts", tiebre
         if distinct:
             kinds = rows.groupBy("__k").agg(*[F.count_distinct(F.col(c).cast("string")).alias(f"total_{o}") for o, c in distinct.items()])
             done = done.join(kinds, "__k")
-        return done.select(*columns, *out, *[f"before_{n}" for n in value],
+        return done.select(*columns, *out,
+                           *[F.col("before_q").cast(BEFORE_SQUARE).alias("before_q") if n == "q" else f"before_{n}" for n in value],
                            *[f"total_{n}" for n in [*value, *distinct]])
 
     return spread_crowded(df, key, ts, max(frames, default=bucket_us), plain,
