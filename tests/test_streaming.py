@@ -158,3 +158,24 @@ def test_scores_drop_redelivered_rows(spark, tx):
 def test_stream_without_rows_gives_an_empty_table(spark, tx):
     got = ST.stream_velocity_24h(stream(spark, write_files(tx.limit(0), 1)), folder(), folder())
     assert got.count() == 0 and got.columns == list(VEL)
+
+
+def test_velocity_entries_of_few_and_of_many_times_equal_batch(spark):
+    """A day of few times is one entry of the state; a day that gets more is kept by minute from then on."""
+    def entries(ckpt, minutes):
+        return (spark.read.format("statestore").option("path", ckpt).option("stateVarName", "totals").load()
+                .filter(F.col("user_map_value.minutes") == minutes).count())
+
+    start = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+    rows_ = spark.range(3000).select(
+        F.col("id").alias("transaction_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40).alias("customer_id"),
+        (start + F.make_dt_interval(secs=F.floor(F.col("id") * 45))).alias("ts"),
+        F.when(F.col("id") % 11 != 0, F.col("id") % 17 + 0.25).alias("amount"))
+    want = rows(H.win_24h(rows_), *VEL)
+    ckpt = folder()
+    got = ST.stream_velocity_24h(stream(spark, write_files(rows_, 4)), folder(), ckpt, watermark="48 hours")
+    assert rows(got, *VEL) == want
+    assert entries(ckpt, 1) > 500 and 0 < entries(ckpt, ST.DAY) <= 40 * 2
+    ckpt = folder()
+    got = ST.stream_velocity_24h(stream(spark, write_files(rows_.filter("customer_id != 1"), 4)), folder(), ckpt, watermark="48 hours")
+    assert rows(got, *VEL) == [r for r in want if r[1] != 1] and entries(ckpt, 1) == 0
