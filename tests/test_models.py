@@ -1,9 +1,11 @@
 """Invariants of the rows-only model, SHAP and streaming queries (sf0.001)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from conftest import SF_SMALL
+from txrisk.operators import models as ML
 
 Q = queries()
 
@@ -44,3 +46,31 @@ def test_ablation_and_cv_run(spark):
 def test_stream_score_dedups(spark):
     df = Q["stream_score"](spark, SF_SMALL)
     assert df.count() == df.select("transaction_id").distinct().count() > 0
+
+
+def test_training_has_no_more_partitions_than_can_run_at_once(spark, monkeypatch):
+    """Every partition sends the statistics of all nodes."""
+    seen = []
+
+    class Spy:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count()))
+
+    monkeypatch.setattr(ML, "Pipeline", Spy)
+    rows = spark.range(400).select((F.col("id") % 2).cast("int").alias("is_fraud"), F.col("id").cast("double").alias("a"))
+    cores = spark.sparkContext.defaultParallelism
+    ML.train_rf(rows.repartition(5 * cores), ["a"])
+    ML.train_rf(rows.coalesce(1), ["a"])
+    assert seen == [(cores, 400), (1, 400)]
+
+
+def test_split_and_shap_rows_are_written_once_and_not_cached(spark):
+    from txrisk.plans import models as P
+
+    for made in (P.split_frame(spark, SF_SMALL), P.shap_wide(spark, SF_SMALL)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan and "Exchange " not in plan and "InMemoryTableScan" not in plan and "MapInPandas" not in plan
+    assert P.shap_wide(spark, SF_SMALL).count() == P.test_rows(spark, SF_SMALL).count()
