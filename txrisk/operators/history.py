@@ -85,12 +85,17 @@ def money_avg(c: Column, w=None) -> Column:
 #: A key with more rows in all, or more in one stretch as long as the widest frame, is spread over tasks.
 KEY_ROWS, FRAME_ROWS = 100_000, 128
 
-#: Sums of squares have these digits where prefix sums gave them; plain windows round to the same.
-FRAME_SQUARE, BEFORE_SQUARE = "decimal(38,10)", "decimal(38,9)"
+#: Prefix sums of squares have these digits; plain windows round to the same.
+PREFIX_SQUARE = "decimal(38,11)"
+
+
+def _frame_square(upto: Column, frame: Column) -> Column:
+    """A frame's sum of squares as the difference of two prefix sums, rounded as those are."""
+    return upto.cast(PREFIX_SQUARE) - (upto - frame).cast(PREFIX_SQUARE)
 
 
 def spread_crowded(df: DataFrame, key: str, ts: str, width: int, plain: Callable[[DataFrame], DataFrame],
-                   spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+                   spread: Callable[[DataFrame], DataFrame], both: bool = False) -> DataFrame:
     """``spread`` of the rows of crowded keys and ``plain`` of all others, both of ``df`` with its group ``__k``.
 
     Runs a count of (key, stretch of ``width``), reduced map-side.  A frame of ``width`` meets
@@ -101,8 +106,9 @@ def spread_crowded(df: DataFrame, key: str, ts: str, width: int, plain: Callable
                  .agg(F.count(F.lit(1)).alias("__c")))
     crowded = broadcast_if_small(stretches.groupBy("__k").agg(F.max("__c").alias("__m"), F.sum("__c").alias("__c"))
                                  .filter((F.col("__m") > FRAME_ROWS) | (F.col("__c") > KEY_ROWS)).select("__k"))
-    if crowded.isEmpty():
+    if not both and crowded.isEmpty():
         return plain(rows)
+    # without crowded keys the second part is found to be empty at run time, before it reads anything
     return plain(rows.join(crowded, "__k", "left_anti")).unionByName(spread(rows.join(crowded, "__k", "left_semi")))
 
 
@@ -128,14 +134,16 @@ def range_windows(df: DataFrame, key: str, ts: str,
         rows = rows.select("*", epoch_micros(ts).alias("__t"), *[c.alias(f"__{p}_{v}") for v in values for p, c in (
             ("n", F.col(v).isNotNull().cast("long")), ("s", F.coalesce(F.col(v).cast(MONEY), F.lit(0))),
             ("q", F.coalesce(square(F.col(v)), F.lit(0))))])
-        by_time = Window.partitionBy("__k").orderBy("__t")
-        rows = rows.select("*", *[F.sum(f"__{p}_{v}").over(by_time.rangeBetween(-w, 0)).alias(f"__f{w}_{p}_{v}")
-                                  for w in sorted(frames) for v in values for p in "nsq"])
-        out = [_statistic(fn, F.col(f"__f{w}_n_{v}"), F.col(f"__f{w}_s_{v}"), F.col(f"__f{w}_q_{v}").cast(FRAME_SQUARE)).alias(name)
+        by_time = Window.partitionBy(key).orderBy("__t")
+        rows = rows.select("*", *[F.sum(f"__q_{v}").over(by_time.rangeBetween(Window.unboundedPreceding, 0)).alias(f"__upto_{v}") for v in values],
+                           *[F.sum(f"__{p}_{v}").over(by_time.rangeBetween(-w, 0)).alias(f"__f{w}_{p}_{v}")
+                             for w in sorted(frames) for v in values for p in "nsq"])
+        out = [_statistic(fn, F.col(f"__f{w}_n_{v}"), F.col(f"__f{w}_s_{v}"), _frame_square(F.col(f"__upto_{v}"), F.col(f"__f{w}_q_{v}"))).alias(name)
                for w, aggs in sorted(frames.items()) for name, (fn, v) in aggs.items()]
         return rows.select(*keep, *out)
 
-    return spread_crowded(df, key, ts, max(frames), plain, lambda rows: _spread_range_windows(rows, ts, frames, bucket_us, keep))
+    return spread_crowded(df, key, ts, max(frames), plain, lambda rows: _spread_range_windows(rows, ts, frames, bucket_us, keep),
+                          both=True)
 
 
 def _spread_range_windows(df: DataFrame, ts: str, frames: dict[int, dict[str, tuple[str, str]]], bucket_us: int | None,
@@ -356,18 +364,21 @@ def history_pass(df: DataFrame, key: str = "customer_id", ts: str = "ts", tiebre
         rows = rows.select("*", epoch_micros(ts).alias("__t"), *[c.alias(f"p_{n}") for n, c in value.items()])
         key_rows = Window.partitionBy("__k")
         earlier = key_rows.orderBy("__t", tiebreak).rowsBetween(Window.unboundedPreceding, -1)
-        out = [_statistic(fn, F.col(f"f{w}_n"), F.col(f"f{w}_s"), F.col(f"f{w}_q").cast(FRAME_SQUARE)).alias(name)
+        out = [_statistic(fn, F.col(f"f{w}_n"), F.col(f"f{w}_s"), _frame_square(F.col("upto_q"), F.col(f"f{w}_q"))).alias(name)
                for w, aggs in sorted(frames.items()) for name, fn in aggs.items()]
         # by (time, tiebreak) first: that order serves the frames as well
         done = rows.select("*", *[F.coalesce(F.sum(f"p_{n}").over(earlier), F.lit(0)).alias(f"before_{n}") for n in value])
-        done = done.select("*", *[F.sum(f"p_{n}").over(key_rows.orderBy("__t").rangeBetween(-w, 0)).alias(f"f{w}_{n}")
-                                  for w in sorted(frames) for n in "nsq"])
+        by_time, peers = key_rows.orderBy("__t"), Window.partitionBy("__k", "__t")
+        done = done.select("*", F.sum("p_q").over(by_time.rangeBetween(Window.unboundedPreceding, 0)).alias("upto_q"),
+                           F.sum("p_q").over(peers).alias("peers_q"),
+                           F.sum("p_q").over(peers.orderBy(tiebreak).rowsBetween(Window.unboundedPreceding, -1)).alias("peers_before_q"),
+                           *[F.sum(f"p_{n}").over(by_time.rangeBetween(-w, 0)).alias(f"f{w}_{n}") for w in sorted(frames) for n in "nsq"])
         done = done.select("*", *[F.sum(f"p_{n}").over(key_rows).alias(f"total_{n}") for n in value])
         if distinct:
             kinds = rows.groupBy("__k").agg(*[F.count_distinct(F.col(c).cast("string")).alias(f"total_{o}") for o, c in distinct.items()])
             done = done.join(kinds, "__k")
-        return done.select(*columns, *out,
-                           *[F.col("before_q").cast(BEFORE_SQUARE).alias("before_q") if n == "q" else f"before_{n}" for n in value],
+        before_q = F.col("upto_q").cast(PREFIX_SQUARE) - F.col("peers_q") + F.coalesce("peers_before_q", F.lit(0))
+        return done.select(*columns, *out, *[before_q.alias("before_q") if n == "q" else f"before_{n}" for n in value],
                            *[f"total_{n}" for n in [*value, *distinct]])
 
     return spread_crowded(df, key, ts, max(frames, default=bucket_us), plain,
