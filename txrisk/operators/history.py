@@ -104,9 +104,13 @@ def spread_crowded(df: DataFrame, key: str, ts: str, width: int, plain: Callable
     rows = df.select("*", F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v")).alias("__k"))
     stretches = (rows.select("__k", F.floor(epoch_micros(ts) / F.lit(width)).alias("__b")).groupBy("__k", "__b")
                  .agg(F.count(F.lit(1)).alias("__c")))
-    crowded = broadcast_if_small(stretches.groupBy("__k").agg(F.max("__c").alias("__m"), F.sum("__c").alias("__c"))
-                                 .filter((F.col("__m") > FRAME_ROWS) | (F.col("__c") > KEY_ROWS)).select("__k"))
-    if not both and crowded.isEmpty():
+    many = (F.max("__c") > FRAME_ROWS) | (F.sum("__c") > KEY_ROWS)
+    # the crowded keys, and one null for all others: it meets no row
+    crowded = broadcast_if_small(stretches.groupBy("__k").agg(many.alias("__m")).select(F.when(F.col("__m"), F.col("__k")).alias("__k")).distinct())
+    kinds = {r[0] for r in crowded.select(F.isnull("__k")).distinct().collect()}
+    if True not in kinds:  # no other keys
+        return spread(rows)
+    if not both and False not in kinds:
         return plain(rows)
     # without crowded keys the second part is found to be empty at run time, before it reads anything
     return plain(rows.join(crowded, "__k", "left_anti")).unionByName(spread(rows.join(crowded, "__k", "left_semi")))
@@ -142,11 +146,11 @@ def range_windows(df: DataFrame, key: str, ts: str,
                for w, aggs in sorted(frames.items()) for name, (fn, v) in aggs.items()]
         return rows.select(*keep, *out)
 
-    return spread_crowded(df, key, ts, max(frames), plain, lambda rows: _spread_range_windows(rows, ts, frames, bucket_us, keep),
+    return spread_crowded(df, key, ts, max(frames), plain, lambda rows: _spread_range_windows(rows, key, ts, frames, bucket_us, keep),
                           both=True)
 
 
-def _spread_range_windows(df: DataFrame, ts: str, frames: dict[int, dict[str, tuple[str, str]]], bucket_us: int | None,
+def _spread_range_windows(df: DataFrame, key: str, ts: str, frames: dict[int, dict[str, tuple[str, str]]], bucket_us: int | None,
                           keep: list[str]) -> DataFrame:
     """``range_windows`` of rows with their group ``__k``, for keys with any number of rows.
 
@@ -175,7 +179,8 @@ def _spread_range_windows(df: DataFrame, ts: str, frames: dict[int, dict[str, tu
         sums[f"__s_{v}"] = F.coalesce(F.sum(x.cast(MONEY)), F.lit(0))
         sums[f"__q_{v}"] = F.coalesce(F.sum(square(x)), F.lit(0))
     t = F.col("__t")
-    points = df.withColumn("__t", epoch_micros(ts)).groupBy("__k", "__t").agg(*[c.alias(n) for n, c in sums.items()])
+    points = (df.withColumn("__t", epoch_micros(ts)).groupBy(key, "__t").agg(*[c.alias(n) for n, c in sums.items()])
+              .select("*", F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("v")).alias("__k")))
     offsets = F.array(F.struct(F.lit(-1).alias("frame"), t.alias("e")),
                       *[F.struct(F.lit(i).alias("frame"), (t - w).alias("e")) for i, w in enumerate(widths)])
     events = points.select(place(t), *sums, offsets.alias("__x")).withColumn("__x", F.explode("__x")).select(
